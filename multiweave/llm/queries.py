@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .language_id import op1_language_id
+from .mixing import op4_mixing
+from .packing import op7_best_fit_packing
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op4_mixing": op4_mixing,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 ORACLE: dict[str, str] = {}
