@@ -5,11 +5,13 @@ from __future__ import annotations
 from .language_id import op1_language_id
 from .mixing import op4_mixing
 from .packing import op7_best_fit_packing
+from .sharding import op8_sharding
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_mixing": op4_mixing,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_sharding": op8_sharding,
 }
 
 ORACLE: dict[str, str] = {}
