@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from . import licenses
 from .language_id import op1_language_id
+from .licenses import op10_license_scan
 from .mixing import op4_mixing
 from .packing import op7_best_fit_packing
 from .sharding import op8_sharding
+from .warc import op9_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_mixing": op4_mixing,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_sharding": op8_sharding,
+    "op9_warc": op9_warc,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_license_scan": licenses.ORACLE,
+}
