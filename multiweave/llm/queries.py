@@ -7,12 +7,14 @@ from .language_id import op1_language_id
 from .licenses import op10_license_scan
 from .mixing import op4_mixing
 from .packing import op7_best_fit_packing
+from .quality import op6_quality
 from .sharding import op8_sharding
 from .warc import op9_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_mixing": op4_mixing,
+    "op6_quality": op6_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_sharding": op8_sharding,
     "op9_warc": op9_warc,
