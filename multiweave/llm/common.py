@@ -162,3 +162,36 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
+
+
+def lower_bytes(raw: np.ndarray) -> np.ndarray:
+    """ASCII capitals and capitals of two bytes that begin with C3 (Latin-1) made small."""
+    out = LOWER[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    if len(lead):
+        second = raw[lead]
+        out[lead] = np.where((second >= 0x80) & (second <= 0x9E) & (second != 0x97), second + np.uint8(0x20), second)
+    return out
+
+
+# ------------------------------------------------------------------ graphs
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of each node of the undirected edges (a, b): component is the smallest node of its part.
+
+    Alternating large-star and small-star rounds, each cut in the shared folder. Nulls and loops are left out.
+    """
+    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u is not null and v is not null and u <> v").distinct())
+    state = None
+    while True:
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == state or not seen[0]:
+            break
+        state = seen
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        below = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(below, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(small.unionByName(below.select("u", F.col("m").alias("v"))).distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -6,6 +6,7 @@ from . import licenses
 from .language_id import op1_language_id
 from .licenses import op10_license_scan
 from .mixing import op4_mixing
+from .near_dedup import op2_near_dedup
 from .packing import op7_best_fit_packing
 from .quality import op6_quality
 from .sharding import op8_sharding
@@ -13,6 +14,7 @@ from .warc import op9_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_near_dedup": op2_near_dedup,
     "op4_mixing": op4_mixing,
     "op6_quality": op6_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
