@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import licenses
+from .embedding_dedup import op5_embedding_dedup
 from .language_id import op1_language_id
 from .licenses import op10_license_scan
 from .mixing import op4_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
     "op4_mixing": op4_mixing,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_quality": op6_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_sharding": op8_sharding,
