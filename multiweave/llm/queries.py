@@ -8,6 +8,7 @@ from .language_id import op1_language_id
 from .licenses import op10_license_scan
 from .mixing import op4_mixing
 from .near_dedup import op2_near_dedup
+from .nearest import op3_nearest
 from .packing import op7_best_fit_packing
 from .quality import op6_quality
 from .sharding import op8_sharding
@@ -16,6 +17,7 @@ from .warc import op9_warc
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
+    "op3_nearest": op3_nearest,
     "op4_mixing": op4_mixing,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_quality": op6_quality,
