@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from multiweave.llm.common import shared_path, table
+from multiweave.llm.common import delete_path, shared_path, table
 from multiweave.llm.language_id import stage_language_id
 from multiweave.llm.mixing import stage_mixing
 from multiweave.llm.near_dedup import stage_near_dedup
@@ -34,4 +34,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.schema(docs.schema).parquet(f"{folder}/{k}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # packing keeps what it needs
+    delete_path(spark, folder)
+    return out
