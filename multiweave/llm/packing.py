@@ -14,9 +14,11 @@ Repeated rows are packed each. An empty table gives no rows. doc_id may be null.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,36 +30,59 @@ from .common import cut, doc_hash, table
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Pieces dealt to a group; rounds of exchange.
 GROUP, ROUNDS = 4096, 2
-#: Words whose ids a worker remembers; over that it forgets all.
-REMEMBERED = 400_000
+#: Words, and parts of words, whose ids a worker remembers.
+REMEMBERED = 500_000
 #: str.split() parts words here, the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Words of characters that the tokenizer's normaliser changes one by one; small, the pattern below has the parts it encodes by themselves.
+SIMPLE = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+").fullmatch
+#: The characters that stand for bytes other than printable ones in the vocabulary.
+BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u024f0-9]+").findall
 
 
 class Encoder:
-    """Ids of whole texts. The tokenizer drops white space and never looks across it, so words are encoded once each."""
+    """Ids of whole texts.
+
+    The tokenizer drops white space and never looks across it, so each word is encoded once and remembered. Words of
+    plain Latin characters are taken apart further, by the tokenizer's own pattern, and the parts remembered too.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        self.merge = self.tokenizer.model.tokenize  # what is left to do for a part that is normal already
+
+    def _encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        for i in range(0, len(texts), 50_000):
+            own = texts[i : i + 50_000]
+            for x, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
+                yield x, array("I", e.ids).tobytes()
 
-    def _new(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = array("I", e.ids).tobytes()
+    def _learn(self, words: list[str]) -> None:
+        known, parts = self.known, self.parts
+        split = {w: PARTS(w.lower()) for w in words if SIMPLE(w) and "<|" not in w}
+        self.known.update(self._encode([w for w in words if w not in split]))
+        for x in {x for own in split.values() for x in own}.difference(parts):
+            parts[x] = array("I", [t.id for t in self.merge(x if x.isascii() else x.encode().decode("latin-1").translate(BYTES))]).tobytes()
+        for w, own in split.items():
+            known[w] = parts[own[0]] if len(own) == 1 else b"".join([parts[x] for x in own])
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if any(c in text for c in SEPARATORS):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        for kept in (self.known, self.parts):
+            if len(kept) > REMEMBERED:  # the older half goes
+                for x in list(islice(kept, REMEMBERED // 2)):
+                    del kept[x]
         words = text.split()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if new := list(set(words).difference(self.known)):
-            for i in range(0, len(new), 50_000):
-                self._new(new[i : i + 50_000])
-        return b"".join(map(self.known.__getitem__, words))
+        known = self.known
+        if new := [w for w in words if w not in known]:
+            self._learn(list(set(new)))
+        return b"".join(map(known.__getitem__, words))
 
 
 _encoders: dict[str, Encoder] = {}
