@@ -8,6 +8,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidInput
 
@@ -93,13 +94,13 @@ def quantized_length(dim: Column, kind: str, segments: int = 0) -> Column:
     return lengths[kind].cast("long")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def vector_to_bytes(v: pd.Series) -> pd.Series:
     """Components as little-endian 32-bit floats."""
     return v.map(lambda x: None if x is None else struct.pack(f"<{len(x)}f", *x))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def vector_from_bytes(b: pd.Series) -> pd.Series:
     return b.map(lambda x: None if x is None else list(struct.unpack(f"<{len(x) // 4}f", x)))
 

@@ -108,7 +108,7 @@ def codec_stats(points: DataFrame, chunk_ms: int) -> DataFrame:
     """(series, chunk, n, raw_bytes, encoded_bytes) of the points encoded by chunks of time; the chunk bounds a task's group."""
     chunked = points.withColumn("chunk", time_bucket(chunk_ms, F.col(TS)))
 
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key, t):
         own = sorted(zip(t[TS].to_pylist(), t["value"].to_pylist(), strict=True))
         return pa.table({"series": [key[0].as_py()], "chunk": [key[1].as_py()], "n": [len(own)], "raw_bytes": [16 * len(own)], "encoded_bytes": [len(encode(own))]})
 

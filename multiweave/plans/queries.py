@@ -1,2 +1,23 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Every registered query of the engine's own operators, with the SQL that checks it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import views
+from . import domain
+from .relational import SQL
+
+
+def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir, text)
+        return spark.sql(text)
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _sql(s if isinstance(s, str) else s[0]) for name, s in SQL.items()} | domain.QUERIES
+ORACLE: dict[str, str] = {name: s if isinstance(s, str) else s[1] for name, s in SQL.items()} | domain.ORACLE
