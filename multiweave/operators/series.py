@@ -80,12 +80,13 @@ def encode(points: list[tuple[int, float]]) -> bytes:
     _varint(len(points), out)
     for t, v in points:
         d = t - last
-        _varint(_zigzag(d - step), out)
         now = struct.unpack("<Q", struct.pack("<d", v))[0]
         x = bits ^ now
-        low = (x & -x).bit_length() - 1 if x else 0
-        out.append(low)
-        _varint(x >> low, out)
+        _varint(_zigzag(d - step) << 1 | (x != 0), out)  # one byte if time and value go on as before
+        if x:
+            low = (x & -x).bit_length() - 1
+            out.append(low)
+            _varint(x >> low, out)
         last, step, bits = t, d, now
     return bytes(out)
 
@@ -95,11 +96,13 @@ def decode(data: bytes) -> list[tuple[int, float]]:
     out, last, step, bits = [], 0, 0, 0
     for _ in range(n):
         z, at = _read(data, at)
+        changed, z = z & 1, z >> 1
         step += z >> 1 if z & 1 == 0 else -((z + 1) >> 1)
         last += step
-        low = data[at]
-        x, at = _read(data, at + 1)
-        bits ^= x << low
+        if changed:
+            x, end = _read(data, at + 1)
+            bits ^= x << data[at]
+            at = end
         out.append((last, struct.unpack("<d", struct.pack("<Q", bits))[0]))
     return out
 

@@ -30,7 +30,7 @@ def read(spark: SparkSession, t: ForeignTable) -> DataFrame:
     if t.kind == "parquet":
         return spark.read.schema(struct).parquet(t.path)
     if t.kind == "csv":
-        reader = spark.read.schema(struct).option("header", str(t.options.get("header", False)).lower()).option("mode", "FAILFAST").option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").option("enforceSchema", "true").option("ignoreLeadingWhiteSpace", "false")
+        reader = spark.read.schema(struct).option("header", str(t.options.get("header", False)).lower()).option("mode", "FAILFAST").option("columnPruning", "false").option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").option("enforceSchema", "true").option("ignoreLeadingWhiteSpace", "false")
         return reader.csv(t.path).select(*[(F.when(F.col(c.name) != "", F.col(c.name)) if c.type == "str" else F.col(c.name)).alias(c.name) for c in t.schema.columns])
     if t.kind == "jsonl":
         return spark.read.schema(struct).option("mode", "FAILFAST").json(t.path)

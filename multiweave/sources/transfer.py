@@ -65,9 +65,10 @@ def coerce(cells: DataFrame, schema: TableSchema) -> tuple[DataFrame, DataFrame]
 def import_csv(spark: SparkSession, path: str, schema: TableSchema, *, header: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects). Strings keep empty cells as empty strings."""
     strings = T.StructType([T.StructField(n, T.StringType()) for n in [*schema.names, "__corrupt"]])
-    cells = spark.read.schema(strings).option("header", str(header).lower()).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__corrupt").option("quote", '"').option("escape", '"').option("nullValue", "\0").option("emptyValue", "").csv(path)
-    rows, rejects = coerce(cells.filter("__corrupt is null").drop("__corrupt"), schema)
-    return rows, rejects.unionByName(cells.filter("__corrupt is not null").select(F.col("__corrupt").alias("row"), F.lit("the number of cells differs").alias("reason")))
+    cells = spark.read.schema(strings).option("header", str(header).lower()).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__corrupt").option("columnPruning", "false").option("quote", '"').option("escape", '"').option("nullValue", "\0").option("emptyValue", "").csv(path)
+    read = F.coalesce(F.length(F.col(f"`{schema.names[0]}`")), F.lit(0)) >= 0  # always; Spark reads no file for the corrupt column alone
+    rows, rejects = coerce(cells.filter(F.col("__corrupt").isNull() & read).drop("__corrupt"), schema)
+    return rows, rejects.unionByName(cells.filter(F.col("__corrupt").isNotNull() & read).select(F.col("__corrupt").alias("row"), F.lit("the number of cells differs").alias("reason")))
 
 
 def import_jsonl(spark: SparkSession, path: str, schema: TableSchema) -> tuple[DataFrame, DataFrame]:
