@@ -122,6 +122,9 @@ class Table:
         change = [x.select(F.lit(lsn).alias("lsn"), F.lit(at).alias("at"), F.lit(op).alias("op"), *self.schema.names) for x, op in ((new, "upsert"), (gone, "delete")) if x is not None]
         (change[0] if len(change) == 1 else change[0].unionByName(change[1])).write.parquet(f"{self.path}/log/{lsn:020d}")
         files.write_text(e.spark, f"{self.path}/current.json", json.dumps(head | {"lsn": lsn}))
+        for x in (new, gone):
+            if x is not None:
+                x.unpersist()
         e._commit(self.name, lsn)
         return lsn
 
