@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows to a file of a small table that is cut.
+FILE_ROWS = 50_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The rows of df, computed now and kept in the shared folder, so that lost executors cost no recomputation.
 
-    Spark removes the files when no plan refers to them (spark.cleaner.referenceTracking.cleanCheckpoints).
+    rows: about how many there are, where the last step to them is light; a small table then gets few files. Spark
+    removes the files when no plan refers to them (spark.cleaner.referenceTracking.cleanCheckpoints).
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).checkpoint(eager=True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files and checkpoints that no plan refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
@@ -55,6 +69,38 @@ def doc_hash(*cols: Column, seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Arrow batches of fewer rows for plans that are run inside, so that Python workers hold less at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """Returns the memory that a Python worker has freed to the system; idle workers stay."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_held: dict = {}
+
+
+def held(key: object, make):
+    """What make() gives, kept in this Python worker until another is asked for: workers serve one stage after another."""
+    if key not in _held:
+        _held.clear()
+        give_back()
+        _held[key] = make()
+    return _held[key]
+
+
 # ------------------------------------------------------------------ texts as bytes
 
 def text_buffer(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +228,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds, each cut in the shared folder. Nulls and loops are left out.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u is not null and v is not null and u <> v").distinct())
-    state = None
+    state, n = None, now.count()
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state or not seen[0]:
@@ -193,5 +239,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(below.select("u", F.col("m").alias("v"))).distinct())
+        now = cut(small.unionByName(below.select("u", F.col("m").alias("v"))).distinct(), n)
+        del both, least, large, below, small
+        tidy(edges.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

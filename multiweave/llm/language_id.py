@@ -20,11 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, doc_hash, table, text_buffer
+from .common import doc_chunks, doc_hash, give_back, held, table, text_buffer
 
 #: Fitting: at most about so many labelled documents of a language, drawn by a hash of their id; languages by number of documents; four-grams of a language by count.
 SAMPLE_DOCS, MAX_LANGS, MAX_GRAMS = 1500, 256, 200_000
@@ -199,8 +198,11 @@ class Coder:
             return langs, score, rate
         raw, off = raw[off[0] : off[-1]], off - off[0]
         size = off[1:] - off[:-1]
-        marks = np.concatenate([[0], np.cumsum(_ASCII_LETTER[raw])])
-        letter = marks[off[1:]] > marks[off[:-1]]
+        letter = np.zeros(n, bool)
+        for i, j in doc_chunks(off):
+            full = i + np.flatnonzero(size[i:j])
+            if len(full):
+                letter[full] = np.logical_or.reduceat(_ASCII_LETTER[raw[off[i] : off[j]]], off[full] - off[i])
         for i in np.flatnonzero(valid & (size > 0) & ~letter):
             letter[i] = any(map(str.isalpha, raw[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")))
         bits = self.bits(raw, off)
@@ -212,15 +214,14 @@ class Coder:
         return [self.langs[b] if ok else UND for b, ok in zip(best, letter, strict=True)], score, rate
 
 
-_coders: dict[int, Coder] = {}
+class _NoCoder(Coder):
+    def __init__(self):
+        self.langs = []
 
 
-def coder(model: Broadcast) -> Coder:
+def coder(model: _Ref) -> Coder:
     """The tables of a broadcast model, built once in each Python worker."""
-    if model.id not in _coders:
-        _coders.clear()
-        _coders[model.id] = Coder(model.value) if model.value["langs"] else type("Empty", (Coder,), {"__init__": lambda self: setattr(self, "langs", [])})()
-    return _coders[model.id]
+    return held(("coder", model.id), lambda: Coder(model.value) if model.value["langs"] else _NoCoder())
 
 
 class _Ref:
@@ -248,6 +249,7 @@ def identify(docs: DataFrame, model: dict, *, text: str = "text", keep: list[str
         code = coder(ref)
         for batch in batches:
             langs, score, rate = code.predict(batch.column(batch.num_columns - 1))
+            give_back()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(score), pa.array(rate)], names=[*keep, "lang_pred", "score", "bits_per_byte"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema.fields)
@@ -274,6 +276,7 @@ def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         code = coder(ref)
         for batch in batches:
             langs, _, rate = code.predict(batch.column(at))
+            give_back()
             yield batch.filter(pa.array([lang != UND and math.isfinite(r) and r <= MAX_BITS for lang, r in zip(langs, rate, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -47,7 +47,7 @@ NOTICES = (
 )
 
 #: Diagonals this near are merged; the share of a notice's triples that a span must hold; its length over the notice's at most.
-NEAR, SHARE, STRETCH = 3, 0.7, 1.5
+NEAR, SHARE, STRETCH = 8, 0.7, 1.5
 
 
 def template_rows(phrases: tuple = PHRASES, notices: tuple = NOTICES) -> list[tuple]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import NOT_SPACE, cut, doc_hash, table, text_buffer, word_counts
+from .common import NOT_SPACE, cut, doc_hash, give_back, small_batches, table, text_buffer, word_counts
 
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, 4
 #: Cost of a word taken for the first, second and third time; each over the one before.
@@ -137,6 +137,7 @@ def sizes_of(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
             raw, off, _ = text_buffer(batch.column(batch.num_columns - 1))
             n = word_counts(raw[off[0] : off[-1]], off - off[0], NOT_SPACE)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n)], names=[*batch.schema.names[:-1], "size"])
+            give_back()
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("size", T.LongType())]))
 
@@ -213,7 +214,8 @@ def _with_plan(rows: DataFrame, plan_: list[tuple], keys: Column, place: Column)
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = cut(sizes_of(docs, "text", [F.col("doc_id"), source_key("source").alias("key")]))
+    with small_batches(spark):
+        sized = cut(sizes_of(docs, "text", [F.col("doc_id"), source_key("source").alias("key")]))
     place = order_key("doc_id", SEED)
     plan_, sizes, asked = plan(sized.select(F.array("key").alias("sources"), place.alias("place"), "size"))
     by_source = spark.createDataFrame([(s, n, asked[s]) for s, n in sizes.items()], "key string, source_size long, target double")
@@ -223,8 +225,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs as the mix takes them: a document repeated as often as the plan says, or gone."""
-    sized = cut(sizes_of(docs, "text", [F.col("doc_id"), source_key("source").alias("key")]))
+    with small_batches(spark):
+        sized = cut(sizes_of(docs, "text", [F.col("doc_id"), source_key("source").alias("key")]))
     place = order_key("doc_id", SEED)
     plan_, _, _ = plan(sized.select(F.array("key").alias("sources"), place.alias("place"), "size"))
     taken = _with_plan(docs, plan_, F.array(source_key("source")), place)
-    return taken.filter("__times > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))).select(*docs.columns)
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return taken.filter(worded & (F.col("__times") > 0)).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))).select(*docs.columns)

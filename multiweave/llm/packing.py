@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, doc_hash, table
+from .common import cut, doc_hash, give_back, held, small_batches, table
 
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Pieces dealt to a group; rounds of exchange.
@@ -85,9 +85,6 @@ class Encoder:
         return b"".join(map(known.__getitem__, words))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def tokenizer_path(name: str) -> str:
     """The place of a public tokenizer's file; an absolute path is its own place."""
     import public_tokenizers
@@ -101,9 +98,7 @@ def pieces(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer_path(tokenizer)
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        code, end = _encoders[path], array("I", [end_id]).tobytes()
+        code, end = held(("encoder", path), lambda: Encoder(path)), array("I", [end_id]).tobytes()
         for batch in batches:
             out: list[tuple] = []
             for key, text_ in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -113,6 +108,7 @@ def pieces(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", token
                     own = ids[4 * at : 4 * (at + capacity)]
                     out.append((key, k, at, len(own) // 4, zlib.crc32(own)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -186,7 +182,8 @@ def _pack_groups(items: DataFrame, groups: int, capacity: int, first_id: int, se
 def pack(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
     """Each piece with its sequence and its place there."""
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    every = cut(pieces(docs, text=text, doc_id=doc_id, tokenizer=tokenizer, capacity=capacity, end_id=end_id))
+    with small_batches(docs.sparkSession):
+        every = cut(pieces(docs, text=text, doc_id=doc_id, tokenizer=tokenizer, capacity=capacity, end_id=end_id))
     full = every.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).select(cols)
     rest = every.filter(F.col("length") < capacity)
     sizes = rest.groupBy("length").agg(F.count("*").alias("n")).toPandas()  # at most a row for each length

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, doc_hash, table, text_buffer
+from .common import cut, doc_hash, give_back, table, text_buffer
 
 #: Labelled documents that the model is fitted on, about; rows of site rates that are broadcast at most (beyond, a shuffle join).
 SAMPLE, BROADCAST_ROWS = 20_000, 200_000
@@ -102,6 +102,7 @@ def with_evidence(docs: DataFrame, weights: np.ndarray | None, text: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(features(batch.column(at)) @ w, -12, 12))], schema=batch.schema.append(pa.field("__evidence", pa.float64())))
+            give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__evidence", T.DoubleType())]))
 
