@@ -10,7 +10,7 @@ so that each shard's bytes come to its quota within about a document. Cut edges
 All state is a row a document of ids and sizes; texts are read once. Prefix sums use histograms and then the rows of one
 bucket, so no task sees a whole shard.
 
-Law: `bytes`. grown_shard is null. Defined results: a null text has size 1 and a null crc32, and null texts are no
+Law: `bytes`. grown_shard is null. Defined results: a null text has size 1 and the checksum of no bytes, and null texts are no
 group; empty texts are a group like others. Repeated rows are rows of the same group. Empty tables give no rows.
 """
 
@@ -34,7 +34,7 @@ def _base(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(t.cast("binary")).alias("text_crc32"),
+        F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("text_crc32"),
         F.when(t.isNotNull(), doc_hash(t, seed=SEED)).alias("g1"),
         F.when(t.isNotNull(), doc_hash(t, F.lit(SEED), t, seed=-SEED)).alias("g2"),
     )
