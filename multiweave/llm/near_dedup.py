@@ -10,8 +10,10 @@ a document costs little more than its shingles, whatever the weights and the num
 
 Documents with equal multisets are one node. Signatures are cut into bands; nodes that share a band are candidates.
 A band never gives all its pairs: first each node is compared with one of the band, then what is not yet in one
-component with three more, and at last only nodes outside a band's main component with the nodes of other components
-there, each pair once. Every comparison is of the whole multisets. No candidate link between different components is lost.
+component with three more (in large bands with those that have least of their own), and at last only nodes outside a
+band's main component with the nodes of other components there, each pair once, and in large bands only if counts of
+shared shingles by part of their hash leave room for the overlap that is asked. Every comparison is of the whole
+multisets. No candidate link between different components is lost.
 
 Words are runs of ASCII letters, digits and all characters beyond ASCII, Latin capitals made small. A text of one to
 four words is one shingle. Node ids are 64-bit hashes of multisets.
@@ -29,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, components, cut, doc_chunks, lower_bytes, mix, table, text_buffer, word_hashes, word_spans
+from .common import ALNUM, components, cut, doc_chunks, give_back, lower_bytes, mix, small_batches, table, text_buffer, tidy, word_hashes, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Places of a signature are BANDS * ROWS: documents of similarity 0.8 share a band with a probability of 1 - 5e-8.
 BANDS, ROWS = 32, 4
 #: Rows of ids that are broadcast at most; beyond, a shuffle join.
 BROADCAST_ROWS = 500_000
+#: Bands of more nodes than this have their nodes sketched, so that hopeless pairs are known without their multisets; parts of a sketch.
+LARGE, PARTS = 16, 64
 
 _STEP, _TIME, _PLACE, _SIDE, _LEFT, _RIGHT, _BAND = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377, 0xBE5466CF34E90C6C))
 
@@ -105,7 +109,7 @@ def bag_minhash(rows: np.ndarray, values: np.ndarray, counts: np.ndarray, n: int
         if unit.all() and len(seed) < 8192:  # few are left: several points of each at once
             many = np.arange(1, 17, dtype=np.uint64)
             wait, places_ = _draw(mix(seed[:, None] + (drawn[:, None] + many) * _STEP), places, places)
-            times = time[:, None] + np.cumsum(wait, axis=1)
+            times = np.cumsum(np.concatenate([time[:, None], wait], axis=1), axis=1)[:, 1:]  # added one by one, so that the digits do not depend on the batch
             np.minimum.at(out, (doc[:, None] * places + places_).ravel(), times.ravel())
             time, place, drawn = times[:, -1], places_[:, -1], drawn + np.uint64(16)
             open_ = time < out.reshape(n, places).max(axis=1)[doc]
@@ -136,9 +140,10 @@ def band_hashes(times: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _blocks(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     raw, off, _ = text_buffer(arr)
-    for i, j in doc_chunks(off):
+    for i, j in doc_chunks(off, 1 << 19):
         at = off[i : j + 1]
         yield i, j, *shingles(raw[at[0] : at[-1]], at - at[0])
+    give_back()
 
 
 def _node(n: int, rows: np.ndarray, values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,15 +187,33 @@ def bags(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).cast("string")).mapInArrow(run, "node long, bag array<long>")
 
 
+def sketches(known: DataFrame) -> DataFrame:
+    """(node, sketch, common) of (node, bag): how many elements that stand in another bag too, by PARTS parts of their hash, and in all.
+
+    The overlap of two of the bags is at most the sum over the parts of the smaller of the two counts.
+    """
+    flat = known.select("node", F.explode("bag").alias("element"))
+    twice = flat.groupBy("element").agg(F.count("*").alias("n")).filter("n > 1").select("element")
+    parts = flat.join(twice, "element").groupBy("node", F.pmod("element", F.lit(PARTS)).alias("part")).agg(F.count("*").cast("int").alias("n"))
+    counted = parts.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("m"), F.sum("n").alias("common"))
+    sketch = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.coalesce(F.col("m")[k.cast("long")], F.lit(0)))
+    small = lambda c: F.transform(c, lambda n: F.least(n, F.lit((1 << 15) - 1)).cast("short"))
+    whole = F.coalesce(F.array_max(sketch) < (1 << 15), F.lit(True))  # else its counts do not fit, and it has no sketch
+    return known.select("node").join(counted, "node", "left").select("node", F.when(F.col("m").isNull(), small(F.array_repeat(F.lit(0), PARTS))).when(whole, small(sketch)).alias("sketch"), F.coalesce("common", F.lit(0)).alias("common"))
+
+
 def near_components(docs: DataFrame, signed: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of the nodes that have a link to another; signed is what signatures() gave, already cut."""
     nodes = signed.filter((F.col("size") > 0) & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     banded = nodes.select("node", "size", "doc", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band")
+    shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("low < high").select("band", "n")
     members = cut(banded.join(shared, "band"))
     ids = members.select(F.col("doc").alias("__doc")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     known = cut(bags(docs.join(ids, F.col(doc_id) == F.col("__doc"), "left_semi"), text=text).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    sketched = cut(sketches(known.join(members.filter(F.col("n") > LARGE).select("node").distinct(), "node", "left_semi")))
+    members = cut(members.join(sketched.select("node", "common"), "node", "left").select("band", "node", "size", (1 - F.coalesce("common", F.lit(0)) / F.col("size")).alias("own"), "n"), total := members.count())
+    tidy(docs.sparkSession)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose multisets are similar."""
@@ -203,43 +226,52 @@ def near_components(docs: DataFrame, signed: DataFrame, *, text: str = "text", d
     tested: list[DataFrame] = []
     near = F.least("size_a", "size_b") >= F.lit(similarity) * F.greatest("size_a", "size_b")
     for step in ("one", "three", "rest"):
-        placed = members.select("band", "node", "size")
+        placed = members
         placed = placed.withColumn("label", F.col("node")) if labels is None else placed.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
         if step == "rest":
-            per = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
-            main = per.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("band", "main")
-            with_bands = cut(placed.join(main, "band").join(nodes.select("node", "bands"), "node"))
-            left = with_bands.filter("label <> main").select("band", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"), F.col("main").alias("main_a"), F.col("bands").alias("bands_a"))
-            right = with_bands.select(F.col("band").alias("band_b"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"), F.col("bands").alias("bands_b"))
-            earlier = lambda c: F.slice(c, 1, F.array_position(c, F.col("band")).cast("int") - 1)
+            per = placed.groupBy("band", "label").agg(F.count("*").alias("of"))
+            main = per.groupBy("band").agg(F.max_by("label", F.struct("of", "label")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("band", "main")
+            hope = F.col("own") <= 1 - similarity + 1e-9  # less in common with others than that is too little for any of them
+            placed = placed.filter(hope | (F.col("n") <= LARGE))
+            with_bands = cut(placed.join(main, "band").join(nodes.select("node", "bands"), "node").join(sketched, "node", "left"), total)
+            left = with_bands.filter("label <> main").select("band", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"), F.col("main").alias("main_a"), F.col("bands").alias("bands_a"), F.col("sketch").alias("sketch_a"), F.col("common").alias("common_a"))
+            right = with_bands.select(F.col("band").alias("band_b"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"), F.col("bands").alias("bands_b"), F.col("sketch").alias("sketch_b"), F.col("common").alias("common_b"))
+            earlier = lambda c: F.slice(c, 1, F.greatest(F.array_position(c, F.col("band")).cast("int") - 1, F.lit(0)))
             once = (F.col("label_b") == F.col("main_a")) | (F.col("a") < F.col("b"))
-            on = (F.col("band") == F.col("band_b")) & (F.col("label_a") != F.col("label_b")) & once & near & ~F.arrays_overlap(earlier("bands_a"), earlier("bands_b"))
+            most = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x.cast("int"))
+            room = lambda n: F.coalesce(n * (1 + similarity) >= similarity * (F.col("size_a") + F.col("size_b")), F.lit(True))  # noqa: E731  the overlap that similarity takes
+            may = F.col("common_a").isNull() | F.col("common_b").isNull() | (room(F.least("common_a", "common_b")) & room(most))  # the bound is for two sketched nodes
+            on = (F.col("band") == F.col("band_b")) & (F.col("label_a") != F.col("label_b")) & once & near & may & ~F.arrays_overlap(earlier("bands_a"), earlier("bands_b"))
             pairs = left.join(right, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            picks = [F.min(F.struct("node", "label", "size"))] if step == "one" else [F.max(F.struct("node", "label", "size")), *(F.min_by(F.struct("node", "label", "size"), F.xxhash64("node", F.lit(k))) for k in (1, 2))]
+            noise = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 20)) / (50 << 20)  # noqa: E731  of 0.02 at most
+            picks = [F.min_by(F.struct("node", "label", "size"), F.struct("own", "node"))] if step == "one" else [F.min_by(F.struct("node", "label", "size"), F.struct((F.col("own") + noise(k)).alias("x"), F.col("node"))) for k in (1, 2, 3)]
             picked = placed.groupBy("band").agg(F.array(*picks).alias("picks"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("band", F.explode(F.array_distinct("picks")).alias("pick"))
             joined = placed.join(picked, "band").select("node", "label", F.col("size").alias("size_a"), F.col("pick.node").alias("other"), F.col("pick.label").alias("label_b"), F.col("pick.size").alias("size_b"))
             pairs = joined.filter((F.col("label") != F.col("label_b")) & near).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         for t in tested:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        pairs = cut(pairs, total)
         tested.append(pairs)
         found = cut(verified(pairs))
         if not found.isEmpty() or labels is None:
             links = found if links is None else links.unionByName(found)
-            labels = cut(components(links))
+            labels = cut(components(links), total)
+        del pairs
+        tidy(docs.sparkSession)
     return labels
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (smallest id with the same multiset), component_id (smallest id reachable by links of `similarity`), kept (one row of each component)."""
-    signed = cut(signatures(docs, text=text, doc_id=doc_id, bands=bands, rows=rows).withColumn("row", F.monotonically_increasing_id()))
-    labels = near_components(docs, signed, text=text, doc_id=doc_id, similarity=similarity)
+    with small_batches(docs.sparkSession):
+        signed = cut(signatures(docs, text=text, doc_id=doc_id, bands=bands, rows=rows).withColumn("row", F.monotonically_increasing_id()))
+        labels = near_components(docs, signed, text=text, doc_id=doc_id, similarity=similarity)
     linked = F.col("size").isNotNull() & (F.col("size") > 0) & F.col("doc_id").isNotNull()
     rows_ = signed.filter(linked).join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
     classes = rows_.groupBy("node", "label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "row")).alias("first"))
     firsts = classes.groupBy("label").agg(F.min("first").alias("stays"))
-    placed = cut(classes.join(firsts, "label").select("node", "class_id", "stays"))
+    placed = cut(classes.join(firsts, "label").select("node", "class_id", "stays"), signed.count())
     own = signed.filter(linked).select("doc_id", "node", "row").join(placed, "node").select("doc_id", "class_id", F.col("stays.doc_id").alias("component_id"), (F.col("row") == F.col("stays.row")).alias("kept"))
     alone = signed.filter(~linked).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return own.unionByName(alone)
