@@ -32,6 +32,8 @@ from .common import cut, delete_path, shared_path, table
 MAGIC = b"\x1f\x8b\x08"
 SPLIT, READ, HEAD = 4 << 20, 1 << 20, 64 << 10
 LEAST = 0
+#: Payloads with copies whose digests are broadcast at most; beyond, a shuffle join.
+BROADCAST_ROWS = 500_000
 READ_SCHEMA = "path string, at long, record_type string, record_id string, target_uri string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
 
@@ -77,7 +79,8 @@ def write(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str =
     keyed = base.withColumn("__sha", F.sha1("__body"))
     known = keyed.filter(F.col("__page").isNotNull() & (F.octet_length("__body") >= least))
     shared = known.groupBy("__sha").agg(F.max("__page").alias("__first"), F.count("*").alias("__n")).filter("__n > 1").select("__sha", "__first")
-    rows = keyed.join(shared, "__sha", "left").select("__page", "__url", "__body", "__sha", "__first")
+    shared = cut(shared)  # payloads that stand more than once
+    rows = keyed.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "__sha", "left").select("__page", "__url", "__body", "__sha", "__first")
     return rows.mapInArrow(_writer(folder, least), "archive string, records long")
 
 
