@@ -1,11 +1,13 @@
 """Sharding by balanced label propagation.
 
 Linked documents form groups (here: equal texts). A shard is a label. Labels start from a seeded hash of the group, so
-that groups begin together; groups larger than a part of a shard are cut into blocks, since no shard could hold them.
-Then rounds of joins: each unit (a block, or a lone document) sees the bytes of its group by shard and wants to go where
-most of its links lead; shards over their quota give up units, those without links first and then the smallest groups,
-and shards under it take them in. At the end documents without links are moved, along a seeded order cut by prefix sums,
-so that each shard's bytes come to its quota within about a document. Cut edges are the links between two shards.
+that groups begin together; groups larger than a part of a shard, of which there are few, are cut into blocks that start
+apart. Then rounds: the blocks of a group vote by their bytes for the shards that hold them, and all follow the shard
+with most votes that has room for the whole group; only where no shard has (as for groups larger than a shard) they fill
+the fewest shards. Shards over their quota then give up lone documents first, then whole small groups, and shards under
+it take them in, along seeded orders cut by prefix sums, so that each shard's bytes come to its quota within about a
+document; documents of small groups and then of large ones are moved singly only if that does not suffice. Cut edges are
+the links between two shards.
 
 All state is a row a document of ids and sizes; texts are read once. Prefix sums use histograms and then the rows of one
 bucket, so no task sees a whole shard.
@@ -16,6 +18,8 @@ group; empty texts are a group like others. Repeated rows are rows of the same g
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +27,7 @@ from pyspark.sql.window import Window
 from .common import cut, doc_hash, table
 
 SHARDS, SEED, ROUNDS = 16, 8, 2
-#: A group of more than this part of a shard is cut into blocks of about that size.
+#: A group of more than this part of a shard is cut into blocks of about that size: at most 2 / BLOCK blocks a shard in all, which the driver holds.
 BLOCK = 0.125
 #: Rows of a bucket of the last ordering, about.
 BUCKET = 4096
@@ -89,6 +93,34 @@ def _relieve(units: DataFrame, loads: list[int], quota: float, free: Column) ->
     return units.filter(~(free & F.col("shard").isin(sources))).unionByName(changed)
 
 
+def _follow(held: list[tuple[int, int, int, int]], quota: float, shards: int, grain: float) -> list[tuple[int, int, int]]:
+    """(group, block, to) of the blocks that change shards, of (group, block, shard, bytes).
+
+    Groups come by falling bytes. A group goes whole to the shard with most of its bytes among those with room for it; if
+    there is none, its blocks fill the shards with most room in turn. grain: bytes that a shard can be over its quota.
+    """
+    groups: dict[int, list[tuple[int, int, int]]] = {}
+    for group, block, at, n in sorted(held):
+        groups.setdefault(group, []).append((block, at, n))
+    room, out = [quota + grain] * shards, []
+    for group, blocks in sorted(groups.items(), key=lambda x: (-sum(n for *_, n in x[1]), x[0])):
+        votes, k = [0] * shards, 0
+        for _, at, n in blocks:
+            votes[at] += n
+        while k < len(blocks):
+            left = sum(n for *_, n in blocks[k:])
+            whole = [s for s in range(shards) if room[s] >= left]
+            to = max(whole, key=lambda s: (votes[s], room[s], -s)) if whole else max(range(shards), key=lambda s: (room[s], votes[s], -s))
+            first = k
+            while k < len(blocks) and (k == first or room[to] >= blocks[k][2]):
+                block, at, n = blocks[k]
+                room[to] -= n
+                k += 1
+                if at != to:
+                    out.append((group, block, to))
+    return out
+
+
 def shard(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, n_linked) of each document: n_linked counts its group's rows, itself included."""
     base = cut(_base(docs, text, doc_id).withColumn("unit", F.monotonically_increasing_id()))
@@ -96,39 +128,44 @@ def shard(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shards
     quota = total / shards
     hashed = lambda *c, seed=SEED: F.pmod(doc_hash(*c, seed=seed), F.lit(shards)).cast("int")
     groups = base.filter(F.col("g1").isNotNull()).groupBy("g1", "g2").agg(F.count("*").alias("n_linked"), F.sum("size").alias("group_size")).filter("n_linked > 1")
-    linked = base.join(groups, ["g1", "g2"], "left").fillna({"n_linked": 1, "group_size": 0})
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("group_size") / F.lit(max(1.0, quota * BLOCK)))).cast("long")
-    block = F.when(F.col("n_linked") > 1, F.pmod(doc_hash("unit", seed=SEED + 2), blocks)).otherwise(0)
-    first = F.when(F.col("n_linked") > 1, hashed("g1", block)).otherwise(hashed("unit"))
-    state = cut(linked.select("unit", "doc_id", "size", "text_crc32", "g1", "g2", "n_linked", block.alias("block"), first.alias("shard")))
+    groups = cut(groups)
+    large = sorted(groups.filter(F.col("group_size") > quota * BLOCK).collect(), key=lambda r: (r["g1"], r["g2"]))  # at most shards / BLOCK
+    grain = max((r["group_size"] / r["n_linked"] for r in large), default=0.0)  # rows of a group are of one size
+    parts = [(r["g1"], r["g2"], k, m, r["group_size"] / m) for k, r in enumerate(large) for m in [math.ceil(r["group_size"] / (quota * BLOCK))]]
+    named = F.broadcast(base.sparkSession.createDataFrame(parts, "g1 long, g2 long, big int, blocks long, part double"))
+    linked = base.join(groups, ["g1", "g2"], "left").fillna({"n_linked": 1}).join(named, ["g1", "g2"], "left")
+    if large:
+        order = doc_hash("unit", seed=SEED + 2).bitwiseAND(F.lit((1 << 62) - 1))
+        block = F.least(F.col("blocks") - 1, F.floor((F.col("upto") - F.col("size") / 2) / F.col("part")))
+        dealt = _prefix(linked.filter("big is not null"), order, "big").withColumn("block", block.cast("long"))
+        linked = linked.filter("big is null").withColumn("block", F.lit(0).cast("long")).unionByName(dealt.drop("upto"))
+    else:
+        linked = linked.withColumn("block", F.lit(0).cast("long"))
+    first = F.when(F.col("n_linked") > 1, hashed("g1", "block")).otherwise(hashed("unit"))
+    state = cut(linked.select("unit", "doc_id", "size", "text_crc32", "g1", "g2", "n_linked", "big", "block", first.alias("shard")))
+    alone, small = F.col("n_linked") == 1, F.col("big").isNull()
+    enough = max(1.0, quota * 0.0005)
     for k in range(rounds):
-        # Propagation: a block follows the shard that has most bytes of its group, as far as that shard has room.
-        held = state.filter("n_linked > 1").groupBy("g1", "g2", "block", "shard").agg(F.sum("size").alias("size"))
-        own = held.groupBy("g1", "g2", "block").agg(F.max_by("shard", F.struct("size", (-F.col("shard")).alias("s"))).alias("want"))
-        votes = state.filter("n_linked > 1").join(own, ["g1", "g2", "block"]).filter("want <> shard")
-        loads = _loads(state, shards)
-        wants = {r[0]: r[1] for r in votes.groupBy("want").agg(F.sum("size")).collect()}
-        if wants:
-            share = {s: max(0.0, min(1.0, (quota * 1.02 - loads[s]) / x)) for s, x in wants.items()}
-            small = F.broadcast(state.sparkSession.createDataFrame(list(share.items()), "want int, share double"))
-            roll = F.pmod(doc_hash("g1", "block", seed=SEED + 10 + k), F.lit(1 << 20)) < F.col("share") * (1 << 20)
-            follow = state.join(own, ["g1", "g2", "block"], "left").join(small, "want", "left")
-            state = follow.withColumn("shard", F.when(F.col("want").isNotNull() & roll, F.col("want")).otherwise(F.col("shard"))).select(state.columns)
-            state = cut(state)
-            loads = _loads(state, shards)
+        # Propagation: blocks follow the votes of their group, as far as shards have room.
+        held = state.filter(~small).groupBy("big", "block", "shard").agg(F.sum("size").alias("size")) if large else None
+        moved = _follow([tuple(r) for r in held.collect()], quota, shards, grain) if large else []
+        if moved:
+            to = F.broadcast(state.sparkSession.createDataFrame(moved, "big int, block long, new int"))
+            state = cut(state.join(to, ["big", "block"], "left").withColumn("shard", F.coalesce("new", "shard")).select(state.columns))
         # Quotas: documents without links leave overfull shards first.
-        state = cut(_relieve(state, loads, quota, F.col("n_linked") == 1))
+        state = cut(_relieve(state, _loads(state, shards), quota, alone))
         loads = _loads(state, shards)
-        if max(loads, default=0) - min(loads, default=0) <= max(1.0, quota * 0.0005):
+        if max(loads, default=0) - min(loads, default=0) <= enough:
             break
         if k == 0 and max(loads) > quota * 1.0005:
-            # What is still overfull has links only: whole blocks leave, in a seeded order of blocks.
-            blocks_ = state.filter("n_linked > 1").groupBy("g1", "g2", "block", "shard").agg(F.sum("size").alias("size")).withColumn("unit", doc_hash("g1", "g2", "block", seed=SEED + 3))
-            moved = _relieve(blocks_, loads, quota, F.lit(True)).withColumnRenamed("shard", "new").select("g1", "g2", "block", "new")
-            state = cut(state.join(moved, ["g1", "g2", "block"], "left").withColumn("shard", F.coalesce("new", "shard")).select(state.columns))
-    loads = _loads(state, shards)
-    if max(loads, default=0) - quota > max(1.0, quota * 0.0005):  # last: any document, so that the sizes are near equal
-        state = cut(_relieve(state, loads, quota, F.lit(True)))
+            # What is still overfull has links only: whole small groups leave, in a seeded order.
+            units = state.filter(~alone & small).groupBy("g1", "g2", "shard").agg(F.sum("size").alias("size")).withColumn("unit", doc_hash("g1", "g2", seed=SEED + 3))
+            gone = _relieve(units, loads, quota, F.lit(True)).withColumnRenamed("shard", "new").select("g1", "g2", "new")
+            state = cut(state.join(gone, ["g1", "g2"], "left").withColumn("shard", F.when(small, F.coalesce("new", "shard")).otherwise(F.col("shard"))).select(state.columns))
+    for free, over in ((small, enough), (F.lit(True), max(enough, grain))):  # last: single documents of groups, so that the sizes are near equal
+        loads = _loads(state, shards)
+        if max(loads, default=0) - quota > over:
+            state = cut(_relieve(state, loads, quota, free))
     buckets = max(1, -(-n // (shards * BUCKET)))
     rows = state.withColumn("bucket", F.pmod(doc_hash("unit", seed=SEED + 4), F.lit(buckets)))
     sums = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))

@@ -224,6 +224,25 @@ def test_shard_edges(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize(("part", "least"), [(0.5, 1), (5, 5)])
+def test_shards_of_a_large_group(spark, part, least):
+    """A group that a shard can hold is in one shard, and one of five shards in five."""
+    copies, size = round(part * 200), 50
+    rows = [(i, "c" * (size - 1)) for i in range(copies)] + [(10_000 + i, f"{i:049d}") for i in range(16 * 200 - copies)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    load = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and len(load) == 16 and load.max() - load.min() <= 2 * size
+    assert got[got.n_linked > 1].shard.nunique() == least
+
+
+def test_blocks_follow_their_group():
+    held = [(0, b, b % 4, 10) for b in range(8)] + [(1, 0, 2, 10), (1, 1, 3, 15)]
+    to = {(g, b): s for g, b, s, _ in held} | {(g, b): s for g, b, s in sharding._follow(held, 100, 4, 0)}
+    assert len({to[0, b] for b in range(8)}) == 1 and to[1, 0] == to[1, 1] == 3
+    assert not sharding._follow([(g, b, to[g, b], n) for g, b, _, n in held], 100, 4, 0)
+    assert len({s for *_, s in sharding._follow([(0, b, 0, 10) for b in range(25)], 100, 4, 0)} | {0}) == 3
+
+
 # ------------------------------------------------------------------ archives
 
 class Held(io.BytesIO):
