@@ -1,7 +1,7 @@
 """Quality by hierarchical empirical Bayes: evidence of the text, and posteriors of its host and path.
 
-Evidence is the log-odds of a logistic model over byte-class bigrams of the whole text, fitted on a bounded sample of
-labelled documents. Documents' probabilities are summed by path and by host in grouped aggregations over all rows. The
+Evidence is the log-odds of a logistic model over byte-class bigrams and the repetition of words in the whole text,
+fitted on a bounded sample of labelled documents. Documents' probabilities are summed by path and by host in grouped aggregations over all rows. The
 rate of a host is shrunk towards the global rate, and that of a path towards its host's, each by a strength estimated
 from how much rates differ beyond chance (moments of a beta-binomial), so that sparse sites follow the level above.
 A document's score is its evidence plus the log-odds by which its path differs from the whole; its own probability is
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, doc_hash, give_back, table, text_buffer
+from .common import ALNUM, cut, doc_chunks, doc_hash, give_back, mix, table, text_buffer, word_hashes, word_spans
 
 #: Labelled documents that the model is fitted on, about; rows of site rates that are broadcast at most (beyond, a shuffle join).
 SAMPLE, BROADCAST_ROWS = 20_000, 200_000
@@ -37,11 +37,53 @@ for _k, _g in enumerate(_GROUPS):
     for _c in _g:
         _CLASS[ord(_c)] = _k
 _CLASS[128:] = len(_GROUPS) + 1
-FEATURES = CLASSES * CLASSES + 3
+REPEATS = 4
+FEATURES = CLASSES * CLASSES + REPEATS + 3
+
+
+def _pieces(raw: np.ndarray, a: int, b: int, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of raw[a:b] of `most` bytes or more that cut no word."""
+    while a < b:
+        to = min(b, a + most)
+        while to < b and ALNUM[raw[to - 1]] and ALNUM[raw[to]]:
+            inside = ALNUM[raw[to : min(b, to + most)]]
+            to += len(inside) if inside.all() else int(inside.argmin())
+        yield a, to
+        a = to
+
+
+def _distinct(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct numbers, times of the commonest one) of each of n rows."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.empty(0, np.int64)
+    most = np.zeros(n, np.int64)
+    np.maximum.at(most, row[first], np.diff(np.r_[first, len(h)]))
+    return np.bincount(row[first], minlength=n), most
+
+
+def repetition(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Four shares for each text: words equal to the one before, words and pairs of words that are repeats, and the commonest word."""
+    out = np.zeros((len(off) - 1, REPEATS))
+    for i, j in doc_chunks(off):
+        a, b, m = int(off[i]), int(off[j]), j - i
+        hashes, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for x, y in [(a, b)] if m > 1 else _pieces(raw, a, b):
+            starts, ends, row = word_spans(raw[x:y], off[i : j + 1] - a if m > 1 else np.array([0, y - x]), ALNUM)
+            hashes.append(word_hashes(raw[x:y], starts, ends))
+            rows.append(row)
+        h, row = np.concatenate(hashes), np.concatenate(rows)
+        words, near = np.bincount(row, minlength=m), row[1:] == row[:-1]
+        distinct, most = _distinct(h, row, m)
+        pairs, _ = _distinct((mix(h[:-1]) + h[1:])[near], row[1:][near], m)
+        n, n_pairs = np.maximum(1, words), np.maximum(1, words - 1)
+        same = np.bincount(row[1:][near & (h[1:] == h[:-1])], minlength=m)
+        out[i:j] = np.stack([same / n_pairs, (words - distinct) / n, np.maximum(0, words - 1 - pairs) / n_pairs, most / n], 1)
+    return out
 
 
 def features(arr: pa.Array) -> np.ndarray:
-    """A row of FEATURES numbers for each text: roots of the shares of byte-class bigrams, and of the length."""
+    """A row of FEATURES numbers for each text: roots of the shares of byte-class bigrams, the repetition, and of the length."""
     raw, off, _ = text_buffer(arr)
     out = np.zeros((len(arr), FEATURES))
     for i in range(len(arr)):
@@ -53,6 +95,7 @@ def features(arr: pa.Array) -> np.ndarray:
             counts += np.bincount(kind[:-1] * CLASSES + kind[1:], minlength=CLASSES * CLASSES)
         out[i, : CLASSES * CLASSES] = np.sqrt(counts / max(1, n - 1))
         out[i, -3:] = min(1.0, n / 200), np.log1p(n) / 10, 1.0
+    out[:, CLASSES * CLASSES : -3] = repetition(raw, off)
     return out
 
 

@@ -209,6 +209,36 @@ def test_quality_accuracy(spark):
     assert (got["__evidence"] > 0)[good].mean() > 0.98 and (got["__evidence"] <= 0)[~good].mean() > 0.6
 
 
+def kind_of_bad(text):
+    words = re.findall(r"\w+", text)
+    repeats = sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words) - 1)
+    if repeats > 0.2:
+        return "words"
+    if len(re.findall(r"[#$%&*]{3}", text)) > 0.1 * len(words):
+        return "symbols"
+    return "bars" if text.count(" | ") > 0.1 * len(words) else "capitals" if sum(c.isupper() for c in text) > 0.2 * len(text) else "other"
+
+
+def test_quality_by_kind(spark):
+    """Held-out low-quality documents of every kind are rejected, those of repeated words too."""
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    w = quality.fit(docs, labels.filter("doc_id % 4 <> 2"))
+    got = quality.with_evidence(docs.select("doc_id", "text"), w, "text").join(labels.filter("doc_id % 4 = 2"), "doc_id").toPandas()
+    bad = got[got.quality == 0]
+    rejected = (bad["__evidence"] <= 0).groupby(bad.text.map(kind_of_bad)).agg(["mean", "size"])
+    print(rejected, (got["__evidence"] > 0)[got.quality == 1].mean())
+    assert (bad["__evidence"] <= 0).mean() > 0.9 and rejected["mean"]["words"] > 0.9
+    assert (got["__evidence"] > 0)[got.quality == 1].mean() > 0.98
+
+
+def test_repetition_of_words():
+    texts = ["a b a b", "Der Der Der Der", None, "", "one two three", "x " * 700_000 + "y"]
+    raw, off, _ = common.text_buffer(pa.array(texts))
+    got = quality.repetition(raw, off)
+    assert np.allclose(got[:5], [[0, 0.5, 1 / 3, 0.5], [1, 0.75, 2 / 3, 1], [0] * 4, [0] * 4, [0, 0, 0, 1 / 3]])
+    assert np.allclose(got[5], [699_999 / 700_000, 699_999 / 700_001, 699_998 / 700_000, 700_000 / 700_001])
+
+
 def test_sites_are_shrunk(spark):
     rows = [("big", "p", 0.9)] * 400 + [("bad", "p", 0.1)] * 400 + [("tiny", "p", 0.0)] + [("mid", "q", 0.5)] * 100
     rates, mean = quality.site_rates(spark.createDataFrame(rows, "host string, path string, p double"))
