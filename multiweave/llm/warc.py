@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -115,17 +116,33 @@ def _writer(folder: str, least: int):
     return run
 
 
-def head_of(data: bytes) -> dict[str, str] | None:
-    """The header fields of the WARC record that a gzip member at the start of data holds, or None if there is none."""
-    unpack = zlib.decompressobj(31)
-    try:
-        text = unpack.decompress(data, HEAD)
-    except zlib.error:
-        return None
-    if not text.startswith(b"WARC/1.") or (end := text.find(b"\r\n\r\n")) < 0:
+def head_of(pieces: Iterable[bytes]) -> dict[str, str] | None:
+    """The header fields of the WARC record that the gzip member at the start of pieces holds, or None if there is none. Reads as far as the header goes."""
+    unpack, text = zlib.decompressobj(31), bytearray()
+    for piece in pieces:
+        while True:
+            try:
+                got = unpack.decompress(piece, HEAD)
+            except zlib.error:
+                return None
+            text += got
+            if not text.startswith(b"WARC/1."[: len(text)]):
+                return None
+            if (end := text.find(b"\r\n\r\n", max(0, len(text) - len(got) - 3))) >= 0:
+                return _fields(bytes(text[:end]))
+            if unpack.eof:
+                return None
+            piece = unpack.unconsumed_tail
+            if not piece and len(got) < HEAD:
+                break
+    return None
+
+
+def _fields(head: bytes) -> dict[str, str] | None:
+    if not head.startswith(b"WARC/1."):
         return None
     out = {}
-    for line in text[:end].split(b"\r\n")[1:]:
+    for line in head.split(b"\r\n")[1:]:
         key, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -152,7 +169,8 @@ def records_in(source, size: int, start: int, end: int) -> Iterator[tuple[int, d
             return
         if base + len(window) - at < HEAD and base + len(window) < size:
             base, window = at, source.read_at(min(READ, size - at), at)
-        head = head_of(window[at - base : at - base + HEAD])
+        more = (source.read_at(min(READ, size - to), to) for to in range(at + HEAD, size, READ))
+        head = head_of(itertools.chain([window[at - base : at - base + HEAD]], more))
         if head is None:
             at += 1
             continue
@@ -217,4 +235,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     out = cut(read(spark, folder, payload=False).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to")))
     delete_path(spark, folder)
+    if (n := out.count()) != written:
+        raise ValueError(f"{written} records were written, and {n} read")
     return out

@@ -324,3 +324,22 @@ def test_pipeline(spark, tmp_path):
     assert ids(got[got.piece == 0]) == taken
     got = got.sort_values(["sequence_id", "offset"])
     assert (got.offset == got.groupby("sequence_id").length.cumsum() - got.length).all() and got.groupby("sequence_id").length.sum().max() <= 2048
+
+
+@pytest.mark.parametrize("kind", ["varied", "alike"])
+def test_long_headers_are_read(spark, tmp_path, kind):
+    """Headers of more than the bytes inflated at once (long urls) are found, whether they shrink or not."""
+    rng = np.random.default_rng(3)
+    tail = rng.bytes(1_200_000).hex() if kind == "varied" else "a" * 2_000_000
+    rows = [(i, f"http://x/{i}" if i % 2 else f"data:text/plain,{i}{tail[: warc.HEAD - 200 + i * 37]}", f"<p>{i}</p>") for i in range(12)] + [(50, f"data:{tail}", "<p>long</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = warc.op9_warc(spark, str(tmp_path))
+    assert sorted(r["page_id"] for r in got.collect()) == sorted(r[0] for r in rows)
+
+
+def test_lost_records_are_an_error(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>") for i in range(5)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    whole = warc.read
+    monkeypatch.setattr(warc, "read", lambda *a, **b: whole(*a, **b).filter("record_id <> '<urn:page:3>'"))
+    with pytest.raises(ValueError, match="5 records were written, and 4 read"):
+        warc.op9_warc(spark, str(tmp_path))
