@@ -38,12 +38,14 @@ def knn(vectors: DataFrame, query: list[float], k: int, *, id_col: str = "id", v
     return rows.withColumn("distance", METRICS[metric](F.col(vec_col), q)).orderBy("distance", id_col).limit(max(0, k))
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str, id_col: str, vec_col: str = "embedding", metric: str = "cosine", most: int = 1_000) -> DataFrame:
-    """(query_id, id, rank, distance): the k nearest of each query, exactly. At most `most` queries, which are broadcast; each partition keeps its own k of each before anything is shuffled."""
-    if (n := queries.count()) > most:
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str, id_col: str, vec_col: str = "embedding", metric: str = "cosine", most: int | None = None, block: int = 1_000) -> DataFrame:
+    """(query_id, id, rank, distance): the k nearest of each query, exactly. Up to `block` queries are broadcast; more are dealt in blocks of about as many, each of which meets each partition of the vectors in a task of its own. A task keeps its own k of each query before anything is shuffled. More than `most` queries, if it is given, are an error."""
+    n = queries.count()
+    if most is not None and n > most:
         raise InvalidInput(f"{n} queries; an exact join takes {most} at most")
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vec_col).alias("__q"))
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("__v")).join(F.broadcast(q)).filter(F.col("id") != F.col("query_id"))
+    q = F.broadcast(q) if n <= block else q.repartition(-(-n // block)).hint("shuffle_replicate_nl")
+    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("__v")).join(q).filter(F.col("id") != F.col("query_id"))
     scored = pairs.select("query_id", "id", METRICS[metric](F.col("__q"), F.col("__v")).alias("distance"))
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)

@@ -47,6 +47,18 @@ def test_text(spark):
     assert [r[0] for r in rows(fulltext.search(index, "herbs"))] == [2]
 
 
+def test_knn_join_takes_any_number_of_queries(spark):
+    v = spark.range(1001).select("id", F.array((F.col("id") * 37 % 1001).cast("double"), F.lit(1.0)).alias("embedding"))
+    got = {(r["query_id"], r["rank"]): (r["id"], r["distance"]) for r in knn.knn_join(v, v, 2, query_id="id", id_col="id", metric="l2").collect()}
+    place = {i: i * 37 % 1001 for i in range(1001)}
+    ids = {p: i for i, p in place.items()}
+    want = {}
+    for i, p in place.items():
+        near = sorted((abs(p - o), ids[o]) for o in range(max(0, p - 2), min(1001, p + 3)) if o != p)
+        want |= {(i, k): (near[k - 1][1], float(near[k - 1][0])) for k in (1, 2)}
+    assert got == want
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [10.0, 0.0]), (2, [1.0, 1.0]), (3, [3.0, 4.0])], "id long, embedding array<float>")
     assert knn.knn(v, [1.0, 0.0], 1).first()["id"] == 1 and knn.knn(v, [1.0, 0.0], 1, metric="l2").first()["id"] == 2
