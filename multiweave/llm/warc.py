@@ -33,8 +33,10 @@ from .common import cut, delete_path, shared_path, table
 MAGIC = b"\x1f\x8b\x08"
 SPLIT, READ, HEAD = 4 << 20, 1 << 20, 64 << 10
 LEAST = 0
-#: Payloads with copies whose digests are broadcast at most; beyond, a shuffle join.
+#: Payloads with copies whose digests are broadcast at most, of some 60 bytes each; beyond, a shuffle join.
 BROADCAST_ROWS = 500_000
+#: Ranges that a task of the reader has at most.
+RANGES = 64
 READ_SCHEMA = "path string, at long, record_type string, record_id string, target_uri string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
 
@@ -192,7 +194,9 @@ def read(spark: SparkSession, folder: str, *, split: int = SPLIT, payload: bool
     """The records of the archives (*.warc.gz) in folder; payload=False leaves the bodies out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(folder).select("path", "length")
     starts = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("at"))
-    ranges = starts.repartition(F.col("path"), F.col("at"))  # a range a row; deals the ranges of each archive over all tasks
+    n = starts.count()  # of the listing
+    tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism), -(-n // RANGES))
+    ranges = starts.repartition(tasks)  # a range a row, dealt evenly; ranges are of one size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in READ_SCHEMA.split(", ")]
