@@ -3,11 +3,12 @@
 Templates are word sequences. Every rolling word pair of a text is hashed and joined to the positions of the templates'
 pairs (a broadcast of fixed size: the templates are a parameter); long templates also need the third word to agree, so
 that they vote by word triples. A hit at word i of the text and j of the template votes for the diagonal i - j. Votes are
-summed by document, template and diagonal before anything is shuffled. A phrase stands where its diagonal has all its
-votes. For long templates neighbouring diagonals (words put in or left out shift them) are merged, and the merged span is
-verified: it must hold enough of the template's triples, within a stretch not much longer than the template.
+gathered by document, template and diagonal before anything is shuffled. A phrase stands where its diagonal has all its
+votes. For long templates neighbouring diagonals (words put in or left out shift them) are merged: from each diagonal on,
+all those by which a span no longer than STRETCH times the template can shift. A merged span is verified by its words: it
+must hold SHARE of the template's triples, each place of the template counted once however often it was hit.
 
-Texts are lower-cased and words are runs of ASCII letters, digits and characters beyond ASCII.
+Capitals A-Z are made small, and words are runs of ASCII letters, digits and characters beyond ASCII.
 
 Defined results: null and empty texts have no words and empty labels with score 0. Every row of the table gives one row,
 repeated rows too. Any length of text is scanned whole. score is the best span's share of its template found, 1 for a phrase.
@@ -46,8 +47,10 @@ NOTICES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
 )
 
-#: Diagonals this near are merged; the share of a notice's triples that a span must hold; its length over the notice's at most.
+#: Verified spans whose diagonals are this near are one; the share of a notice's triples that a span must hold; its length over the notice's at most.
 NEAR, SHARE, STRETCH = 8, 0.7, 1.5
+#: Diagonals are counted in thousandths of their template, so that one frame fits all.
+UNIT = 1000
 
 
 def template_rows(phrases: tuple = PHRASES, notices: tuple = NOTICES) -> list[tuple]:
@@ -64,32 +67,47 @@ def template_rows(phrases: tuple = PHRASES, notices: tuple = NOTICES) -> list[tu
 TEMPLATE_SCHEMA = "template int, label string, base boolean, exact boolean, needed int, t_words int, t_at int, t_first string, t_second string, t_third string"
 
 
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), SEPARATOR), "")
+    """The words of a text, with the capitals A-Z made small.
+
+    Only two characters beyond ASCII have ASCII letters as their small ones; texts without them can take the quicker
+    function, as other words beyond ASCII are in no template whatever their case.
+    """
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    slow = whole.contains("\u0130") | whole.contains("\u212a")
+    return F.array_remove(F.split(F.when(slow, F.translate(whole, _CAPITALS, _CAPITALS.lower())).otherwise(F.lower(whole)), SEPARATOR), "")
 
 
 def votes(docs: DataFrame, templates: list[tuple], *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(row, doc_id, n_words, template, label, base, exact, needed, t_words, diagonal, n, low, high); a document without votes has one row with nulls."""
+    """(row, doc_id, n_words, template, label, base, exact, needed, t_words, diagonal, spots): the places of the template hit on the diagonal.
+
+    A document without votes has one row with nulls. Templates bound the spots.
+    """
     small = F.broadcast(docs.sparkSession.createDataFrame(templates, TEMPLATE_SCHEMA).withColumn("t_hash", F.xxhash64("t_first", "t_second")))
     words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("words"))
     shifted = words.select("row", "doc_id", F.size("words").alias("n_words"), F.posexplode_outer(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("b"), F.slice("words", 3, F.greatest(F.size("words"), F.lit(1))).alias("c"))).alias("at", "w"))
     grams = shifted.select("row", "doc_id", "n_words", "at", F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.col("w.c").alias("c"), F.xxhash64("w.a", "w.b").alias("hash"))
     same = (F.col("hash") == F.col("t_hash")) & (F.col("a") == F.col("t_first")) & (F.col("b") == F.col("t_second")) & (F.col("t_third").isNull() | (F.col("c") == F.col("t_third")))
     hits = grams.join(small, same, "left").filter(F.col("template").isNotNull() | (F.coalesce("at", F.lit(0)) == 0))
-    return hits.groupBy("row", "doc_id", "n_words", "template", "label", "base", "exact", "needed", "t_words", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(F.count("template").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"))
+    return hits.groupBy("row", "doc_id", "n_words", "template", "label", "base", "exact", "needed", "t_words", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(F.collect_set("t_at").alias("spots"))
 
 
 def spans(voted: DataFrame) -> DataFrame:
     """(row, label, base, start, score) of the phrases and notices that stand in each document."""
     found = voted.filter(F.col("template").isNotNull())
-    exact = found.filter(F.col("exact") & (F.col("n") == F.col("needed"))).select("row", "label", "base", F.col("diagonal").alias("start"), F.lit(1.0).alias("score"))
+    exact = found.filter(F.col("exact") & (F.size("spots") == F.col("needed"))).select("row", "label", "base", F.col("diagonal").alias("start"), F.lit(1.0).alias("score"))
+    shift = F.floor(F.col("diagonal") * UNIT / F.col("t_words")).cast("long")
+    on = Window.partitionBy("row", "template").orderBy("shift").rangeBetween(0, int(UNIT * (STRETCH - 1)))
+    merged = found.filter(~F.col("exact")).withColumn("shift", shift).withColumn("held", F.size(F.array_distinct(F.flatten(F.collect_list("spots").over(on)))))
+    good = merged.withColumn("share", F.col("held") / F.col("needed")).filter(F.col("share") >= SHARE)
     per = Window.partitionBy("row", "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(per) > NEAR).cast("int"), F.lit(1))
-    runs = found.filter(~F.col("exact")).withColumn("new", new).withColumn("run", F.sum("new").over(per))
-    merged = runs.groupBy("row", "template", "label", "needed", "t_words", "run").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    share = F.least(F.lit(1.0), F.col("n") / F.col("needed"))
-    near = merged.filter((share >= SHARE) & (F.col("high") - F.col("low") + 3 <= F.col("t_words") * STRETCH)).select("row", "label", F.lit(False).alias("base"), F.col("low").alias("start"), share.alias("score"))
-    return exact.unionByName(near)
+    runs = good.withColumn("new", new).withColumn("run", F.sum("new").over(per))
+    near = runs.groupBy("row", "template", "label", "run").agg(F.max_by("diagonal", F.struct("share", "diagonal")).alias("start"), F.max("share").alias("score"))
+    return exact.unionByName(near.select("row", "label", F.lit(False).alias("base"), "start", "score"))
 
 
 def scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", phrases: tuple = PHRASES, notices: tuple = NOTICES) -> DataFrame:
@@ -121,22 +139,28 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    quote = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-    values = ",\n".join(f"({', '.join(map(quote, r))})" for r in template_rows())
+    """The same results another way: phrases as joined words that are searched, notices by pairs of hits on two diagonals, no hashes."""
+    quote = lambda x: f"'{x}'" if isinstance(x, str) else str(x)
+    phrases = ",\n".join(f"({', '.join(map(quote, p))}, {len(p[2].split())})" for p in PHRASES)
+    notices = ",\n".join(f"({t}, {quote(label)}, string_split({quote(text)}, ' '))" for t, (label, text) in enumerate(NOTICES))
     return f"""
-WITH t(template, label, base, exact, needed, t_words, t_at, t_first, t_second, t_third) AS (VALUES
-{values}),
-d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS words FROM documents),
-g AS (SELECT r, unnest(range(len(words) - 1)) AS i, words FROM d WHERE len(words) >= 2),
-v AS (SELECT r, template, label, base, exact, needed, t_words, i - t_at AS diagonal, count(*) AS n, min(i) AS low, max(i) AS high
-      FROM g JOIN t ON words[i + 1] = t_first AND words[i + 2] = t_second AND (t_third IS NULL OR words[i + 3] = t_third)
-      GROUP BY ALL),
-e AS (SELECT r, label, base, diagonal AS start, 1.0::DOUBLE AS score FROM v WHERE exact AND n = needed),
-m AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > {NEAR})::INT, 1) AS new FROM v WHERE NOT exact),
-u AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS run FROM m),
-s AS (SELECT r, label, needed, t_words, sum(n) AS n, min(low) AS low, max(high) AS high FROM u GROUP BY r, template, label, needed, t_words, run),
-f AS (SELECT * FROM e UNION ALL
-      SELECT r, label, false, low, least(1.0::DOUBLE, n::DOUBLE / needed) FROM s WHERE least(1.0::DOUBLE, n::DOUBLE / needed) >= {SHARE} AND high - low + 3 <= t_words * {STRETCH})
+WITH p(label, base, phrase, n) AS (VALUES
+{phrases}),
+t(template, label, words) AS (VALUES
+{notices}),
+k AS (SELECT template, label, len(words) AS size, unnest(range(1, len(words) - 1)) AS j, words FROM t),
+three AS (SELECT template, label, size, j, words[j] || ' ' || words[j + 1] || ' ' || words[j + 2] AS gram FROM k),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+g AS (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM d),
+e AS (SELECT r, label, base, i - 1 AS start, 1.0::DOUBLE AS score FROM g JOIN p ON words[i] = split_part(phrase, ' ', 1) AND list_aggregate(words[i:i + n - 1], 'string_agg', ' ') = phrase),
+h AS (SELECT r, template, label, size, i, j FROM g JOIN three ON len(words) >= i + 2 AND words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] = gram),
+a AS (SELECT DISTINCT r, template, label, size, i - j AS d, (i - j) * {UNIT} // size - CASE WHEN (i - j) < 0 AND (i - j) * {UNIT} % size <> 0 THEN 1 ELSE 0 END AS s FROM h),
+s AS (SELECT a.r, a.label, count(DISTINCT b.j)::DOUBLE / (a.size - 2) AS share
+      FROM a JOIN (SELECT DISTINCT h.r, h.template, h.j, a.s FROM h JOIN a ON a.r = h.r AND a.template = h.template AND a.d = h.i - h.j) b
+      ON a.r = b.r AND a.template = b.template AND b.s BETWEEN a.s AND a.s + {int(UNIT * (STRETCH - 1))}
+      GROUP BY a.r, a.template, a.label, a.size, a.d),
+f AS (SELECT * FROM e UNION ALL SELECT r, label, false, NULL, share FROM s WHERE share >= {SHARE})
 SELECT d.doc_id, len(any_value(words))::BIGINT AS n_words, count(*) FILTER (base) AS n_base,
        (min(start) FILTER (base))::BIGINT AS first_word, (max(start) FILTER (base))::BIGINT AS last_word,
        coalesce(list_aggregate(list_sort(list(DISTINCT label) FILTER (base)), 'string_agg', ','), '') AS base_labels,
