@@ -222,10 +222,24 @@ def lower_bytes(raw: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------------------------ graphs
 
+#: A node is a hub if it has this share of the edges; there are so few of them that what is looked up for them is broadcast.
+HUB = 1 / 256
+
+
+def at_nodes(edges: DataFrame, key: str, nodes: DataFrame, least_hub: float) -> DataFrame:
+    """edges joined with nodes (node, m, degree) where key is the node. Hubs, of degree over least_hub, meet a broadcast: their edges stay where they are."""
+    named = nodes.select(F.col("node").alias(key), "m", "degree")
+    hubs = F.broadcast(named.filter(F.col("degree") > least_hub).select(key, F.col("m").alias("__m")))
+    seen = edges.join(hubs, key, "left")
+    others = named.filter(F.col("degree") <= least_hub).select(key, "m")
+    return seen.filter(F.col("__m").isNotNull()).withColumnRenamed("__m", "m").unionByName(seen.filter(F.col("__m").isNull()).drop("__m").join(others, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of each node of the undirected edges (a, b): component is the smallest node of its part.
 
-    Alternating large-star and small-star rounds, each cut in the shared folder. Nulls and loops are left out.
+    Alternating large-star and small-star rounds, each cut in the shared folder. Nodes of many edges do not gather them in
+    one task. Nulls and loops are left out.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u is not null and v is not null and u <> v").distinct())
     state, n = None, now.count()
@@ -233,13 +247,13 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state or not seen[0]:
             break
-        state = seen
+        state, hub = seen, max(64.0, 2 * HUB * seen[0])
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(below, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(below.select("u", F.col("m").alias("v"))).distinct(), n)
+        least = both.groupBy(F.col("u").alias("node")).agg(F.least("node", F.min("v")).alias("m"), F.count("*").alias("degree"))
+        large = at_nodes(now, "v", least, hub).select("u", F.col("m").alias("v")).distinct()
+        below = large.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = at_nodes(large, "u", below, hub).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(small.unionByName(below.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct(), n)
         del both, least, large, below, small
         tidy(edges.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

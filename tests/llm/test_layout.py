@@ -343,3 +343,12 @@ def test_lost_records_are_an_error(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "read", lambda *a, **b: whole(*a, **b).filter("record_id <> '<urn:page:3>'"))
     with pytest.raises(ValueError, match="5 records were written, and 4 read"):
         warc.op9_warc(spark, str(tmp_path))
+
+
+def test_ranges_are_dealt_to_tasks(spark, tmp_path):
+    """The read plan has as many tasks as there are ranges, up to a few for each core."""
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>" * 50) for i in range(200)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), f"file://{tmp_path}/w").collect()
+    for split, least in ((512, 4 * spark.sparkContext.defaultParallelism), (1 << 30, 3)):
+        got = warc.read(spark, f"file://{tmp_path}/w", split=split, payload=False)
+        assert got.rdd.getNumPartitions() >= least and sorted(warc.page_of(r["record_id"]) for r in got.collect()) == list(range(200))

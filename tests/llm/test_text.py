@@ -199,6 +199,16 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in common.components(edges).collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 7: 7, 8: 7, 20: 20, 21: 20, 22: 20, 23: 20, 24: 20}
 
 
+def test_components_with_hubs(spark):
+    """Nodes of very many edges, as centres, as leaves of many and in a chain of stars."""
+    edges = [(0, i) for i in range(1, 400)] + [(5000, i) for i in range(300, 700)] + [(2000 + i, 2001 + i) for i in range(0, 60, 2)] + [(3000, 2000), (3000, 2001)]
+    want = {x: x for e in edges for x in e}
+    while any(want[a] != want[b] for a, b in edges):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    assert {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
 # ------------------------------------------------------------------ quality
 
 def test_quality_accuracy(spark):
@@ -281,6 +291,21 @@ def test_changed_notices(spark, changed, found):
     assert (r["labels"] == "mit") == found and r["base_labels"] == "" and r["first_word"] is None and 0 <= r["score"] <= 1
 
 
+def test_spans_are_verified_by_their_words(spark):
+    """A fragment does not stand for a notice however often it is repeated, and does not hide one beside it."""
+    words = licenses.NOTICES[0][1].split()
+    fragment = " ".join(words[:8])
+    texts = [" ".join([fragment] * 13), " ".join([fragment] * 400), " ".join([fragment] * 40 + words + [fragment] * 40), " ".join(words[:70] + ["and so on"] * 4 + words[70:]), " ".join(words[40:] + words[:40]), " ".join(reversed(words))]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "", 1: "", 2: "mit", 3: "mit", 4: "", 5: ""}
+
+
+def test_capitals_beyond_ascii_stay(spark):
+    rows = [(0, "MIT LICENSE"), (1, "M\u0130T LICENSE"), (2, "\u212a MIT license \u212a"), (3, "k mit license \u00c9")]
+    got = {r["doc_id"]: (r["n_words"], r["first_word"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (2, 0), 1: (2, None), 2: (4, 1), 3: (4, 1)}
+
+
 def test_licence_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "MIT-license MIT License mit licenses"), (4, "a"), (4, "a"), (None, "Apache\nLicense"), (5, "GNU GENERAL public License " + "x " * 50_000)], "doc_id long, text string").withColumn("label", F.lit("clash"))
     got = {(r["doc_id"], r["n_words"]): r for r in licenses.scan(docs).collect()}
