@@ -235,6 +235,44 @@ def test_shards_of_a_large_group(spark, part, least):
     assert got[got.n_linked > 1].shard.nunique() == least
 
 
+def cut_edges(got):
+    """Links between two shards, of all pairs of equal texts."""
+    return sum(len(g) * (len(g) - 1) // 2 - sum(n * (n - 1) // 2 for n in g.shard.value_counts()) for _, g in got.groupby("text_crc32"))
+
+
+@pytest.mark.parametrize("lone", [1500, 20])
+def test_propagation_lowers_cut_edges(spark, lone):
+    """Groups whose documents start apart gather; with room everywhere, each where most of its bytes were."""
+    sizes = np.random.default_rng(8).integers(2, 9, 300)
+    rows = [(k * 100 + i, f"group {k} " * (3 + k % 5)) for k, n in enumerate(sizes) for i in range(n)] + [(100_000 + i, f"lone {i} " * 6) for i in range(lone)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    before, after = (sharding.shard(docs, rounds=k).toPandas() for k in (0, sharding.ROUNDS))
+    load = after.groupby("shard")["size"].sum()
+    assert len(after) == len(rows) and load.max() - load.min() <= 2 * after["size"].max()
+    assert cut_edges(after) < 0.1 * cut_edges(before)
+    if lone > 1000:
+        assert cut_edges(after) == 0
+        start = before[before.n_linked > 1].groupby(["text_crc32", "shard"])["size"].sum()
+        for crc, g in after[after.n_linked > 1].groupby("text_crc32"):
+            assert start[crc][g.shard.iloc[0]] == start[crc].max()
+
+
+def test_moves_are_cut_down_to_the_room():
+    wanted = {(0, 1): 50.0, (2, 1): 50.0, (1, 0): 10.0, (3, 2): 5.0}
+    got = sharding._allowed(wanted, [60.0, 60.0, 60.0, 60.0], [80.0] * 4)
+    assert got[1, 0] == 10 and got[3, 2] == 5 and got[0, 1] + got[2, 1] == pytest.approx(30, abs=2)
+    assert sharding._allowed({(0, 1): 5.0}, [10.0, 90.0], [50.0, 80.0])[0, 1] == 0
+
+
+def test_copies_without_bytes_are_a_large_group(spark):
+    """A third of all rows with an empty text, and a third without any, are dealt without a shuffle by their text."""
+    rows = [(i, "") for i in range(400)] + [(1000 + i, None) for i in range(400)] + [(2000 + i, f"text {i} " * 20) for i in range(400)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert len(got) == len(rows) and got[got.doc_id < 400].shard.nunique() == 1 and (got[got.doc_id.between(1000, 1999)].n_linked == 1).all()
+    load = got.groupby("shard")["size"].sum()
+    assert load.max() - load.min() <= 2 * got["size"].max()
+
+
 def test_blocks_follow_their_group():
     held = [(0, b, b % 4, 10) for b in range(8)] + [(1, 0, 2, 10), (1, 1, 3, 15)]
     to = {(g, b): s for g, b, s, _ in held} | {(g, b): s for g, b, s in sharding._follow(held, 100, 4, 0)}
