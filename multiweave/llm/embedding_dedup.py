@@ -2,170 +2,199 @@
 
 Vectors are scaled to length 1 and cut in halves; each half has a codebook of its own, and the product of the two is a
 grid of cells that costs only two small codebooks. Every vector is stored in its cell. It then visits cells in the order
-of their distance (the sum of the halves' distances, by multi-sequence traversal: the cells that can be next are those
-all of whose predecessors were visited) until its target recall, and is compared there with what is stored. How many
-cells that is, is calibrated: sampled vectors are turned by just the angle of the least similarity that links, in random
-directions, and the cells' ranks at which their turned copies lie give the number. A link can be found from either end.
-
-Equal vectors are one class with a multiplicity, so copies are not expanded. Cells with many vectors or visitors are
-dealt in blocks of bounded size, each pair of blocks to a task of its own. Cosines are taken in double precision.
-
-Defined results: vectors that are null, empty, zero, hold null or non-finite components, or are not of the commonest
-dimension link with nothing: n_links 0, component_id their own id, kept. Rows with a null id have no links, and null in
-component_id; they are kept. Repeated rows are copies of each other. Empty tables give no rows.
+of their distance (the sum of the halves' distances) by multi-sequence traversal: the cells that can be next are those
+all of whose predecessors were visited. It goes on until its target recall, which is where a cell is farther than the
+nearest one by more than a slack; how many cells that is depends on the vector. The slack is calibrated: sampled vectors
+are turned by just the angle of the least similarity that links, in random directions, and the cells in which their turned
+copies lie give it. In the cells visited all vectors are compared. A link can be found from either end.
+
+Equal vectors are one class with a multiplicity, so copies are not expanded. Consecutive cells share a block, and large
+cells have several; a vector goes once to each block of the cells that it visits, and blocks with many visitors are dealt
+in turns. A task gives no pairs: of each vector there the number of its links, each link counted where its smaller end
+visits or else where only its larger end does, and the smallest vector that links reach within the task, which is all that
+connected components need. Cosines are taken in double precision.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing: n_links 0,
+component_id their own id, kept. Vectors link with those of as many components, an index for each. Rows with a null id
+have no links, and null in component_id; they are kept. Repeated rows are copies of each other. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
-from .vectors import common_dim, distances, kmeans, matrix, sample, with_bytes
+from .common import HUB, at_nodes, components, cut, table
+from .vectors import blocks_of, dimensions, distances, kmeans, list_column, matrix, sample, to_blocks, turns_of, with_bytes
 
 COSINE, SEED = 0.9, 5
 #: Vectors that the codebooks are fitted on at most; share of links that a visit from one end alone shall find.
-SAMPLE, ONE_SIDED = 8192, 0.95
-MIN_CODES, MAX_CODES = 4, 256
+SAMPLE, ONE_SIDED = 16_384, 0.99
+MIN_CODES, MAX_CODES = 4, 512
 #: Stored vectors and visitors of a block, about.
-STORED, VISITORS = 2048, 4096
-
-
-def traverse(first: np.ndarray, second: np.ndarray, cells: int) -> list[tuple[int, int]]:
-    """The `cells` pairs (i, j) of least first[i] + second[j], nearest first, by multi-sequence traversal."""
-    one, two = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap, seen, out = [(first[one[0]] + second[two[0]], 0, 0)], {(0, 0)}, []
-    while heap and len(out) < cells:
-        _, i, j = heapq.heappop(heap)
-        out.append((int(one[i]), int(two[j])))
-        for a, b in ((i + 1, j), (i, j + 1)):
-            if a < len(one) and b < len(two) and (a, b) not in seen and (a == 0 or (a - 1, b) in seen) and (b == 0 or (a, b - 1) in seen):
-                seen.add((a, b))
-                heapq.heappush(heap, (first[one[a]] + second[two[b]], a, b))
-    return out
+STORED, VISITORS = 1024, 2048
 
 
-def nearest_cells(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cells: int) -> np.ndarray:
-    """For each vector the cells in the order of the traversal, as i * codes + j. Ties by that number.
+def traverse(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, cells): row i of x visits cells[ends[i]:ends[i + 1]], as i * codes + j, nearest first, up to `slack` beyond the nearest.
 
-    For a whole matrix at once: of the ranks (r, s) of the two halves only those with (r + 1)(s + 1) <= cells can be
-    among the first `cells` pairs, as all pairs of lower ranks come before; those are sorted.
+    Multi-sequence traversal of all rows at once: of each row, every code of the first half points to the code of the
+    second half that is its next, and is a candidate if the code before it is farther on.
     """
     half, codes = x.shape[1] // 2, len(books[1])
     d1, d2 = distances(x[:, :half], books[0]), distances(x[:, half:], books[1])
     o1, o2 = np.argsort(d1, 1, kind="stable"), np.argsort(d2, 1, kind="stable")
-    r, s = np.meshgrid(np.arange(len(books[0])), np.arange(codes), indexing="ij")
-    can = (r + 1) * (s + 1) <= cells
-    r, s = r[can], s[can]
-    total = np.take_along_axis(d1, o1, 1)[:, r] + np.take_along_axis(d2, o2, 1)[:, s]
-    cell = o1[:, r] * codes + o2[:, s]
-    order = np.lexsort((cell, total), axis=1)[:, :cells]
-    return np.take_along_axis(cell, order, 1)
-
-
-def fit(x: np.ndarray, n: int, cosine: float) -> tuple[tuple[np.ndarray, np.ndarray], int]:
-    """(codebooks, cells to visit) from a sample of unit vectors, for n vectors in all."""
-    half = x.shape[1] // 2
-    codes = int(np.clip(2 ** round(np.log2(max(1.0, np.sqrt(n) / 6))), MIN_CODES, MAX_CODES))
+    d1, d2 = np.take_along_axis(d1, o1, 1), np.take_along_axis(d2, o2, 1)
+    n, wide = d1.shape
+    at = np.zeros((n, wide), np.int64)
+    best = np.full((n, wide), np.inf)
+    best[:, 0] = d1[:, 0] + d2[:, 0]
+    limit, live = best[:, 0] + slack, np.arange(n)
+    rows, cells = [], []
+    while len(live):
+        r = best[live].argmin(1)
+        go = best[live, r] <= limit[live]
+        live, r = live[go], r[go]
+        s = at[live, r]
+        rows.append(live)
+        cells.append(o1[live, r] * codes + o2[live, s])
+        at[live, r] = s + 1
+        to = np.minimum(s + 1, codes - 1)
+        may = (s + 1 < codes) & ((r == 0) | (at[live, r - 1] > s + 1))
+        best[live, r] = np.where(may, d1[live, r] + d2[live, to], np.inf)
+        k = np.flatnonzero(r + 1 < wide)  # the next code may go as far as this one has
+        own, below = live[k], r[k] + 1
+        s = at[own, below]
+        k = np.flatnonzero(s < at[own, below - 1])
+        own, below, s = own[k], below[k], s[k]
+        best[own, below] = d1[own, below] + d2[own, s]
+    row, cell = np.concatenate(rows), np.concatenate(cells)
+    order = np.argsort(row, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]), cell[order]
+
+
+def codes_for(n: int) -> int:
+    return int(np.clip(2 ** round(np.log2(max(1.0, np.sqrt(n) / 6))), MIN_CODES, MAX_CODES))
+
+
+def fit(x: np.ndarray, n: int, cosine: float) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """(codebooks, slack) from a sample of unit vectors, for n vectors in all."""
+    half, codes = x.shape[1] // 2, codes_for(n)
     books = kmeans(x[:, :half], codes, SEED), kmeans(x[:, half:], codes, SEED + 1)
     rng = np.random.default_rng(SEED)
-    own = x[rng.choice(len(x), min(len(x), 1024), replace=False)]
+    own = x[rng.choice(len(x), 2048, replace=len(x) < 2048)]
     noise = rng.standard_normal(own.shape)
     noise -= (noise * own).sum(1, keepdims=True) * own
     length = np.linalg.norm(noise, axis=1, keepdims=True)
     turned = cosine * own + np.sqrt(1 - cosine * cosine) * np.divide(noise, length, out=np.zeros_like(noise), where=length > 0)
-    lies = nearest_cells(turned, books, 1)[:, 0]
-    every = len(books[0]) * len(books[1])
-    ranks = np.empty(len(own))
-    for i in range(0, len(own), 128):
-        d1, d2 = distances(own[i : i + 128, :half], books[0]), distances(own[i : i + 128, half:], books[1])
-        total = (d1[:, :, None] + d2[:, None, :]).reshape(len(d1), every)
-        ranks[i : i + 128] = (total < total[np.arange(len(total)), lies[i : i + 128]][:, None]).sum(1) + 1
-    return books, int(min(every, max(1, np.quantile(ranks, ONE_SIDED))))
+    beyond = np.zeros(len(own))
+    for part, book in ((slice(None, half), books[0]), (slice(half, None), books[1])):
+        d, lies = distances(own[:, part], book), distances(turned[:, part], book).argmin(1)
+        beyond += d[np.arange(len(own)), lies] - d.min(1)
+    return books, float(np.quantile(beyond, ONE_SIDED)) + 1e-12
 
 
 def links(classes: DataFrame, dim: int, *, cosine: float = COSINE) -> DataFrame:
-    """(a, b, n_a, n_b): links a < b of rows (cls, n, vec) of distinct vectors of one dimension."""
+    """(cls, others, rep) of rows (cls, n, vec) of distinct vectors of one dimension: parts of the number of rows linked to a class, and a class that links reach."""
     spark, n = classes.sparkSession, classes.count()
     drawn = sample(classes, "cls", dim, SAMPLE, SEED)
-    books, cells = fit(drawn / np.linalg.norm(drawn, axis=1, keepdims=True), n, cosine)
-    shared = spark.sparkContext.broadcast((books, cells))  # two codebooks of at most MAX_CODES rows
+    books, slack = fit(drawn / np.linalg.norm(drawn, axis=1, keepdims=True), n, cosine)
+    shared = spark.sparkContext.broadcast((books, slack))  # two codebooks of at most MAX_CODES rows
 
-    def cells_of(vec: pa.Array, most: int) -> np.ndarray:
-        x = matrix(vec, dim)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        return np.concatenate([nearest_cells(x[i : i + 512], shared.value[0], most) for i in range(0, len(x), 512)]) if len(x) else np.empty((0, most), np.int64)
+    def walk(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                own = batch.slice(i, 512)
+                x = matrix(own.column(2), dim)
+                ends, cells = traverse(x / np.linalg.norm(x, axis=1, keepdims=True), *shared.value)
+                visits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(cells[ends[:-1]], pa.int32()), visits], names=["cls", "n", "vec", "cell", "visits"])
+
+    walked = cut(classes.select("cls", "n", "vec").mapInArrow(walk, "cls long, n long, vec binary, cell int, visits array<int>"))
+    stored = np.zeros(len(books[0]) * len(books[1]), np.int64)
+    for r in walked.groupBy("cell").count().collect():  # a row for each cell at most
+        stored[r["cell"]] = r["count"]
+    dealt = spark.sparkContext.broadcast(blocks_of(stored, STORED))
+    turns = F.broadcast(spark.createDataFrame([(b, int(t)) for b, t in turns_of(walked, "visits", dealt, VISITORS).items()], "block long, turns int"))  # a row for each block
+
+    def visit(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                own = batch.slice(i, 512)
+                row, block, cells, ends = to_blocks(*list_column(own.column(4)), dealt.value)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(block), *(c.take(at) for c in own.columns[:4]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cells, pa.int32()))], names=["block", *own.schema.names])
 
-    def count(batches):
-        stored, visited = {}, {}
+    def store(batches):
         for batch in batches:
-            cell = cells_of(batch.column(0), cells)
-            for to, c in ((stored, cell[:, 0]), (visited, cell.ravel())):
-                for k, v in zip(*np.unique(c, return_counts=True), strict=True):
-                    to[int(k)] = to.get(int(k), 0) + int(v)
-        keys = sorted(visited.keys() | stored.keys())
-        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([stored.get(k, 0) for k in keys], pa.int64()), pa.array([visited.get(k, 0) for k in keys], pa.int64())], ["cell", "stored", "visited"])
-
-    sizes = classes.select("vec").mapInArrow(count, "cell long, stored long, visited long").groupBy("cell").agg(F.sum("stored").alias("stored"), F.sum("visited").alias("visited")).collect()  # a row for each cell at most
-    dealt = spark.sparkContext.broadcast({r["cell"]: (-(-r["stored"] // STORED), -(-r["visited"] // VISITORS)) for r in sizes})
-
-    def deal(stores: bool):
-        def run(batches):
-            for batch in batches:
-                cell = cells_of(batch.column(2), 1 if stores else cells)
-                key, rows, mine, theirs = [], [], [], []
-                place = np.random.default_rng(len(batch)).integers(0, 1 << 30, cell.shape)  # any block will do
-                for i in range(len(batch)):
-                    for c, r in zip(cell[i], place[i], strict=True):
-                        s, v = dealt.value[int(c)]
-                        own, other = (s, v) if stores else (v, s)
-                        for o in range(other):
-                            key.append(int(c))
-                            rows.append(i)
-                            mine.append(int(r) % own if own else 0)
-                            theirs.append(o)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(mine if stores else theirs, pa.int32()), pa.array(theirs if stores else mine, pa.int32()), *(batch.column(k).take(pa.array(rows, pa.int64())) for k in range(3))], names=["cell", "s", "v", "cls", "n", "vec"])
-
-        return classes.select("cls", "n", "vec").mapInArrow(run, "cell long, s int, v int, cls long, n long, vec binary")
-
-    def compare(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["a", "b", "n_a", "n_b"]
-        if not len(left) or not len(right):
-            return pa.table([pa.array([], pa.int64())] * 4, names)
-        x, y = matrix(left["vec"], dim), matrix(right["vec"], dim)
+            first, number = dealt.value
+            cell, cls = batch.column(3).to_numpy(), batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(first[cell] + cls % number[cell]), *batch.columns], names=["block", *batch.schema.names])
+
+    schema = "block long, cls long, n long, vec binary, cell int, visits array<int>"
+    left = walked.mapInArrow(visit, schema).join(turns, "block").withColumn("turn", F.pmod(F.xxhash64("cls"), F.col("turns")).cast("int")).drop("turns")
+    right = walked.mapInArrow(store, schema).join(turns, "block").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
+
+    def compare(key, visitors: pa.Table, held: pa.Table) -> pa.Table:
+        names = ["cls", "others", "rep"]
+        if not len(visitors) or not len(held):
+            return pa.table([pa.array([], pa.int64())] * 3, names)
+        x, y = matrix(visitors["vec"], dim), matrix(held["vec"], dim)
+        (cls_x, n_x), (cls_y, n_y) = ((t["cls"].to_numpy(), t["n"].to_numpy().astype(float)) for t in (visitors, held))
         near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T >= cosine
-        i, j = np.nonzero(near)
-        a, b, n_a, n_b = left["cls"].to_numpy()[i], right["cls"].to_numpy()[j], left["n"].to_numpy()[i], right["n"].to_numpy()[j]
-        other = a != b
-        a, b, n_a, n_b = a[other], b[other], n_a[other], n_b[other]
-        turn = a > b
-        return pa.table([np.where(turn, b, a), np.where(turn, a, b), np.where(turn, n_b, n_a), np.where(turn, n_a, n_b)], names)
-
-    on = ["cell", "s", "v"]
-    found = deal(True).groupBy(on).cogroup(deal(False).groupBy(on)).applyInArrow(compare, "a long, b long, n_a long, n_b long")
-    return found.distinct()
+        near &= _visited(visitors["visits"], held["cell"].to_numpy()) & (cls_x[:, None] != cls_y[None, :])
+        again = near & (cls_x[:, None] > cls_y[None, :]) & _visited(held["visits"], visitors["cell"].to_numpy()).T  # counted from the other end
+        count = (near & ~again).astype(float)
+        some_x, some_y = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+        near = near[np.ix_(some_x, some_y)]
+        rep_x, rep_y = cls_x[some_x].copy(), cls_y[some_y].copy()
+        most, state = np.iinfo(np.int64).max, None
+        while len(some_x) and state != (state := (rep_x.tobytes(), rep_y.tobytes())):
+            rep_x = np.minimum(rep_x, np.where(near, rep_y[None, :], most).min(1))
+            rep_y = np.minimum(rep_y, np.where(near, rep_x[:, None], most).min(0))
+        others = np.concatenate([(count @ n_y)[some_x], (n_x @ count)[some_y]]).astype(np.int64)
+        return pa.table([np.concatenate([cls_x[some_x], cls_y[some_y]]), others, np.concatenate([rep_x, rep_y])], names)
+
+    on = ["block", "turn"]
+    return left.groupBy(on).cogroup(right.groupBy(on)).applyInArrow(compare, "cls long, others long, rep long")
+
+
+def _visited(visits: pa.ChunkedArray, cells: np.ndarray) -> np.ndarray:
+    """Whether each row of visits has each of the cells."""
+    ends, flat = list_column(visits)
+    kinds, back = np.unique(cells, return_inverse=True)
+    place = np.searchsorted(kinds, flat).clip(0, len(kinds) - 1)
+    known = kinds[place] == flat
+    out = np.zeros((len(ends) - 1, len(kinds)), bool)
+    out[np.repeat(np.arange(len(ends) - 1), np.diff(ends))[known], place[known]] = True
+    return out[:, back]
 
 
 def near_duplicates(rows: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """One row for each row: vec_id, n_links, component_id, kept."""
     clean = cut(with_bytes(rows, vec_id, embedding))
-    dim = common_dim(clean)
-    takes = F.col("vec").isNotNull() & (F.octet_length("vec") == 8 * dim) & F.col("vec_id").isNotNull()
-    alone = clean.filter(~F.coalesce(takes, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not dim:
-        return alone
-    classes = cut(clean.filter(takes).groupBy("vec").agg(F.min("vec_id").alias("cls"), F.count("*").alias("n")))
+    takes = F.col("vec").isNotNull() & F.col("vec_id").isNotNull()
+    out = clean.filter(~takes).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for dim in dimensions(clean.filter(takes)):
+        out = out.unionByName(_placed(clean.filter(takes & (F.octet_length("vec") == 8 * dim)), dim, cosine))
+    return out
+
+
+def _placed(clean: DataFrame, dim: int, cosine: float) -> DataFrame:
+    """near_duplicates() of (vec_id, vec) of one dimension. Classes have numbers, as equal ids may stand for different vectors."""
+    classes = cut(clean.groupBy("vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()))
+    kinds, rows = classes.agg(F.count("*"), F.sum("n")).first()
     found = cut(links(classes, dim, cosine=cosine))
-    both = found.select(F.col("a").alias("cls"), F.col("n_b").alias("n")).unionByName(found.select(F.col("b").alias("cls"), F.col("n_a").alias("n")))
-    degree = both.groupBy("cls").agg(F.sum("n").alias("others"))
-    placed = classes.join(degree, "cls", "left").join(components(found).withColumnRenamed("node", "cls"), "cls", "left")
-    placed = cut(placed.select("vec", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id")))
-    own = clean.filter(takes).join(placed, "vec").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return own.unionByName(alone)
+    degree = found.groupBy("cls").agg(F.sum("others").alias("others"))
+    named = components(found.select(F.col("cls").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("node", "cls")
+    placed = classes.join(degree, "cls", "left").join(named, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    placed = cut(placed.select("vec", "least", "n", "component", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    ids = placed.groupBy(F.col("component").alias("node")).agg(F.min("least").alias("m"), F.count("*").alias("degree"))
+    known = at_nodes(placed, "component", ids, max(64.0, 2 * HUB * kinds)).select(F.col("vec").alias("node"), F.struct("n_links", F.col("m").alias("component_id")).alias("m"), F.col("n").alias("degree"))
+    own = at_nodes(clean, "vec", cut(known), max(64.0, 2 * HUB * rows))
+    return own.select("vec_id", "m.n_links", "m.component_id", (F.col("vec_id") == F.col("m.component_id")).alias("kept"))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,17 +4,19 @@ Vectors get one more component, the root of what their squared length lacks of t
 inner product of a query is the nearest by distance (the query's own extra component is 0). Centroids come from a
 balanced splitting of a bounded sample: a part is cut in two at the median of its difference from two centres, until no
 part is large. Every vector is posted to its nearest list, and to others that are nearly as near (closure), unless such a
-centroid is nearly one that the vector has already. Centroids are found by a best-first search of
-a graph in memory that joins each centroid to its nearest ones. A query reads those lists whose distance is at most a
-ratio of its nearest centroid's; the ratio is calibrated on sampled queries, from the lists that hold their true
-neighbours in the sample, to a target recall.
-
-The index (centroids and graph) is of bounded size. Postings and queries meet in a join by list; long lists and lists
-with many queries are dealt in blocks. Each meeting gives a query's best k of a block, and the best k of all are merged.
-
-Defined results: vectors that are null, empty, zero, hold null or non-finite components, or are not of the commonest
-dimension, or have a null id, are neither queries nor candidates. A row is not its own candidate; another row with the
-same id and vector is. Fewer than k candidates: all of them. Empty tables give no rows.
+centroid is nearly one that the vector has already. Centroids are found by a best-first search of a graph in memory that
+joins each centroid to its nearest ones, for vectors and queries alike. A query takes the centroids that the graph gives
+it up to a number, and of those the ones whose distance is at most a ratio of the nearest's; number and ratio are
+calibrated on sampled queries, from the lists that hold their true neighbours in the sample, to a target recall. Queries
+whose lists hold fewer than k others ask the graph for more.
+
+The index (centroids and graph) is of bounded size. Consecutive lists, which are near each other, share a block; long
+lists have several. A query meets each block of its lists once, in a join by block, and blocks with many queries are
+dealt in turns. Each meeting gives a query's best k there, and the best k of all are merged.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components, or have a null id, are neither
+queries nor candidates. Vectors are searched among those of as many components, an index for each. A row is not its own
+candidate; another row with the same id and vector is. Fewer than k candidates: all of them. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,27 +27,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .vectors import common_dim, distances, kmeans, matrix, sample, with_bytes
+from .vectors import blocks_of, dimensions, distances, kmeans, list_column, matrix, sample, to_blocks, turns_of, with_bytes
 
 K, EVERY, SEED = 20, 20, 3
-#: Vectors that the index is fitted on at most; sampled queries of the calibration; share of true neighbours whose lists the ratio covers.
-SAMPLE, TRIALS, TARGET = 16_384, 300, 0.95
+#: Vectors that the index is fitted on at most, and to a list at least; sampled queries of the calibration; share of true neighbours whose lists the calibration covers.
+SAMPLE, PER_LIST, TRIALS, TARGET = 16_384, 4, 300, 0.95
 #: Vectors to a list, about; lists at least and at most.
-LIST, MIN_LISTS, MAX_LISTS = 1024, 8, 4096
+LIST, MIN_LISTS, MAX_LISTS = 256, 8, 16_384
 #: Lists that hold a vector at most, how much farther than the nearest they may be, and how near two of them (share of the squared distance).
 REPLICAS, CLOSURE, APART = 2, 1.15, 0.1
-DEGREE, POSTED, ASKED = 24, 4096, 2048
+DEGREE, POSTED, ASKED = 24, 2048, 1024
 
 
 class Index:
-    """Centroids, the graph that joins them, and the ratio that selects lists."""
+    """Centroids, the graph that joins them, and the number and ratio that select lists."""
 
     def __init__(self, centroids: np.ndarray):
-        self.c, self.ratio = centroids, 1.0
-        d = distances(centroids, centroids)
-        self.near = np.argsort(d, axis=1, kind="stable")[:, : min(len(d), DEGREE + 1)]
-        self.near = np.concatenate([self.near, np.argsort(d.sum(1))[None, :1].repeat(len(d), 0)], 1)  # and all to one in the middle
-        self.entry = np.linspace(0, len(centroids) - 1, min(len(centroids), 16)).astype(int)
+        self.c, self.most, self.ratio = centroids, len(centroids), np.inf
+        n = len(centroids)
+        near, far = [], np.zeros(n)
+        for i in range(0, n, 512):
+            d = distances(centroids[i : i + 512], centroids)
+            near.append(np.argsort(d, axis=1, kind="stable")[:, : min(n, DEGREE + 1)])
+            far[i : i + 512] = d.sum(1)
+        ring = np.arange(n)[:, None]  # one round through all, so that each can be reached
+        self.near = np.concatenate([*[np.concatenate(near)], np.full((n, 1), far.argmin()), (ring + 1) % n, (ring - 1) % n], 1)
+        self.entry = np.linspace(0, n - 1, min(n, 16)).astype(int)
 
     def search(self, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """(lists, squared distances), nearest first, of at most `most` centroids of each query, by best-first search."""
@@ -53,20 +60,15 @@ class Index:
         most = min(most, k)
         if not n:
             return np.empty((0, most), np.int64), np.empty((0, most))
-        if most * 2 >= k:  # the search would visit them all
-            d = distances(q, self.c)
-            order = np.argsort(d, 1, kind="stable")[:, :most]
-            return order, np.take_along_axis(d, order, 1)
         if n > 256:
             parts = [self.search(q[i : i + 256], most) for i in range(0, n, 256)]
             return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         known = np.full((n, k), np.inf)
         done = np.zeros((n, k), bool)
-        rows = np.arange(n)
-        width = 8
+        width = min(8, k)
         at = np.broadcast_to(self.entry, (n, len(self.entry)))
         norms, own = (self.c * self.c).sum(1), (q * q).sum(1)
-        live = rows
+        live = np.arange(n)
         while True:
             d = np.maximum(0.0, own[live, None] - 2 * np.einsum("nd,nmd->nm", q[live], self.c[at]) + norms[at])
             known[live[:, None], at] = d
@@ -84,6 +86,20 @@ class Index:
         order = np.argsort(known, 1, kind="stable")[:, :most]
         return order, np.take_along_axis(known, order, 1)
 
+    def routes(self, q: np.ndarray, held: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, list): the lists that each query reads. held: vectors of which a list is the nearest; those read surely hold k others."""
+        out, todo, most = [], np.arange(len(q)), self.most
+        while len(todo):
+            lists, d = self.search(q[todo], most)
+            within = d <= self.ratio * d[:, :1]
+            before = np.cumsum(held[lists], 1) - held[lists]
+            row, at = np.nonzero(within | (before < k + 1))
+            enough = (before[:, -1] + held[lists[:, -1]] >= k + 1) | (lists.shape[1] == len(self.c))
+            mine = enough[row]
+            out.append((todo[row[mine]], lists[row[mine], at[mine]]))
+            todo, most = todo[~enough], 2 * most
+        return (np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+
     def postings(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of all lists that hold each vector; the first of a row is its nearest."""
         lists, d = self.search(x, 4 * REPLICAS)
@@ -126,11 +142,14 @@ def asked(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.zeros((len(x), 1))], 1)
 
 
+def lists_for(n: int) -> int:
+    return int(np.clip(n // LIST, MIN_LISTS, MAX_LISTS))
+
+
 def fit(x: np.ndarray, n: int, longest: float, k: int) -> Index:
-    """An index for n vectors from a sample, with its ratio calibrated."""
-    lists = int(np.clip(n // LIST, MIN_LISTS, MAX_LISTS))
+    """An index for n vectors from a sample, calibrated."""
     up = lift(x, longest)
-    index = Index(balanced_centroids(up, min(lists, len(x))))
+    index = Index(balanced_centroids(up, min(lists_for(n), len(x))))
     rng = np.random.default_rng(SEED)
     trial = rng.choice(len(x), min(TRIALS, len(x)), replace=False)
     score = x[trial] @ x.T
@@ -141,9 +160,12 @@ def fit(x: np.ndarray, n: int, longest: float, k: int) -> Index:
     row, list_ = index.postings(up)
     first = np.searchsorted(row, np.arange(len(x) + 1))
     d = distances(asked(x[trial]), index.c)
+    rank = np.argsort(np.argsort(d, 1, kind="stable"), 1, kind="stable")
     ratio = d / np.maximum(d.min(1, keepdims=True), 1e-300)
-    need = [ratio[t, list_[first[j] : first[j + 1]]].min() for t in range(len(trial)) for j in near[t]]
-    index.ratio = float(np.quantile(need, TARGET))
+    best = lambda of: [of[t, list_[first[j] : first[j + 1]]].min() for t in range(len(trial)) for j in near[t]]
+    part = 1 - (1 - TARGET) / 2  # either rule may miss as much
+    index.most = int(np.quantile(best(rank), part)) + 1
+    index.ratio = float(np.quantile(best(ratio), part))
     return index
 
 
@@ -151,11 +173,16 @@ def search(base: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embeddi
     """(query_id, rank, vec_id, score): the k nearest found of each row that is a query, among all other rows."""
     spark = base.sparkSession
     clean = cut(with_bytes(base, vec_id, embedding).withColumn("row", F.monotonically_increasing_id()))
-    dim = common_dim(clean)
-    takes = clean.filter(F.col("vec").isNotNull() & (F.octet_length("vec") == 8 * dim) & F.col("vec_id").isNotNull())
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not dim or not (n := takes.count()):
-        return empty
+    takes = clean.filter(F.col("vec").isNotNull() & F.col("vec_id").isNotNull())
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim in dimensions(takes):
+        out = out.unionByName(_search(takes.filter(F.octet_length("vec") == 8 * dim), is_query, dim, k))
+    return out
+
+
+def _search(takes: DataFrame, is_query: Column, dim: int, k: int) -> DataFrame:
+    """search() among (row, vec_id, vec) of one dimension."""
+    spark, n = takes.sparkSession, takes.count()
 
     def longest(batches):
         for batch in batches:
@@ -163,7 +190,8 @@ def search(base: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embeddi
             yield pa.record_batch([pa.array([float(np.sqrt((x * x).sum(1)).max())] if len(x) else [], pa.float64())], ["longest"])
 
     most = takes.select("vec").mapInArrow(longest, "longest double").agg(F.max("longest")).first()[0]
-    shared = spark.sparkContext.broadcast(index := fit(sample(takes, "row", dim, SAMPLE, SEED), n, most, k))  # at most MAX_LISTS centroids
+    drawn = sample(takes, "row", dim, max(SAMPLE, PER_LIST * lists_for(n)), SEED)
+    shared = spark.sparkContext.broadcast(index := fit(drawn, n, most, k))  # at most MAX_LISTS centroids
 
     def post(batches):
         for batch in batches:
@@ -174,62 +202,90 @@ def search(base: DataFrame, is_query: Column, *, vec_id: str = "vec_id", embeddi
 
     posted = cut(takes.select("row", "vec_id", "vec").mapInArrow(post, "list int, first boolean, row long, vec_id long, vec binary"))
     sizes = {r["list"]: (r["n"], r["own"]) for r in posted.groupBy("list").agg(F.count("*").alias("n"), F.count(F.when(F.col("first"), 1)).alias("own")).collect()}  # a row for each list
-    own = np.array([sizes.get(j, (0, 0))[1] for j in range(len(index.c))])
-    blocks = np.array([-(-sizes.get(j, (0, 0))[0] // POSTED) for j in range(len(index.c))])
+    count = lambda which: np.array([sizes.get(j, (0, 0))[which] for j in range(len(index.c))])
+    held = spark.sparkContext.broadcast(count(1))
+    dealt = spark.sparkContext.broadcast(blocks_of(count(0), POSTED))
+
+    def route(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                own = batch.slice(i, 1024)
+                row, list_ = shared.value.routes(asked(matrix(own.column(2), dim)), held.value, k)
+                order = np.lexsort((list_, row))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=own.num_rows))])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(list_[order], pa.int32()))], names=["row", "vec_id", "vec", "lists"])
+
+    routed = cut(takes.filter(is_query).select("row", "vec_id", "vec").mapInArrow(route, "row long, vec_id long, vec binary, lists array<int>"))
+    turns = spark.createDataFrame([(b, int(t)) for b, t in turns_of(routed, "lists", dealt, ASKED).items()], "block long, turns int")
 
     def ask(batches):
-        """Each query to the lists within the ratio, and to so many that they surely hold k others."""
         for batch in batches:
-            q = asked(matrix(batch.column(2), dim))
-            lists, d = shared.value.search(q, len(own))
-            need = np.concatenate([np.zeros((len(q), 1)), np.cumsum(own[lists], 1)[:, :-1]], 1) < k + 1
-            row, at = np.nonzero((d <= shared.value.ratio * d[:, :1]) | need)
-            list_ = lists[row, at]
-            some = blocks[list_] > 0
-            row, list_ = row[some], list_[some]
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list_, pa.int32()), *(c.take(take) for c in batch.columns)], names=["list", "row", "vec_id", "vec"])
-
-    questions = takes.filter(is_query).select("row", "vec_id", "vec").mapInArrow(ask, "list int, row long, vec_id long, vec binary")
-    by_list = spark.createDataFrame([(j, int(b)) for j, b in enumerate(blocks)], "list int, blocks int")
-    spread = lambda c, n_, seed: F.pmod(F.xxhash64(F.lit(seed), c), n_).cast("int")
-    loads = questions.groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("turns"))
-    plan = F.broadcast(cut(by_list.join(loads, "list").filter("blocks > 0")))  # a row for each list
-    left = questions.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), spread("row", F.col("turns"), 1).alias("turn"), "row", "vec_id", "vec")
-    right = posted.join(plan, "list").select("list", spread("row", F.col("blocks"), 2).alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "row", "vec_id", "vec")
+            for i in range(0, batch.num_rows, 1024):
+                own = batch.slice(i, 1024)
+                row, block, lists, ends = to_blocks(*list_column(own.column(3)), dealt.value)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(block), *(c.take(at) for c in own.columns[:3]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lists, pa.int32()))], names=["block", "row", "vec_id", "vec", "lists"])
+
+    def hold(batches):
+        for batch in batches:
+            first, number = dealt.value
+            list_, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(first[list_] + row % number[list_]), *batch.columns], names=["block", "list", "row", "vec_id", "vec"])
+
+    plan = F.broadcast(turns)  # a row for each block
+    left = routed.mapInArrow(ask, "block long, row long, vec_id long, vec binary, lists array<int>").join(plan, "block")
+    left = left.select("block", F.pmod(F.xxhash64(F.lit(1), "row"), F.col("turns")).cast("int").alias("turn"), "row", "vec_id", "vec", "lists")
+    right = posted.select("list", "row", "vec_id", "vec").mapInArrow(hold, "block long, list int, row long, vec_id long, vec binary").join(plan, "block")
+    right = right.select("block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "list", "row", "vec_id", "vec")
 
     def meet(key, q: pa.Table, p: pa.Table) -> pa.Table:
+        names = ["row", "query_id", "best"]
         types = pa.list_(pa.struct([("less", pa.float64()), ("vec_id", pa.int64()), ("row", pa.int64())]))
         if not len(q) or not len(p):
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], types)], ["row", "query_id", "best"])
-        x, y, ids, rows = matrix(q["vec"], dim), matrix(p["vec"], dim), p["vec_id"].to_numpy(), p["row"].to_numpy()
-        score = x @ y.T
-        score[q["row"].to_numpy()[:, None] == rows[None, :]] = -np.inf
-        keep = min(k + 4, len(y))  # a few more: ties and last digits are settled on sums that do not depend on the block
-        top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-        kept = np.take_along_axis(score, top, 1)
-        exact = np.stack([(x * y[top[:, j]]).sum(1) for j in range(keep)], 1)
-        exact[~np.isfinite(kept)] = -np.inf
-        order = np.lexsort((rows[top], ids[top], -exact), axis=1)[:, :k]
-        at, less = np.take_along_axis(top, order, 1), -np.take_along_axis(exact, order, 1)
-        worst = kept.min(1)
-        close = score >= (worst - 1e-12 * np.maximum(1.0, np.abs(np.where(np.isfinite(worst), worst, 0.0))))[:, None]
-        for i in np.flatnonzero(np.isfinite(worst) & (close.sum(1) > keep)):  # more ties at the end than were kept
-            some = np.flatnonzero(close[i])
-            sums = (x[i] * y[some]).sum(1)
-            own = np.lexsort((rows[some], ids[some], -sums))[:k]
-            at[i], less[i] = some[own], -sums[own]
-        real = np.isfinite(less)
-        ends = np.concatenate([[0], np.cumsum(real.sum(1))])
-        at, less = at[real], less[real]
-        best = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(less), pa.array(ids[at]), pa.array(rows[at])], ["less", "vec_id", "row"]))
-        return pa.table([q["row"], q["vec_id"], best], ["row", "query_id", "best"])
-
-    on = ["list", "block", "turn"]
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], types)], names)
+        rows, once, back = np.unique(p["row"].to_numpy(), return_index=True, return_inverse=True)  # a vector can be in several lists of the block
+        here, at = np.unique(p["list"].to_numpy(), return_inverse=True)
+        holds = np.zeros((len(here), len(rows)), np.float32)
+        holds[at, back] = 1
+        y, ids = matrix(p["vec"].take(pa.array(once)), dim), p["vec_id"].to_numpy()[once]
+        ends, lists = list_column(q["lists"])
+        wants = np.zeros((len(q), len(here)), np.float32)
+        place = np.searchsorted(here, lists).clip(0, len(here) - 1)
+        known = here[place] == lists
+        wants[np.repeat(np.arange(len(q)), np.diff(ends))[known], place[known]] = 1
+        own, x = q["row"].to_numpy(), matrix(q["vec"], dim)
+        parts = [_best(x[i : i + 512], own[i : i + 512], wants[i : i + 512] @ holds > 0, y, ids, rows, k) for i in range(0, len(q), 512)]
+        return pa.table([q["row"], q["vec_id"], pa.chunked_array(parts, types)], names)
+
+    on = ["block", "turn"]
     met = left.groupBy(on).cogroup(right.groupBy(on)).applyInArrow(meet, "row long, query_id long, best array<struct<less:double,vec_id:long,row:long>>")
     merged = met.groupBy("row", "query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
     return merged.select("query_id", F.posexplode("best").alias("at", "found")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("found.vec_id").alias("vec_id"), (-F.col("found.less")).alias("score"))
 
 
+def _best(x: np.ndarray, own: np.ndarray, may: np.ndarray, y: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pa.Array:
+    """For each query the best k of the vectors that it may take, not its own row: (minus the score, id, row), sorted."""
+    score = x @ y.T
+    score[~may | (own[:, None] == rows[None, :])] = -np.inf
+    keep = min(k + 4, len(y))  # a few more: ties and last digits are settled on sums that do not depend on the block
+    top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+    kept = np.take_along_axis(score, top, 1)
+    exact = np.stack([(x * y[top[:, j]]).sum(1) for j in range(keep)], 1)
+    exact[~np.isfinite(kept)] = -np.inf
+    order = np.lexsort((rows[top], ids[top], -exact), axis=1)[:, :k]
+    at, less = np.take_along_axis(top, order, 1), -np.take_along_axis(exact, order, 1)
+    worst = kept.min(1)
+    close = score >= (worst - 1e-12 * np.maximum(1.0, np.abs(np.where(np.isfinite(worst), worst, 0.0))))[:, None]
+    for i in np.flatnonzero(np.isfinite(worst) & (close.sum(1) > keep)):  # more ties at the end than were kept
+        some = np.flatnonzero(close[i])
+        sums = (x[i] * y[some]).sum(1)
+        first = np.lexsort((rows[some], ids[some], -sums))[:k]
+        at[i], less[i] = some[first], -sums[first]
+    real = np.isfinite(less)
+    ends = np.concatenate([[0], np.cumsum(real.sum(1))])
+    at, less = at[real], less[real]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(less), pa.array(ids[at]), pa.array(rows[at])], ["less", "vec_id", "row"]))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % EVERY == 0)

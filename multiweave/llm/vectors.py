@@ -37,10 +37,9 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), dim)
 
 
-def common_dim(rows: DataFrame) -> int:
-    """The most frequent number of components, the smallest of equals; 0 without vectors."""
-    top = rows.filter("vec is not null").groupBy((F.octet_length("vec") / 8).cast("int").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    return top[0]["dim"] if top else 0
+def dimensions(rows: DataFrame) -> list[int]:
+    """The numbers of components of the vectors; each gets an index of its own."""
+    return sorted(r["dim"] for r in rows.filter("vec is not null").select((F.octet_length("vec") / 8).cast("int").alias("dim")).distinct().collect())
 
 
 def sample(rows: DataFrame, key: str | Column, dim: int, most: int, seed: int) -> np.ndarray:
@@ -73,3 +72,56 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+
+
+# ------------------------------------------------------------------ lists in blocks
+
+def blocks_of(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of each list: consecutive short lists share a block of `most` rows, a longer list has several to itself."""
+    first, number = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    block, fill = 0, 0
+    for j, n in enumerate(sizes.tolist()):
+        if fill and fill + n > most:
+            block, fill = block + 1, 0
+        first[j] = block
+        if n > most:
+            number[j] = -(-n // most)
+            block, fill = block + int(number[j]), 0
+        else:
+            fill += n
+    return first, number
+
+
+def to_blocks(ends: np.ndarray, lists: np.ndarray, dealt: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row i asks for lists[ends[i]:ends[i + 1]]. (row, block, lists asked for there, their ends), a pair of row and block once."""
+    first, number = dealt
+    row, times = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), number[lists]
+    total = int(times.sum())
+    within = np.arange(total) - np.repeat(np.cumsum(times) - times, times)
+    row, list_, block = np.repeat(row, times), np.repeat(lists, times), np.repeat(first[lists], times) + within
+    order = np.lexsort((list_, block, row))
+    row, list_, block = row[order], list_[order], block[order]
+    new = np.ones(total, bool)
+    new[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])
+    at = np.flatnonzero(new)
+    return row[at], block[at], list_, np.append(at, total)
+
+
+def list_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, values) of a column of lists without nulls."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    return np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def turns_of(asked: DataFrame, lists: str, dealt, most: int) -> dict[int, int]:
+    """For each block, into how many parts of about `most` rows those that ask for it are dealt; a row for each block."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, block, _, _ = to_blocks(*list_column(batch.column(0)), dealt.value)
+            some, n = np.unique(block, return_counts=True)
+            yield pa.record_batch([pa.array(some), pa.array(n.astype(np.int64))], ["block", "n"])
+
+    got = asked.select(lists).mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).collect()
+    return {r["block"]: -(-r["n"] // most) for r in got}

@@ -50,6 +50,37 @@ def test_neighbours_edges(spark):
     assert [r["vec_id"] for r in same] == list(range(20))
 
 
+def test_queries_read_few_lists(spark):
+    """Recall on clustered vectors with over 80 lists, which only the graph gives, and the share of them that is read."""
+    rng = np.random.default_rng(6)
+    n, centres = 21_000, rng.standard_normal((300, 24))
+    x = (centres[rng.integers(0, 300, n)] + 0.35 * rng.standard_normal((n, 24))).astype(np.float32).astype(float)
+    assert nearest.lists_for(n) > 80
+    frame = spark.createDataFrame(__import__("pandas").DataFrame({"vec_id": np.arange(n), "embedding": list(x)}))
+    got = nearest.search(frame, F.col("vec_id") % 100 == 0, k=10).toPandas()
+    ids = np.arange(0, n, 100)
+    score = x[ids] @ x.T
+    score[np.arange(len(ids)), ids] = -np.inf
+    want = np.argsort(-score, 1)[:, :10]
+    of = {k: set(g.vec_id) for k, g in got.groupby("query_id")}
+    assert sum(len(of[i] & set(w)) for i, w in zip(ids, want)) >= 0.9 * 10 * len(ids)
+    longest = np.sqrt((x * x).sum(1)).max()
+    index = nearest.fit(x[rng.choice(n, nearest.SAMPLE, replace=False)], n, longest, 10)
+    _, lists = index.routes(nearest.asked(x[ids]), np.full(len(index.c), n // len(index.c)), 10)
+    assert len(lists) < 0.5 * len(ids) * len(index.c)
+
+
+def test_routes_ask_for_more_until_lists_hold_enough():
+    rng = np.random.default_rng(2)
+    index = nearest.Index(rng.standard_normal((60, 5)))
+    index.most, index.ratio = 2, 1.0
+    held = np.where(np.arange(60) % 6 == 0, 4, 0)
+    row, lists = index.routes(rng.standard_normal((30, 5)), held, 9)
+    assert all(held[lists[row == i]].sum() >= 10 for i in range(30))
+    row, lists = index.routes(rng.standard_normal((5, 5)), np.zeros(60, int), 9)
+    assert all(sorted(lists[row == i]) == list(range(60)) for i in range(5))
+
+
 def test_graph_search_finds_nearest_centroids():
     rng = np.random.default_rng(0)
     index = nearest.Index(rng.standard_normal((400, 16)))
@@ -80,12 +111,53 @@ def test_links_equal_brute_force(spark):
 
 
 def test_traversal_visits_nearest_cells():
+    """Cells come in the order of their distance, as many of them as the slack reaches, which depends on the vector."""
     rng = np.random.default_rng(1)
-    books = rng.random((12, 4)), rng.random((12, 4))
-    for x in rng.random((5, 8)):
-        d = embedding_dedup.distances(x[None, :4], books[0])[0], embedding_dedup.distances(x[None, 4:], books[1])[0]
-        walk = [i * 12 + j for i, j in embedding_dedup.traverse(*d, 30)]
-        assert walk == np.argsort((d[0][:, None] + d[1][None, :]).ravel())[:30].tolist() == embedding_dedup.nearest_cells(x[None], books, 30)[0].tolist()
+    books, x = (rng.random((12, 4)), rng.random((9, 4))), rng.random((40, 8))
+    ends, cells = embedding_dedup.traverse(x, books, 0.3)
+    for i in range(len(x)):
+        d = (embedding_dedup.distances(x[i : i + 1, :4], books[0])[0][:, None] + embedding_dedup.distances(x[i : i + 1, 4:], books[1])[0][None, :]).ravel()
+        order = np.argsort(d)
+        assert cells[ends[i] : ends[i + 1]].tolist() == order[d[order] <= d.min() + 0.3].tolist()
+    assert len(set(np.diff(ends))) > 3
+    whole = embedding_dedup.traverse(x, books, 100.0)
+    assert (np.diff(whole[0]) == 108).all() and all(sorted(whole[1][k * 108 : k * 108 + 108]) == list(range(108)) for k in range(len(x)))
+
+
+def brute_links(x, cosine=0.9):
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= cosine
+    least, state = np.arange(len(x)), None
+    while state != (state := least.tobytes()):
+        least = np.array([least[n].min() for n in near])
+    return near.sum(1) - 1, least
+
+
+def test_dense_groups_are_counted_whole(spark, monkeypatch):
+    """A third of all vectors near each other, in many blocks and cells: each link is counted once from both ends, and no pair comes out."""
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(16)
+    x = np.concatenate([centre + 0.12 * rng.standard_normal((900, 16)), rng.standard_normal((900, 16)), np.repeat(rng.standard_normal((3, 16)), 300, 0)])
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    monkeypatch.setattr(embedding_dedup, "STORED", 100)
+    monkeypatch.setattr(embedding_dedup, "VISITORS", 150)
+    monkeypatch.setattr(embedding_dedup, "ONE_SIDED", 1.0)
+    n, least = brute_links(x)
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(embeddings(spark, [(i, [float(v) for v in r]) for i, r in enumerate(x)])).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == n.tolist()
+    assert [got[i]["component_id"] for i in range(len(x))] == least.tolist()
+
+
+def test_each_dimension_has_an_index(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(40)] + [(100 + i, [1.0, float(i % 3), 2.0]) for i in range(30)] + [(200, [1.0]), (201, [2.0]), (202, [-1.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(embeddings(spark, rows)).collect()}
+    assert got[200] == got[201] == (1, 200) and got[202] == (0, 202)
+    for at, d in ((0, 2), (100, 3)):
+        x = np.array([e for i, e in rows if len(e) == d])
+        n, least = brute_links(x)
+        assert [got[at + i] for i in range(len(x))] == [(a, at + b) for a, b in zip(n.tolist(), least.tolist())]
+    near = nearest.search(embeddings(spark, rows), F.col("vec_id").isin(3, 105, 201), k=2).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in near) == [(3, 1, 6), (3, 2, 13), (105, 1, 102), (105, 2, 108), (201, 1, 200), (201, 2, 202)]
 
 
 def test_embedding_edges(spark):
