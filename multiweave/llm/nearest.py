@@ -12,7 +12,8 @@ whose lists hold fewer than k others ask the graph for more.
 
 The index (centroids and graph) is of bounded size. Consecutive lists, which are near each other, share a block; long
 lists have several. A query meets each block of its lists once, in a join by block, and blocks with many queries are
-dealt in turns. Each meeting gives a query's best k there, and the best k of all are merged.
+dealt in turns. Each meeting gives a query's best k there, and the best k of all are merged, a bounded number of queries
+at once.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, or have a null id, are neither
 queries nor candidates. Vectors are searched among those of as many components, an index for each. A row is not its own
@@ -36,7 +37,9 @@ SAMPLE, PER_LIST, TRIALS, TARGET = 16_384, 4, 300, 0.95
 LIST, MIN_LISTS, MAX_LISTS = 256, 8, 16_384
 #: Lists that hold a vector at most, how much farther than the nearest they may be, and how near two of them (share of the squared distance).
 REPLICAS, CLOSURE, APART = 2, 1.15, 0.1
-DEGREE, POSTED, ASKED = 24, 2048, 1024
+DEGREE, POSTED, ASKED = 24, 2048, 8192
+#: Queries whose best are merged at once, about.
+MERGED = 64
 
 
 class Index:
@@ -163,9 +166,8 @@ def fit(x: np.ndarray, n: int, longest: float, k: int) -> Index:
     rank = np.argsort(np.argsort(d, 1, kind="stable"), 1, kind="stable")
     ratio = d / np.maximum(d.min(1, keepdims=True), 1e-300)
     best = lambda of: [of[t, list_[first[j] : first[j + 1]]].min() for t in range(len(trial)) for j in near[t]]
-    part = 1 - (1 - TARGET) / 2  # either rule may miss as much
-    index.most = int(np.quantile(best(rank), part)) + 1
-    index.ratio = float(np.quantile(best(ratio), part))
+    index.most = int(np.quantile(best(rank), TARGET)) + 1
+    index.ratio = float(np.quantile(best(ratio), TARGET))
     return index
 
 
@@ -259,8 +261,25 @@ def _search(takes: DataFrame, is_query: Column, dim: int, k: int) -> DataFrame:
 
     on = ["block", "turn"]
     met = left.groupBy(on).cogroup(right.groupBy(on)).applyInArrow(meet, "row long, query_id long, best array<struct<less:double,vec_id:long,row:long>>")
-    merged = met.groupBy("row", "query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k).alias("best"))
-    return merged.select("query_id", F.posexplode("best").alias("at", "found")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("found.vec_id").alias("vec_id"), (-F.col("found.less")).alias("score"))
+    buckets = -(-routed.count() // MERGED) or 1
+
+    def merge(t: pa.Table) -> pa.Table:
+        best = t["best"].combine_chunks()
+        found = best.flatten()
+        less, ids, rows = (found.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+        meeting = np.repeat(np.arange(len(t)), best.value_lengths().to_numpy(zero_copy_only=False))
+        own, asks = t["row"].to_numpy()[meeting], t["query_id"].to_numpy()[meeting]
+        order = np.lexsort((rows, ids, less, own))
+        less, ids, rows, own, asks = (c[order] for c in (less, ids, rows, own, asks))
+        once = np.ones(len(own), bool)
+        once[1:] = (own[1:] != own[:-1]) | (rows[1:] != rows[:-1])  # a row has one score, so its repeats are neighbours
+        less, ids, own, asks = (c[once] for c in (less, ids, own, asks))
+        _, first, n = np.unique(own, return_index=True, return_counts=True)
+        rank = np.arange(len(own)) - np.repeat(first, n) + 1
+        top = rank <= k
+        return pa.table([asks[top], pa.array(rank[top], pa.int32()), ids[top], -less[top]], ["query_id", "rank", "vec_id", "score"])
+
+    return met.withColumn("bucket", F.pmod(F.xxhash64(F.lit(2), "row"), F.lit(buckets))).groupBy("bucket").applyInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
 def _best(x: np.ndarray, own: np.ndarray, may: np.ndarray, y: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pa.Array:
