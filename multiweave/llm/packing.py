@@ -30,8 +30,10 @@ from .common import cut, doc_hash, give_back, held, small_batches, table
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Pieces dealt to a group; rounds of exchange.
 GROUP, ROUNDS = 4096, 2
-#: Words, and parts of words, whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Bytes, about, of the words, and as many of the parts of words, whose ids a worker remembers; longer words than this are encoded each time.
+REMEMBERED, LONG = 24 << 20, 256
+#: What an entry takes beside its word and ids.
+ENTRY = 180
 #: str.split() parts words here, the tokenizer does not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Words of characters that the tokenizer's normaliser changes one by one; small, the pattern below has the parts it encodes by themselves.
@@ -41,6 +43,22 @@ BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u024f0-9]+").findall
 
 
+class Memory(dict):
+    """Ids by word, of a bounded number of bytes: beyond it the older half goes."""
+
+    held = 0
+
+    def add(self, key: str, ids: bytes) -> bytes:
+        self[key] = ids
+        self.held += ENTRY + len(key) + len(ids)
+        return ids
+
+    def shrink(self) -> None:
+        if self.held > REMEMBERED:
+            for x in list(islice(self, len(self) // 2)):
+                self.held -= ENTRY + len(x) + len(self.pop(x))
+
+
 class Encoder:
     """Ids of whole texts.
 
@@ -52,36 +70,41 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), Memory(), Memory()
         self.merge = self.tokenizer.model.tokenize  # what is left to do for a part that is normal already
 
     def _encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
-        for i in range(0, len(texts), 50_000):
-            own = texts[i : i + 50_000]
+        for i in range(0, len(texts), 5000):
+            own = texts[i : i + 5000]
             for x, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
                 yield x, array("I", e.ids).tobytes()
 
     def _learn(self, words: list[str]) -> None:
         known, parts = self.known, self.parts
         split = {w: PARTS(w.lower()) for w in words if SIMPLE(w) and "<|" not in w}
-        self.known.update(self._encode([w for w in words if w not in split]))
+        for w, ids in self._encode([w for w in words if w not in split]):
+            known.add(w, ids)
         for x in {x for own in split.values() for x in own}.difference(parts):
-            parts[x] = array("I", [t.id for t in self.merge(x if x.isascii() else x.encode().decode("latin-1").translate(BYTES))]).tobytes()
+            parts.add(x, array("I", [t.id for t in self.merge(x if x.isascii() else x.encode().decode("latin-1").translate(BYTES))]).tobytes())
         for w, own in split.items():
-            known[w] = parts[own[0]] if len(own) == 1 else b"".join([parts[x] for x in own])
+            known.add(w, parts[own[0]] if len(own) == 1 else b"".join([parts[x] for x in own]))
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if any(c in text for c in SEPARATORS):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        for kept in (self.known, self.parts):
-            if len(kept) > REMEMBERED:  # the older half goes
-                for x in list(islice(kept, REMEMBERED // 2)):
-                    del kept[x]
-        words = text.split()
-        known = self.known
-        if new := [w for w in words if w not in known]:
-            self._learn(list(set(new)))
+        words, known = text.split(), self.known
+        return b"".join([self._some(words[i : i + 50_000], known) for i in range(0, len(words), 50_000)]) if len(words) > 50_000 else self._some(words, known)
+
+    def _some(self, words: list[str], known: Memory) -> bytes:
+        """Ids of words that the memory surely holds together."""
+        for kept in (known, self.parts):
+            kept.shrink()
+        if new := {w for w in words if w not in known}:
+            long = {w: ids for w, ids in self._encode([w for w in new if len(w) > LONG])}
+            self._learn([w for w in new if w not in long])
+            if long:
+                return b"".join([known[w] if w in known else long[w] for w in words])
         return b"".join(map(known.__getitem__, words))
 
 
