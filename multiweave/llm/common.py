@@ -101,6 +101,18 @@ def held(key: object, make):
     return _held[key]
 
 
+def release() -> None:
+    """Lets go of what held() keeps, in workers that come to another kind of step."""
+    if _held:
+        _held.clear()
+        give_back()
+
+
+def with_rows(docs: DataFrame, **named: Column) -> DataFrame:
+    """The rows of docs as one column `__row`, so that no name clashes with theirs, beside the named columns."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[c.alias(k) for k, c in named.items()])
+
+
 # ------------------------------------------------------------------ texts as bytes
 
 def text_buffer(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

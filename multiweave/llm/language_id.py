@@ -6,7 +6,10 @@ frozen statistics a symbol costs -log2 P bits, where P is n / (T + q) for a symb
 renormalised over the symbols not seen in the longer one (full exclusion). The probabilities of each context sum to 1,
 so a text's sum of bits is its exact code length; the language with the shortest code wins.
 
-Texts are folded before both steps: ASCII capitals and two-byte Latin capitals become small, digits become 0.
+Texts are folded before both steps: ASCII capitals and two-byte Latin capitals become small, digits become 0. Trees of a
+bounded number of contexts are tabled at once; with more languages, each batch of texts meets one table after another.
+The score is the winner's share of two to the minus bits a byte, times eight roots of the length, as evidence grows less
+than the text: neighbouring symbols are not independent.
 
 Defined results: a null text, one without a letter, or no language learnt gives `und` with score 0. Ties go to the
 language first by code point. Equal rows get equal results. Languages are those of labelled rows; an empty table has none.
@@ -15,18 +18,19 @@ Every text is scored whole, in blocks of bounded size.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, doc_hash, give_back, held, table, text_buffer
+from .common import doc_chunks, doc_hash, give_back, held, table, text_buffer, with_rows
 
-#: Fitting: at most about so many labelled documents of a language, drawn by a hash of their id; languages by number of documents; four-grams of a language by count.
-SAMPLE_DOCS, MAX_LANGS, MAX_GRAMS = 1500, 256, 200_000
+#: Fitting: labelled documents of a language, and bytes of all languages, that are learnt from at most, about; drawn by a hash of their id.
+SAMPLE_DOCS, SAMPLE_BYTES = 1500, 32 << 20
+#: Contexts of three bytes, and languages, of a table; one language may have more.
+CONTEXTS, LANGS = 65_536, 16
 #: Bits a byte beyond which no learnt language explains a text.
 MAX_BITS = 7.0
 UND = "und"
@@ -84,32 +88,40 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train: Column | None = None, sample_docs: int = SAMPLE_DOCS, max_langs: int = MAX_LANGS, max_grams: int = MAX_GRAMS) -> dict:
-    """Counts of four-grams by language, of a sample bounded by sample_docs: {"langs": [...], "grams": [...], "counts": [...]}."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if train is None else train)).select(doc_id, text, lang)
-    sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang).cast("string")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(max_langs).collect()}
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", train: Column | None = None, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> dict:
+    """Counts of four-grams by language, of a bounded sample: {"langs": [...], "grams": [...], "counts": [...], "lower": [...]}."""
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if train is None else train)).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()  # a row for each language, as in the model
     if not sizes:
-        return {"langs": [], "grams": [], "counts": []}
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_docs / n))])
-    drawn = known.filter(F.pmod(doc_hash(F.col(doc_id), seed=11), F.lit(1 << 20)) < F.coalesce(share[F.col(lang).cast("string")], F.lit(0.0)) * (1 << 20))
-    got = gram_counts(drawn, text, lang).toArrow()
-    names, grams, counts = np.array(got["lang"].to_pylist(), object), got["gram"].to_numpy().astype(np.uint32), got["n"].to_numpy()
-    langs = sorted(set(names))
-    out = {"langs": langs, "grams": [], "counts": [], "lower": []}
-    for name in langs:
-        g, n = grams[names == name], counts[names == name]
-        order = np.argsort(g)
-        g, n = g[order], n[order]
+        return {"langs": [], "grams": [], "counts": [], "lower": []}
+    shares = [(r["lang"], int(min(1.0, sample_docs / r["n"], sample_bytes / len(sizes) / max(1, r["size"])) * (1 << 20))) for r in sizes]
+    share = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, __share long"))
+    drawn = known.join(share, "lang").filter(F.pmod(doc_hash(F.col("doc_id"), seed=11), F.lit(1 << 20)) < F.col("__share"))
+    got = gram_counts(drawn, "text", "lang").toArrow()
+    names, grams, counts = got["lang"].combine_chunks().dictionary_encode(), got["gram"].to_numpy().astype(np.uint32), got["n"].to_numpy()
+    which, kinds = names.indices.to_numpy(), names.dictionary.to_pylist()
+    order = np.lexsort((grams, which))
+    grams, counts, ends = grams[order], counts[order].astype(np.int64), np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(kinds)))])
+    out = {"langs": [], "grams": [], "counts": [], "lower": []}
+    for k in sorted(range(len(kinds)), key=kinds.__getitem__):
+        g, n = grams[ends[k] : ends[k + 1]], counts[ends[k] : ends[k + 1]]
         three, back = np.unique(g & np.uint32(0xFFFFFF), return_inverse=True)
-        out["lower"].append((three, np.bincount(back, n).astype(np.int64)))
-        if len(g) > max_grams:
-            keep = np.sort(np.argsort(-n, kind="stable")[:max_grams])
-            g, n = g[keep], n[keep]
-        out["grams"].append(g)
-        out["counts"].append(n.astype(np.int64))
+        for name, x in (("langs", kinds[k]), ("grams", g), ("counts", n), ("lower", (three, np.bincount(back, n).astype(np.int64)))):
+            out[name].append(x)
     return out
 
 
+def tables(model: dict) -> list[slice]:
+    """The languages of each table: as many as fit."""
+    out, first, held_ = [], 0, 0
+    for k, (three, _) in enumerate(model["lower"]):
+        if k > first and (held_ + len(three) > CONTEXTS or k - first == LANGS):
+            out.append(slice(first, k))
+            first, held_ = k, 0
+        held_ += len(three)
+    return out + [slice(first, len(model["langs"]))] * bool(model["langs"])
+
+
 class Coder:
     """The frozen costs of a fitted model as tables: bits of a symbol after its context, a column for each language."""
 
@@ -118,10 +130,14 @@ class Coder:
         threes = np.unique(np.concatenate([three for three, _ in model["lower"]]))
         fours = np.unique(np.concatenate(model["grams"]))
         contexts = np.unique(np.concatenate([threes, fours >> np.uint32(8)]))  # rows of the table of three bytes; as symbol-ends and as contexts
-        self.row3 = np.zeros(1 << 24, np.int32)
-        self.row3[contexts] = np.arange(1, len(contexts) + 1, dtype=np.int32)
+        # The row of three bytes through that of the first two, and of four through that of the first three; 0 for what is unknown.
+        twos = np.unique(contexts >> np.uint32(8))
+        self.row2 = np.zeros(1 << 16, np.int32)
+        self.row2[twos] = np.arange(1, len(twos) + 1, dtype=np.int32)
+        self.after2 = np.zeros((len(twos) + 1) * 256, np.int32)
+        self.after2[self.row2[contexts >> np.uint32(8)] * 256 + (contexts & np.uint32(255))] = np.arange(1, len(contexts) + 1, dtype=np.int32)
         self.row4 = np.zeros((len(contexts) + 1) * 256, np.int32)
-        self.row4[self.row3[fours >> np.uint32(8)].astype(np.int64) * 256 + (fours & np.uint32(255))] = np.arange(1, len(fours) + 1, dtype=np.int32)
+        self.row4[self.row3(fours >> np.uint32(8)).astype(np.int64) * 256 + (fours & np.uint32(255))] = np.arange(1, len(fours) + 1, dtype=np.int32)
         self.cost1 = np.zeros((1 << 16, n_langs), np.float32)
         self.escape2 = np.zeros((1 << 16, n_langs), np.float32)
         self.cost2 = np.zeros((len(contexts) + 1, n_langs), np.float32)
@@ -142,17 +158,20 @@ class Coder:
             p1 = p1.ravel()
             seen2, escape2 = self._order(three >> np.uint32(8), n3, p1[three & np.uint32(0xFFFF)], 1 << 16)
             p2 = np.concatenate([[1.0], escape2[contexts >> np.uint32(8)] * p1[contexts & np.uint32(0xFFFF)]])
-            p2[self.row3[three]] = seen2
+            p2[self.row3(three)] = seen2
             four, n4 = model["grams"][k], model["counts"][k]
-            seen3, escape3 = self._order(self.row3[four >> np.uint32(8)], n4, self._lower(p2, escape2, p1, four), len(contexts) + 1)
-            p3 = np.concatenate([[1.0], escape3[self.row3[fours >> np.uint32(8)]] * self._lower(p2, escape2, p1, fours)])
+            seen3, escape3 = self._order(self.row3(four >> np.uint32(8)), n4, self._lower(p2, escape2, p1, four), len(contexts) + 1)
+            p3 = np.concatenate([[1.0], escape3[self.row3(fours >> np.uint32(8))] * self._lower(p2, escape2, p1, fours)])
             p3[np.searchsorted(fours, four) + 1] = seen3
             for to, p in ((self.cost1, p1), (self.escape2, escape2), (self.cost2, p2), (self.escape3, escape3), (self.cost3, p3)):
                 to[:, k] = -np.log2(np.maximum(p, 1e-30))
 
+    def row3(self, three: np.ndarray) -> np.ndarray:
+        return self.after2[self.row2[three >> np.uint32(8)] * 256 + (three & np.uint32(255))]
+
     def _lower(self, p2: np.ndarray, escape2: np.ndarray, p1: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """Probability of the last byte of each gram after the two bytes before it."""
-        row = self.row3[grams & np.uint32(0xFFFFFF)]
+        row = self.row3(grams & np.uint32(0xFFFFFF))
         return np.where(row > 0, p2[row], escape2[(grams >> np.uint32(8)) & np.uint32(0xFFFF)] * p1[grams & np.uint32(0xFFFF)])
 
     @staticmethod
@@ -177,51 +196,41 @@ class Coder:
             if at[-1] == at[0]:
                 continue
             gram = _grams(raw[at[0] : at[-1]], at - at[0])
-            context = self.row3[gram >> np.uint32(8)].astype(np.int64)
+            context = self.row3(gram >> np.uint32(8)).astype(np.int64)
             row = self.row4[context * 256 + (gram & np.uint32(255))]
             cost = self.cost3[row]
             miss = np.flatnonzero(row == 0)
             if len(miss):
                 g = gram[miss]
-                shorter = self.row3[g & np.uint32(0xFFFFFF)]
+                shorter = self.row3(g & np.uint32(0xFFFFFF))
                 lower = np.where((shorter > 0)[:, None], self.cost2[shorter], self.escape2[(g >> np.uint32(8)) & np.uint32(0xFFFF)] + self.cost1[g & np.uint32(0xFFFF)])
                 cost[miss] = self.escape3[context[miss]] + lower
             full = np.flatnonzero(at[1:] > at[:-1])
             out[i + full] = np.add.reduceat(cost, (at - at[0])[full], axis=0, dtype=np.float64)
         return out
 
-    def predict(self, arr: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(language, score, bits a byte) of each text. Score: the winner's probability, evidence counted as that of 64 bytes at most."""
-        raw, off, valid = text_buffer(arr)
-        n, langs, score, rate = len(arr), [UND] * len(arr), np.zeros(len(arr)), np.zeros(len(arr))
-        if not self.langs or not n:
-            return langs, score, rate
-        raw, off = raw[off[0] : off[-1]], off - off[0]
-        size = off[1:] - off[:-1]
-        letter = np.zeros(n, bool)
-        for i, j in doc_chunks(off):
-            full = i + np.flatnonzero(size[i:j])
-            if len(full):
-                letter[full] = np.logical_or.reduceat(_ASCII_LETTER[raw[off[i] : off[j]]], off[full] - off[i])
-        for i in np.flatnonzero(valid & (size > 0) & ~letter):
-            letter[i] = any(map(str.isalpha, raw[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")))
-        bits = self.bits(raw, off)
-        mean = bits / np.maximum(size, 1)[:, None]
-        best = mean.argmin(axis=1)
-        rate = np.where(size > 0, mean.min(axis=1), 0.0)
-        weight = np.exp2(-(mean - mean.min(axis=1, keepdims=True)) * np.minimum(size, 64)[:, None])
-        score = np.where(letter, 1 / weight.sum(axis=1), 0.0)
-        return [self.langs[b] if ok else UND for b, ok in zip(best, letter, strict=True)], score, rate
-
-
-class _NoCoder(Coder):
-    def __init__(self):
-        self.langs = []
-
-
-def coder(model: _Ref) -> Coder:
-    """The tables of a broadcast model, built once in each Python worker."""
-    return held(("coder", model.id), lambda: Coder(model.value) if model.value["langs"] else _NoCoder())
+
+def predict(texts: pa.Array, langs: list[str], coders: Iterable[Coder]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, bits a byte) of each text; coders have the languages in their order, one after another."""
+    raw, off, valid = text_buffer(texts)
+    n, score, rate = len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    if not langs or not n:
+        return [UND] * n, score, rate
+    raw, off = raw[off[0] : off[-1]], off - off[0]
+    size = off[1:] - off[:-1]
+    letter = np.zeros(n, bool)
+    for i, j in doc_chunks(off):
+        full = i + np.flatnonzero(size[i:j])
+        if len(full):
+            letter[full] = np.logical_or.reduceat(_ASCII_LETTER[raw[off[i] : off[j]]], off[full] - off[i])
+    for i in np.flatnonzero(valid & (size > 0) & ~letter):
+        letter[i] = any(map(str.isalpha, raw[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")))
+    mean = np.concatenate([c.bits(raw, off) for c in coders], axis=1) / np.maximum(size, 1)[:, None]
+    best = mean.argmin(axis=1)
+    rate = np.where(size > 0, mean.min(axis=1), 0.0)
+    weight = np.exp2(-(mean - mean.min(axis=1, keepdims=True)) * 8 * np.sqrt(size)[:, None])
+    score = np.where(letter, 1 / weight.sum(axis=1), 0.0)
+    return [langs[b] if ok else UND for b, ok in zip(best, letter, strict=True)], score, rate
 
 
 class _Ref:
@@ -239,21 +248,24 @@ class _Ref:
         return self.broadcast.value
 
 
-def identify(docs: DataFrame, model: dict, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs with lang_pred, score and bits_per_byte."""
-    keep = [c for c in (keep if keep is not None else docs.columns) if c != text]
-    ref = _Ref(docs.sparkSession, model)
-    source = docs.select(*keep, text)
+def verdicts(spark: SparkSession, model: dict) -> Callable[[Column], Column]:
+    """A function of a text column that gives struct(lang_pred, score, bits_per_byte); texts go to Python, nothing else does."""
+    ref = _Ref(spark, model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(ref)
-        for batch in batches:
-            langs, score, rate = code.predict(batch.column(batch.num_columns - 1))
+    def table_of(part: slice) -> Coder:
+        """The tables of some languages; those of the last are kept in the worker."""
+        return held(("coder", ref.id, part.start), lambda: Coder({k: v[part] for k, v in ref.value.items()}))
+
+    @F.arrow_udf("struct<lang_pred:string, score:double, bits_per_byte:double>")
+    def verdict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = ref.value
+        parts = tables(model)
+        for own in texts:
+            langs, score, rate = predict(own, model["langs"], map(table_of, parts))
             give_back()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(score), pa.array(rate)], names=[*keep, "lang_pred", "score", "bits_per_byte"])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score), pa.array(rate)], ["lang_pred", "score", "bits_per_byte"])
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema.fields)
-    return source.mapInArrow(run, f"{types}, lang_pred string, score double, bits_per_byte double")
+    return lambda text: verdict(text.cast("string"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -263,20 +275,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = fit(docs, train=~held_out())
-    return identify(docs, model, keep=["doc_id"]).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    verdict = verdicts(spark, fit(docs, train=~held_out()))
+    return docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), verdict(F.col("text")).alias("v")).select("doc_id", "held_out", "v.*")
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that no learnt language explains: no letter, or a code of over MAX_BITS bits a byte."""
-    ref = _Ref(spark, fit(docs.select("doc_id", "text", "lang"), train=~held_out()))
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(ref)
-        for batch in batches:
-            langs, _, rate = code.predict(batch.column(at))
-            give_back()
-            yield batch.filter(pa.array([lang != UND and math.isfinite(r) and r <= MAX_BITS for lang, r in zip(langs, rate, strict=True)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    verdict = verdicts(spark, fit(docs.select("doc_id", "text", "lang"), train=~held_out()))
+    seen = with_rows(docs, v=verdict(F.col("text")))
+    return seen.filter((F.col("v.lang_pred") != UND) & ~F.isnan("v.bits_per_byte") & (F.col("v.bits_per_byte") <= MAX_BITS)).select("__row.*")
