@@ -5,7 +5,8 @@ fitted on a bounded sample of labelled documents. Documents' probabilities are s
 rate of a host is shrunk towards the global rate, and that of a path towards its host's, each by a strength estimated
 from how much rates differ beyond chance (moments of a beta-binomial), so that sparse sites follow the level above.
 A document's score is its evidence plus the log-odds by which its path differs from the whole; its own probability is
-taken out of the path's rate first, so nothing counts twice.
+taken out of the sums of its path and of its host first, so nothing counts twice. Strengths are kept within STRENGTH, and
+rates within RATE of 0 and 1, so that a site of a few documents of one kind is no proof.
 
 For `documents`, the host is the source and the path is the language within it.
 
@@ -15,18 +16,19 @@ document has evidence 0 and score 0.5 and is kept. Repeated rows count each. Emp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import ALNUM, cut, doc_chunks, doc_hash, give_back, mix, table, text_buffer, word_hashes, word_spans
+from .common import ALNUM, cut, doc_chunks, doc_hash, give_back, mix, release, table, text_buffer, with_rows, word_hashes, word_spans
 
-#: Labelled documents that the model is fitted on, about; rows of site rates that are broadcast at most (beyond, a shuffle join).
-SAMPLE, BROADCAST_ROWS = 20_000, 200_000
+#: Labelled documents that the model is fitted on, about; bytes of site rates that are broadcast at most, and parts that documents of a site are dealt to in the shuffle join beyond.
+SAMPLE, BROADCAST_BYTES, SALTS = 20_000, 16 << 20, 64
+#: Least and greatest prior rows that a level above is worth; how near rates come to 0 and 1.
+STRENGTH, RATE = (1.0, 1e4), 1e-4
 #: A document stays if its score is no less.
 KEEP = 0.5
 
@@ -137,37 +139,38 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     return fit_logistic(x[order], y[order].astype(float))
 
 
-def with_evidence(docs: DataFrame, weights: np.ndarray | None, text: str) -> DataFrame:
-    """docs with __evidence, the log-odds of the text alone."""
+def evidence_of(weights: np.ndarray | None) -> Callable[[Column], Column]:
+    """A function of a text column that gives the log-odds of the text alone; texts go to Python, nothing else does."""
     w = np.zeros(FEATURES) if weights is None else weights
-    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(features(batch.column(at)) @ w, -12, 12))], schema=batch.schema.append(pa.field("__evidence", pa.float64())))
+    @F.arrow_udf("double")
+    def evidence(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
+        for own in texts:
+            yield pa.array(np.concatenate([features(own.slice(i, 1000)) @ w for i in range(0, len(own), 1000)]) if len(own) else np.empty(0))
             give_back()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__evidence", T.DoubleType())]))
+    return lambda text: evidence(text.cast("string"))
 
 
-def site_rates(rows: DataFrame) -> tuple[DataFrame, float]:
-    """(host, path, n, total, host_rate, strength) of rows (host, path, p), and the global rate."""
+def site_rates(rows: DataFrame) -> tuple[DataFrame, dict]:
+    """(host, path, n, total, host_n, host_total) of rows (host, path, p), and the global rate and strengths: mean, of_hosts, of_paths."""
     paths = cut(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("total")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("total").alias("host_total"))
-    n, total, k, squares, inverse = hosts.agg(F.sum("host_n"), F.sum("host_total"), F.count("*"), F.sum(F.col("host_total") * F.col("host_total") / F.col("host_n")), F.sum(F.lit(1.0))).first()
-    mean = min(1 - 1e-4, max(1e-4, total / n)) if n else 0.5
+    n, total, k, squares = hosts.agg(F.sum("host_n"), F.sum("host_total"), F.count("*"), F.sum(F.col("host_total") * F.col("host_total") / F.col("host_n"))).first()
+    mean = min(1 - RATE, max(RATE, total / n)) if n else 0.5
     of_hosts = _strength(mean, n or 0, k, (squares or 0) - (n or 0) * mean * mean)
-    rated = paths.join(hosts.withColumn("host_rate", (F.col("host_total") + of_hosts * mean) / (F.col("host_n") + of_hosts)), "host")
-    k, squares = rated.agg(F.count("*"), F.sum(F.col("n") * F.pow(F.col("total") / F.col("n") - F.col("host_rate"), 2))).first()
-    of_paths = _strength(mean, n or 0, k, squares or 0)
-    return rated.select("host", "path", "n", "total", "host_rate", F.lit(of_paths).alias("strength")), mean
+    joined = cut(paths.join(hosts, "host"))
+    rate = (F.col("host_total") + of_hosts * mean) / (F.col("host_n") + of_hosts)
+    k, squares = joined.agg(F.count("*"), F.sum(F.col("n") * F.pow(F.col("total") / F.col("n") - rate, 2))).first()
+    return joined, {"mean": mean, "of_hosts": of_hosts, "of_paths": _strength(mean, n or 0, k, squares or 0)}
 
 
 def _strength(mean: float, n: float, groups: int, squares: float) -> float:
     """Prior rows worth: from the sum of n (rate - mean)**2 over groups, beyond what chance gives."""
     chance = mean * (1 - mean)
     excess = (squares - groups * chance) / max(1.0, n)
-    return float(min(1e4, max(1.0, chance / excess - 1))) if excess > 0 else 1e4
+    return float(min(STRENGTH[1], max(STRENGTH[0], chance / excess - 1))) if excess > 0 else STRENGTH[1]
 
 
 def _keys(host: Column, path: Column) -> list[Column]:
@@ -175,34 +178,35 @@ def _keys(host: Column, path: Column) -> list[Column]:
     return [key(host).alias("host"), key(path).alias("path")]
 
 
-def _score(evidence: Column, mean: float) -> tuple[Column, Column]:
-    """(path rate without the document, score)."""
-    p = 1 / (1 + F.exp(-evidence))
-    rate = (F.col("total") - p + F.col("strength") * F.col("host_rate")) / (F.col("n") - 1 + F.col("strength"))
-    rate = F.least(F.lit(1 - 1e-4), F.greatest(F.lit(1e-4), rate))
-    return rate, 1 / (1 + F.exp(-(evidence + F.log(rate / (1 - rate)) - float(np.log(mean / (1 - mean))))))
+def _scored(rows: DataFrame, rates: DataFrame, prior: dict) -> DataFrame:
+    """rows (host, path, evidence, ...) with host_rate, path_rate and score, each without the document's own part."""
+    size = rates.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(rates), ["host", "path"])
+    else:  # documents of a large site are dealt to many tasks
+        every = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("evidence"), F.lit(SALTS)).cast("int")).join(every, ["host", "path", "salt"]).drop("salt")
+    mean, of_hosts, of_paths = prior["mean"], prior["of_hosts"], prior["of_paths"]
+    p = 1 / (1 + F.exp(-F.col("evidence")))
+    near = lambda rate: F.least(F.lit(1 - RATE), F.greatest(F.lit(RATE), rate))
+    host = near((F.col("host_total") - p + of_hosts * mean) / (F.col("host_n") - 1 + of_hosts))
+    path = near((F.col("total") - p + of_paths * F.col("host_rate")) / (F.col("n") - 1 + of_paths))
+    odds = F.col("evidence") + F.log(F.col("path_rate") / (1 - F.col("path_rate"))) - float(np.log(mean / (1 - mean)))
+    return joined.withColumn("host_rate", host).withColumn("path_rate", path).withColumn("score", 1 / (1 + F.exp(-odds)))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels")
-    weights = fit(docs, labels)
-    seen = cut(with_evidence(docs.select("doc_id", "source", "lang", "text"), weights, "text").select("doc_id", *_keys(F.col("source"), F.col("lang")), F.col("__evidence").alias("evidence")))
-    rates, mean = site_rates(seen.select("host", "path", (1 / (1 + F.exp(-F.col("evidence")))).alias("p")))
-    joined = seen.join(F.broadcast(rates) if rates.count() <= BROADCAST_ROWS else rates, ["host", "path"])
-    rate, score = _score(F.col("evidence"), mean)
-    return joined.select("doc_id", "evidence", "host_rate", rate.alias("path_rate"), score.alias("score"), (score >= KEEP).alias("kept"))
+    evidence = evidence_of(fit(docs, labels))
+    seen = cut(docs.select("doc_id", *_keys(F.col("source"), F.col("lang")), evidence(F.col("text")).alias("evidence")))
+    rates, prior = site_rates(seen.select("host", "path", (1 / (1 + F.exp(-F.col("evidence")))).alias("p")))
+    return _scored(seen, rates, prior).select("doc_id", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= KEEP).alias("kept"))
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those whose score is below KEEP. Evidence is computed twice, so that no text is shuffled."""
-    weights = fit(docs, table(spark, sf_dir, "labels"))
-    keys = _keys(F.col("source"), F.col("lang"))
-    rates, mean = site_rates(with_evidence(docs.select("source", "lang", "text"), weights, "text").select(*keys, (1 / (1 + F.exp(-F.col("__evidence")))).alias("p")))
-    rates = rates.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "n", "total", "host_rate", "strength").select("__host", "__path", F.struct("n", "total", "host_rate", "strength").alias("__site"))
-    small = F.broadcast(rates) if rates.count() <= BROADCAST_ROWS else rates
-    joined = with_evidence(docs, weights, "text").join(small, (keys[0] == F.col("__host")) & (keys[1] == F.col("__path")))
-    part = {c: F.col("__site")[c] for c in ("n", "total", "host_rate", "strength")}
-    p = 1 / (1 + F.exp(-F.col("__evidence")))
-    rate = F.least(F.lit(1 - 1e-4), F.greatest(F.lit(1e-4), (part["total"] - p + part["strength"] * part["host_rate"]) / (part["n"] - 1 + part["strength"])))
-    odds = F.col("__evidence") + F.log(rate / (1 - rate)) - float(np.log(mean / (1 - mean)))
-    return joined.filter(1 / (1 + F.exp(-odds)) >= KEEP).select(*docs.columns)
+    evidence = evidence_of(fit(docs, table(spark, sf_dir, "labels")))
+    host, path = _keys(F.col("source"), F.col("lang"))
+    own = evidence(F.col("text"))
+    rates, prior = site_rates(docs.select(host, path, own.alias("evidence")).select("host", "path", (1 / (1 + F.exp(-F.col("evidence")))).alias("p")))
+    return _scored(with_rows(docs, host=host, path=path, evidence=own), rates, prior).filter(F.col("score") >= KEEP).select("__row.*")
