@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import NOT_SPACE, cut, doc_hash, give_back, small_batches, table, text_buffer, word_counts
+from .common import NOT_SPACE, cut, doc_hash, give_back, release, small_batches, table, text_buffer, with_rows, word_counts
 
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, 4
 #: Cost of a word taken for the first, second and third time; each over the one before.
@@ -133,6 +133,7 @@ def sizes_of(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     source = docs.select(*keep, F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             raw, off, _ = text_buffer(batch.column(batch.num_columns - 1))
             n = word_counts(raw[off[0] : off[-1]], off - off[0], NOT_SPACE)
@@ -229,6 +230,6 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         sized = cut(sizes_of(docs, "text", [F.col("doc_id"), source_key("source").alias("key")]))
     place = order_key("doc_id", SEED)
     plan_, _, _ = plan(sized.select(F.array("key").alias("sources"), place.alias("place"), "size"))
-    taken = _with_plan(docs, plan_, F.array(source_key("source")), place)
     worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return taken.filter(worded & (F.col("__times") > 0)).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))).select(*docs.columns)
+    taken = _with_plan(with_rows(docs, keys=F.array(source_key("source")), place=place, worded=worded), plan_, F.col("keys"), F.col("place"))
+    return taken.filter(F.col("worded") & (F.col("__times") > 0)).select("__row", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))).select("__row.*")

@@ -30,13 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import ALNUM, components, cut, doc_chunks, give_back, lower_bytes, mix, small_batches, table, text_buffer, tidy, word_hashes, word_spans
+from .common import ALNUM, components, cut, doc_chunks, give_back, lower_bytes, mix, release, small_batches, table, text_buffer, tidy, with_rows, word_hashes, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Places of a signature are BANDS * ROWS: documents of similarity 0.8 share a band with a probability of 1 - 5e-8.
 BANDS, ROWS = 32, 4
-#: Rows of ids that are broadcast at most; beyond, a shuffle join.
+#: Rows of ids, of eight bytes each, that are broadcast at most; beyond, a shuffle join.
 BROADCAST_ROWS = 500_000
 #: Bands of more nodes than this have their nodes sketched, so that hopeless pairs are known without their multisets; parts of a sketch.
 LARGE, PARTS = 16, 64
@@ -162,6 +163,7 @@ def signatures(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", b
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i, j, row, value, count in _blocks(batch.column(1)):
                 node, size, _, _ = _node(j - i, row, value, count)
@@ -263,7 +265,7 @@ def near_components(docs: DataFrame, signed: DataFrame, *, text: str = "text", d
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (smallest id with the same multiset), component_id (smallest id reachable by links of `similarity`), kept (one row of each component)."""
+    """One row for each row of docs: doc_id, class_id (smallest id with the same multiset), component_id (smallest id reachable by links of `similarity`), kept (one row of each component), node (of its multiset)."""
     with small_batches(docs.sparkSession):
         signed = cut(signatures(docs, text=text, doc_id=doc_id, bands=bands, rows=rows).withColumn("row", F.monotonically_increasing_id()))
         labels = near_components(docs, signed, text=text, doc_id=doc_id, similarity=similarity)
@@ -272,25 +274,37 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     classes = rows_.groupBy("node", "label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "row")).alias("first"))
     firsts = classes.groupBy("label").agg(F.min("first").alias("stays"))
     placed = cut(classes.join(firsts, "label").select("node", "class_id", "stays"), signed.count())
-    own = signed.filter(linked).select("doc_id", "node", "row").join(placed, "node").select("doc_id", "class_id", F.col("stays.doc_id").alias("component_id"), (F.col("row") == F.col("stays.row")).alias("kept"))
-    alone = signed.filter(~linked).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    own = signed.filter(linked).select("doc_id", "node", "row").join(placed, "node").select("doc_id", "class_id", F.col("stays.doc_id").alias("component_id"), (F.col("row") == F.col("stays.row")).alias("kept"), "node")
+    alone = signed.filter(~linked).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "node")
     return own.unionByName(alone)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
+
+
+@F.arrow_udf(LongType())
+def node_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The node of each text, as signatures() has it."""
+    for own in texts:
+        parts = [_node(j - i, row, value, count)[0] for i, j, row, value, count in _blocks(own)]
+        yield pa.array(np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64))
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one document of each component. Rows that share id and text with a kept row are left out."""
+    """docs with one document of each component. Of rows that share an id, those go whose text is not that of a kept row; of equal ones of these, one stays."""
     result = cut(near_duplicates(docs.select("doc_id", "text")))
     stay = result.filter("kept and doc_id is not null").select("doc_id").distinct()
     gone = result.filter("not kept").select("doc_id").distinct().join(stay, "doc_id", "left_anti").select(F.col("doc_id").alias("__gone"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    key = F.col("doc_id").cast("long")
+    left = docs.join(gone, key == F.col("__gone"), "left_anti")
     again = result.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.count(F.when(~F.col("kept"), 1)).alias("out")).filter("n > 1 and out > 0").select(F.col("doc_id").alias("__again"))
     if again.isEmpty():
         return left
     again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    same = F.col("doc_id") == F.col("__again")
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    kept = result.filter("kept").select(F.col("doc_id").alias("__again"), F.col("node").alias("__node")).join(again, "__again", "left_semi").distinct()
+    several = left.join(again, key == F.col("__again"), "left_semi")
+    seen = with_rows(several, id=F.col("doc_id").cast("long"), node=node_of(F.col("text").cast("string")))
+    own = seen.join(kept, (F.col("id") == F.col("__again")) & (F.col("node") == F.col("__node"))).dropDuplicates(["id", "node"]).select("__row.*")
+    return left.join(again, key == F.col("__again"), "left_anti").unionByName(own)

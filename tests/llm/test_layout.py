@@ -201,6 +201,14 @@ def test_mix_of_a_table(spark):
     assert sorted(zip(again.doc_id, again.taken)) == sorted(zip(got.doc_id, got.taken))
 
 
+def test_mix_stage_with_clashing_names(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a b c {i}", "en", f"s{i % 2}") for i in range(40)], "doc_id long, text string, lang string, source string")
+    for c in ("__key", "__times", "__copy", "__row", "keys", "place", "worded"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    got = mixing.stage_mixing(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and got.count() > 0 and {r["__times"] for r in got.collect()} == {"clash"}
+
+
 def test_mix_edges(spark, tmp_path):
     rows = [(1, "a b c", "en", "x", 1), (2, None, "en", None, 1), (3, "a b  c", "en", None, 1), (3, "a b  c", "en", None, 1), (None, "d", "en", "Z", 1), (5, "", None, "x", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("size", F.lit(9))
@@ -256,6 +264,19 @@ def test_words_encode_like_texts():
         assert np.frombuffer(e.ids(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_the_memory_of_words_is_bounded(monkeypatch):
+    """Words are forgotten, long ones never remembered, and ids stay those of the whole text."""
+    monkeypatch.setattr(packing, "REMEMBERED", 100_000)
+    code = packing.Encoder(packing.tokenizer_path(packing.TOKENIZER))
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        text = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 9))) for _ in range(300)) + " " + "word" * 400 + " \u4e2d\u6587"
+        assert np.frombuffer(code.ids(text), "<u4").tolist() == code.tokenizer.encode(text, add_special_tokens=False).ids
+        assert code.known.held < 400_000 and sum(len(w) > packing.LONG for w in code.known) == 0
+    many = " ".join(f"w{i}" for i in range(120_000))
+    assert code.ids(many) == b"".join(code.ids(f"w{i}") for i in range(120_000)) and code.known.held < 50_000 * 250
+
+
 def test_packing_round_trip(spark, tmp_path):
     texts = [None, "", "Hello, world", "long words " * 3000, "x", "x"]
     rows = [(i if i else None, t) for i, t in enumerate(texts)] + [(100 + i, "some more words here " * (i % 50)) for i in range(300)]
@@ -386,8 +407,8 @@ def test_archives_round_trip(spark, tmp_path):
 
 def test_pipeline(spark, tmp_path):
     """Each stage against a plain version of it, on what the stage before kept."""
-    from multiweave.llm import language_id, quality
-    from tests.llm.test_text import brute_components
+    from multiweave.llm import language_id
+    from tests.llm.test_text import SlowQuality, brute_components
 
     d = f"{DATA}/sf0.001"
     docs = first = spark.read.parquet(f"{d}/documents.parquet")
@@ -402,21 +423,14 @@ def test_pipeline(spark, tmp_path):
 
     given, kept = seen[0]
     model = language_id.fit(spark.createDataFrame(given), train=~language_id.held_out())
-    langs, _, rate = language_id.Coder(model).predict(__import__("pyarrow").array(given.text))
+    langs, _, rate = language_id.predict(__import__("pyarrow").array(given.text), model["langs"], [language_id.Coder(model)])
     assert ids(kept) == ids(given[[lang != "und" and r <= language_id.MAX_BITS for lang, r in zip(langs, rate)]])
 
     given, kept = seen[1]
-    w = quality.fit(spark.createDataFrame(given), spark.read.parquet(f"{d}/labels.parquet"))
-    evidence = np.clip(quality.features(__import__("pyarrow").array(given.text)) @ w, -12, 12)
-    given = given.assign(p=1 / (1 + np.exp(-evidence)), e=evidence)
-    rates, mean = quality.site_rates(spark.createDataFrame(given.assign(host="0" + given.source, path="0" + given.lang)[["host", "path", "p"]]))
-    by = {(r["host"], r["path"]): r for r in rates.collect()}
-    stay = []
-    for r in given.itertuples():
-        site = by["0" + r.source, "0" + r.lang]
-        rate = min(1 - 1e-4, max(1e-4, (site["total"] - r.p + site["strength"] * site["host_rate"]) / (site["n"] - 1 + site["strength"])))
-        stay.append(r.e + math.log(rate / (1 - rate)) - math.log(mean / (1 - mean)) >= 0)
-    assert ids(kept) == ids(given[stay])
+    rows = list(zip(given.doc_id, given.text, given.source, given.lang))
+    slow = SlowQuality()
+    slow.fit(rows, {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()})
+    assert ids(kept) == ids(given[[score >= 0.5 for *_, score in slow.scores(rows)]])
 
     given, kept = seen[2]
     part = brute_components(list(zip(given.doc_id, given.text)))

@@ -89,6 +89,27 @@ def test_code_lengths_are_exact():
         assert abs(sum(slow[0].p(context, s) for s in range(256)) - 1) < 1e-9
 
 
+def test_tables_of_many_languages(spark, monkeypatch):
+    """With more languages than a table holds, code lengths and verdicts are the same; none is left out."""
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{'xyz'[k % 3]} " for k in range(300)]
+    rows = [(2 * k, w * 6, f"l{k:03d}", "s", 1) for k, w in enumerate(words)]
+    model = language_id.fit(docs_of(spark, rows))
+    assert len(model["langs"]) == 300 and len(language_id.tables(model)) == -(-300 // language_id.LANGS)
+    ask = pa.array([w * 3 for w in words])
+    whole = language_id.predict(ask, model["langs"], [language_id.Coder(model)])
+    parts = language_id.predict(ask, model["langs"], [language_id.Coder({k: v[p] for k, v in model.items()}) for p in language_id.tables(model)])
+    assert whole[0] == parts[0] == model["langs"] and np.allclose(whole[2], parts[2]) and np.allclose(whole[1], parts[1])
+    got = spark.createDataFrame([(w * 3,) for w in words], "text string").select(language_id.verdicts(spark, model)(F.col("text")).alias("v")).select("v.lang_pred").toPandas()
+    assert got.lang_pred.tolist() == model["langs"]
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    rows = [(2 * k, f"the text of number {k} " * 20, "en" if k % 2 else "de", "s", 1) for k in range(600)]
+    counts = lambda **b: sum(n.sum() for n in language_id.fit(docs_of(spark, rows), **b)["counts"])
+    whole = sum(len(r[1]) for r in rows)
+    assert counts() == whole and 0.05 * whole < counts(sample_bytes=whole // 10) < 0.2 * whole
+
+
 def test_language_accuracy_and_split(spark):
     got = language_id.op1_language_id(spark, f"{DATA}/sf0.01").join(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     import zlib
@@ -214,7 +235,7 @@ def test_components_with_hubs(spark):
 def test_quality_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     w = quality.fit(docs, labels.filter("doc_id % 4 <> 2"))
-    got = quality.with_evidence(docs.select("doc_id", "text"), w, "text").join(labels.filter("doc_id % 4 = 2"), "doc_id").toPandas()
+    got = docs.select("doc_id", "text", quality.evidence_of(w)(F.col("text")).alias("__evidence")).join(labels.filter("doc_id % 4 = 2"), "doc_id").toPandas()
     good = got.quality == 1
     assert (got["__evidence"] > 0)[good].mean() > 0.98 and (got["__evidence"] <= 0)[~good].mean() > 0.6
 
@@ -233,7 +254,7 @@ def test_quality_by_kind(spark):
     """Held-out low-quality documents of every kind are rejected, those of repeated words too."""
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     w = quality.fit(docs, labels.filter("doc_id % 4 <> 2"))
-    got = quality.with_evidence(docs.select("doc_id", "text"), w, "text").join(labels.filter("doc_id % 4 = 2"), "doc_id").toPandas()
+    got = docs.select("doc_id", "text", quality.evidence_of(w)(F.col("text")).alias("__evidence")).join(labels.filter("doc_id % 4 = 2"), "doc_id").toPandas()
     bad = got[got.quality == 0]
     rejected = (bad["__evidence"] <= 0).groupby(bad.text.map(kind_of_bad)).agg(["mean", "size"])
     print(rejected, (got["__evidence"] > 0)[got.quality == 1].mean())
@@ -249,11 +270,80 @@ def test_repetition_of_words():
     assert np.allclose(got[5], [699_999 / 700_000, 699_999 / 700_001, 699_998 / 700_000, 700_000 / 700_001])
 
 
+class SlowQuality:
+    """The operator again, a document at a time and without its functions: byte-class shares and repetition counted in dictionaries, rates summed in loops."""
+
+    groups = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\r\n", ".", ",;:", "!?", "|", "#$%&*@^~", "'\"()-", "<>{}[]=/\\_+`")
+
+    def features(self, text):
+        b = (text or "").encode()
+        kind = [13 if x >= 128 else next((k for k, g in enumerate(self.groups) if chr(x) in g), 12) for x in b]
+        pairs = collections.Counter(zip(kind, kind[1:]))
+        shares = [math.sqrt(pairs[i, j] / max(1, len(b) - 1)) for i in range(14) for j in range(14)]
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", b)
+        two = list(zip(words, words[1:]))
+        n, m = max(1, len(words)), max(1, len(words) - 1)
+        repeats = [sum(x == y for x, y in two) / m, (len(words) - len(set(words))) / n, (len(two) - len(set(two))) / m, max(collections.Counter(words).values(), default=0) / n]
+        return [*shares, *repeats, min(1.0, len(b) / 200), math.log1p(len(b)) / 10, 1.0]
+
+    def fit(self, docs, labels):
+        x, y = np.array([self.features(t) for i, t, *_ in docs if i in labels]), np.array([labels[i] for i, *_ in docs if i in labels], float)
+        penalty = np.array([0.02] * (x.shape[1] - 1) + [1e-6]) / 100
+        self.w = np.zeros(x.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ self.w))
+            self.w -= np.linalg.solve((x.T * (p * (1 - p))) @ x / len(y) + np.diag(penalty), x.T @ (p - y) / len(y) + penalty * self.w)
+
+    def scores(self, docs):
+        """(evidence, host rate, path rate, score) of rows (id, text, host, path)."""
+        e = [float(np.dot(self.features(t), self.w)) for _, t, _, _ in docs]
+        p = [1 / (1 + math.exp(-x)) for x in e]
+        hosts, paths = collections.defaultdict(lambda: [0, 0.0]), collections.defaultdict(lambda: [0, 0.0])
+        for (_, _, h, a), x in zip(docs, p):
+            for site, key in ((hosts, h), (paths, (h, a))):
+                site[key][0] += 1
+                site[key][1] += x
+        n, near = len(docs), lambda r: min(1 - 1e-4, max(1e-4, r))
+        mean = near(sum(p) / n)
+
+        def strength(squares, groups):
+            excess = (squares - groups * mean * (1 - mean)) / n
+            return min(1e4, max(1.0, mean * (1 - mean) / excess - 1)) if excess > 0 else 1e4
+
+        s_host = strength(sum(k * (t / k - mean) ** 2 for k, t in hosts.values()), len(hosts))
+        rate = {h: (t + s_host * mean) / (k + s_host) for h, (k, t) in hosts.items()}
+        s_path = strength(sum(k * (t / k - rate[h]) ** 2 for (h, _), (k, t) in paths.items()), len(paths))
+        out = []
+        for (_, _, h, a), x, q in zip(docs, e, p):
+            of_host = near((hosts[h][1] - q + s_host * mean) / (hosts[h][0] - 1 + s_host))
+            of_path = near((paths[h, a][1] - q + s_path * of_host) / (paths[h, a][0] - 1 + s_path))
+            odds = x + math.log(of_path / (1 - of_path)) - math.log(mean / (1 - mean))
+            out.append((x, of_host, of_path, 1 / (1 + math.exp(-odds))))
+        return out
+
+
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_quality_equals_brute_force(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", broadcast)
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    extra = [(900, None, None, "s", 1), (901, "", "en", None, 1), (902, "Ein Satz. Noch ein Satz.", "de", None, 1), (902, "Ein Satz. Noch ein Satz.", "de", None, 1)]
+    docs.unionByName(docs_of(spark, extra)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(r["doc_id"], r["text"], r["source"], r["lang"]) for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{tmp_path}/labels.parquet").collect()}
+    slow = SlowQuality()
+    slow.fit(rows, labels)
+    want = sorted((r[0], *x) for r, x in zip(rows, slow.scores(rows)))
+    got = sorted((r["doc_id"], r["evidence"], r["host_rate"], r["path_rate"], r["score"]) for r in quality.op6_quality(spark, str(tmp_path)).collect())
+    assert len(got) == len(want) and np.allclose(np.array(got, float), np.array(want, float), atol=1e-3)
+
+
 def test_sites_are_shrunk(spark):
     rows = [("big", "p", 0.9)] * 400 + [("bad", "p", 0.1)] * 400 + [("tiny", "p", 0.0)] + [("mid", "q", 0.5)] * 100
-    rates, mean = quality.site_rates(spark.createDataFrame(rows, "host string, path string, p double"))
-    by = {r["host"]: r["host_rate"] for r in rates.collect()}
-    assert by["big"] > 0.85 and by["bad"] < 0.15 and 0.0 < by["tiny"] < mean and abs(mean - 450 / 901) < 1e-9
+    rates, prior = quality.site_rates(spark.createDataFrame(rows, "host string, path string, p double"))
+    frame = spark.createDataFrame([(h, p, math.log(max(x, 1e-9) / (1 - x))) for h, p, x in rows], "host string, path string, evidence double")
+    by = {r["host"]: r["host_rate"] for r in quality._scored(frame, rates, prior).collect()}
+    assert by["big"] > 0.85 and by["bad"] < 0.15 and 0.0 < by["tiny"] <= prior["mean"] and abs(prior["mean"] - 450 / 901) < 1e-9
 
 
 def test_quality_edges(spark, tmp_path):
@@ -272,6 +362,14 @@ def test_quality_edges(spark, tmp_path):
     assert quality.stage_quality(spark, docs, f"{tmp_path}/e").count() == len(rows)
 
 
+def test_rows_of_one_id_with_other_texts(spark, tmp_path):
+    """Of an id's rows, a copy of another document goes and the text of its own stays."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    docs = docs_of(spark, [(1, text(1), "en", "s", 1), (2, text(1), "en", "s", 1), (2, text(2), "en", "s", 1), (2, text(2), "de", "s", 1), (3, text(3), "en", "s", 1), (4, None, "en", "s", 1), (4, text(3), "en", "s", 1)])
+    got = near_dedup.stage_near_dedup(spark, docs.withColumn("node", F.lit("clash")), str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, text(1)), (2, text(2)), (3, text(3)), (4, None)], key=str) and got.columns[-1] == "node"
+
+
 # ------------------------------------------------------------------ licences
 
 def test_licence_scan_equals_sql(spark):
