@@ -18,7 +18,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Pieces dealt to a group; rounds of exchange.
 GROUP, ROUNDS = 4096, 2
 #: Bytes, about, of the words, and as many of the parts of words, whose ids a worker remembers; longer words than this are encoded each time.
-REMEMBERED, LONG = 24 << 20, 256
+REMEMBERED, LONG = 40 << 20, 256
 #: What an entry takes beside its word and ids.
 ENTRY = 180
 #: str.split() parts words here, the tokenizer does not.
@@ -44,7 +43,7 @@ PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-
 
 
 class Memory(dict):
-    """Ids by word, of a bounded number of bytes: beyond it the older half goes."""
+    """Ids by word, of a bounded number of bytes: beyond it the newer half goes, as frequent words come early."""
 
     held = 0
 
@@ -55,8 +54,9 @@ class Memory(dict):
 
     def shrink(self) -> None:
         if self.held > REMEMBERED:
-            for x in list(islice(self, len(self) // 2)):
-                self.held -= ENTRY + len(x) + len(self.pop(x))
+            for _ in range(len(self) // 2):
+                x, ids = self.popitem()
+                self.held -= ENTRY + len(x) + len(ids)
 
 
 class Encoder:
@@ -84,7 +84,7 @@ class Encoder:
         split = {w: PARTS(w.lower()) for w in words if SIMPLE(w) and "<|" not in w}
         for w, ids in self._encode([w for w in words if w not in split]):
             known.add(w, ids)
-        for x in {x for own in split.values() for x in own}.difference(parts):
+        for x in {x for own in split.values() for x in own if x not in parts}:
             parts.add(x, array("I", [t.id for t in self.merge(x if x.isascii() else x.encode().decode("latin-1").translate(BYTES))]).tobytes())
         for w, own in split.items():
             known.add(w, parts[own[0]] if len(own) == 1 else b"".join([parts[x] for x in own]))
