@@ -6,13 +6,14 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -113,6 +114,31 @@ def with_rows(docs: DataFrame, **named: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[c.alias(k) for k, c in named.items()])
 
 
+def over_texts(docs: DataFrame, text: str, keep: list[Column], of_texts: Callable[[pa.Array], tuple[list[pa.Array], pa.Array | None]], schema: str, rows: int = 1000) -> DataFrame:
+    """`__row`, a struct of the columns keep, beside what of_texts gives of the texts: arrays by schema, and which rows stay (None: all).
+
+    Texts come from the struct if it has them, so that they are sent once; blocks of `rows` bound what a worker holds.
+    All steps of this subpackage run Python this way, as workers of one kind serve them all.
+    """
+    row = docs.select(F.struct(*keep).alias("__row"))
+    inside = text in row.schema["__row"].dataType.names
+    at = row.schema["__row"].dataType.names.index(text) if inside else None
+    source = row if inside else docs.select(F.struct(*keep).alias("__row"), F.col(text).cast("string").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                own = batch.slice(i, rows)
+                arrays, stay = of_texts(own.column(0).field(at) if inside else own.column(1))
+                out = pa.RecordBatch.from_arrays([own.column(0), *arrays], names=["__row", *names])
+                yield out if stay is None else out.filter(stay)
+            give_back()
+
+    more = T._parse_datatype_string(schema)
+    names = more.names
+    return source.mapInArrow(run, T.StructType([row.schema["__row"], *more.fields]))
+
+
 # ------------------------------------------------------------------ texts as bytes
 
 def text_buffer(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

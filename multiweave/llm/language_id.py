@@ -18,14 +18,14 @@ Every text is scored whole, in blocks of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_chunks, doc_hash, give_back, held, table, text_buffer, with_rows
+from .common import doc_chunks, doc_hash, held, over_texts, table, text_buffer
 
 #: Fitting: labelled documents of a language, and bytes of all languages, that are learnt from at most, about; drawn by a hash of their id.
 SAMPLE_DOCS, SAMPLE_BYTES = 1500, 32 << 20
@@ -248,24 +248,20 @@ class _Ref:
         return self.broadcast.value
 
 
-def verdicts(spark: SparkSession, model: dict) -> Callable[[Column], Column]:
-    """A function of a text column that gives struct(lang_pred, score, bits_per_byte); texts go to Python, nothing else does."""
-    ref = _Ref(spark, model)
+def verdicts(docs: DataFrame, model: dict, keep: list[Column], *, text: str = "text", known_only: bool = False) -> DataFrame:
+    """`__row`, a struct of the columns keep, with lang_pred, score and bits_per_byte; known_only: of documents that a learnt language explains."""
+    ref = _Ref(docs.sparkSession, model)
 
     def table_of(part: slice) -> Coder:
         """The tables of some languages; those of the last are kept in the worker."""
         return held(("coder", ref.id, part.start), lambda: Coder({k: v[part] for k, v in ref.value.items()}))
 
-    @F.arrow_udf("struct<lang_pred:string, score:double, bits_per_byte:double>")
-    def verdict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = ref.value
-        parts = tables(model)
-        for own in texts:
-            langs, score, rate = predict(own, model["langs"], map(table_of, parts))
-            give_back()
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score), pa.array(rate)], ["lang_pred", "score", "bits_per_byte"])
+    def of_texts(texts: pa.Array) -> tuple[list[pa.Array], pa.Array | None]:
+        langs, score, rate = predict(texts, ref.value["langs"], map(table_of, tables(ref.value)))
+        stay = pa.array([lang != UND and r <= MAX_BITS for lang, r in zip(langs, rate, strict=True)], pa.bool_()) if known_only else None
+        return [pa.array(langs, pa.string()), pa.array(score), pa.array(rate)], stay
 
-    return lambda text: verdict(text.cast("string"))
+    return over_texts(docs, text, keep, of_texts, "lang_pred string, score double, bits_per_byte double")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -275,12 +271,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    verdict = verdicts(spark, fit(docs, train=~held_out()))
-    return docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), verdict(F.col("text")).alias("v")).select("doc_id", "held_out", "v.*")
+    found = verdicts(docs, fit(docs, train=~held_out()), [F.col("doc_id")])
+    return found.select("__row.doc_id", "lang_pred", "score", "bits_per_byte").select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that no learnt language explains: no letter, or a code of over MAX_BITS bits a byte."""
-    verdict = verdicts(spark, fit(docs.select("doc_id", "text", "lang"), train=~held_out()))
-    seen = with_rows(docs, v=verdict(F.col("text")))
-    return seen.filter((F.col("v.lang_pred") != UND) & ~F.isnan("v.bits_per_byte") & (F.col("v.bits_per_byte") <= MAX_BITS)).select("__row.*")
+    model = fit(docs.select("doc_id", "text", "lang"), train=~held_out())
+    return verdicts(docs, model, [F.col(f"`{c}`") for c in docs.columns], known_only=True).select("__row.*")

@@ -30,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from .common import ALNUM, components, cut, doc_chunks, give_back, lower_bytes, mix, release, small_batches, table, text_buffer, tidy, with_rows, word_hashes, word_spans
+from .common import ALNUM, components, cut, doc_chunks, give_back, lower_bytes, mix, over_texts, release, small_batches, table, text_buffer, tidy, word_hashes, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Places of a signature are BANDS * ROWS: documents of similarity 0.8 share a band with a probability of 1 - 5e-8.
@@ -283,12 +282,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("node")
 
 
-@F.arrow_udf(LongType())
-def node_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _nodes(texts: pa.Array) -> tuple[list[pa.Array], None]:
     """The node of each text, as signatures() has it."""
-    for own in texts:
-        parts = [_node(j - i, row, value, count)[0] for i, j, row, value, count in _blocks(own)]
-        yield pa.array(np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64))
+    parts = [_node(j - i, row, value, count)[0] for i, j, row, value, count in _blocks(texts)]
+    return [pa.array(np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64))], None
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -305,6 +302,6 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
     kept = result.filter("kept").select(F.col("doc_id").alias("__again"), F.col("node").alias("__node")).join(again, "__again", "left_semi").distinct()
     several = left.join(again, key == F.col("__again"), "left_semi")
-    seen = with_rows(several, id=F.col("doc_id").cast("long"), node=node_of(F.col("text").cast("string")))
-    own = seen.join(kept, (F.col("id") == F.col("__again")) & (F.col("node") == F.col("__node"))).dropDuplicates(["id", "node"]).select("__row.*")
+    seen = over_texts(several, "text", [F.col(f"`{c}`") for c in several.columns], _nodes, "node long")
+    own = seen.withColumn("id", F.col("__row.doc_id").cast("long")).join(kept, (F.col("id") == F.col("__again")) & (F.col("node") == F.col("__node"))).dropDuplicates(["id", "node"]).select("__row.*")
     return left.join(again, key == F.col("__again"), "left_anti").unionByName(own)

@@ -16,14 +16,14 @@ document has evidence 0 and score 0.5 and is kept. Repeated rows count each. Emp
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, cut, doc_chunks, doc_hash, give_back, mix, release, table, text_buffer, with_rows, word_hashes, word_spans
+from .common import ALNUM, cut, doc_chunks, doc_hash, mix, over_texts, release, table, text_buffer, word_hashes, word_spans
 
 #: Labelled documents that the model is fitted on, about; bytes of site rates that are broadcast at most, and parts that documents of a site are dealt to in the shuffle join beyond.
 SAMPLE, BROADCAST_BYTES, SALTS = 20_000, 16 << 20, 64
@@ -139,18 +139,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str =
     return fit_logistic(x[order], y[order].astype(float))
 
 
-def evidence_of(weights: np.ndarray | None) -> Callable[[Column], Column]:
-    """A function of a text column that gives the log-odds of the text alone; texts go to Python, nothing else does."""
+def with_evidence(docs: DataFrame, weights: np.ndarray | None, keep: list[Column], text: str = "text") -> DataFrame:
+    """`__row`, a struct of the columns keep, with evidence, the log-odds of the text alone."""
     w = np.zeros(FEATURES) if weights is None else weights
 
-    @F.arrow_udf("double")
-    def evidence(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def of_texts(texts: pa.Array) -> tuple[list[pa.Array], None]:
         release()
-        for own in texts:
-            yield pa.array(np.concatenate([features(own.slice(i, 1000)) @ w for i in range(0, len(own), 1000)]) if len(own) else np.empty(0))
-            give_back()
+        return [pa.array(features(texts) @ w)], None
 
-    return lambda text: evidence(text.cast("string"))
+    return over_texts(docs, text, keep, of_texts, "evidence double")
 
 
 def site_rates(rows: DataFrame) -> tuple[DataFrame, dict]:
@@ -187,7 +184,7 @@ def _scored(rows: DataFrame, rates: DataFrame, prior: dict) -> DataFrame:
         every = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("evidence"), F.lit(SALTS)).cast("int")).join(every, ["host", "path", "salt"]).drop("salt")
     mean, of_hosts, of_paths = prior["mean"], prior["of_hosts"], prior["of_paths"]
-    p = 1 / (1 + F.exp(-F.col("evidence")))
+    p = _probability()
     near = lambda rate: F.least(F.lit(1 - RATE), F.greatest(F.lit(RATE), rate))
     host = near((F.col("host_total") - p + of_hosts * mean) / (F.col("host_n") - 1 + of_hosts))
     path = near((F.col("total") - p + of_paths * F.col("host_rate")) / (F.col("n") - 1 + of_paths))
@@ -195,18 +192,20 @@ def _scored(rows: DataFrame, rates: DataFrame, prior: dict) -> DataFrame:
     return joined.withColumn("host_rate", host).withColumn("path_rate", path).withColumn("score", 1 / (1 + F.exp(-odds)))
 
 
+def _probability() -> Column:
+    return 1 / (1 + F.exp(-F.col("evidence")))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels")
-    evidence = evidence_of(fit(docs, labels))
-    seen = cut(docs.select("doc_id", *_keys(F.col("source"), F.col("lang")), evidence(F.col("text")).alias("evidence")))
-    rates, prior = site_rates(seen.select("host", "path", (1 / (1 + F.exp(-F.col("evidence")))).alias("p")))
+    seen = cut(with_evidence(docs, fit(docs, labels), [F.col("doc_id"), *_keys(F.col("source"), F.col("lang"))]).select("__row.*", "evidence"))
+    rates, prior = site_rates(seen.select("host", "path", _probability().alias("p")))
     return _scored(seen, rates, prior).select("doc_id", "evidence", "host_rate", "path_rate", "score", (F.col("score") >= KEEP).alias("kept"))
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those whose score is below KEEP. Evidence is computed twice, so that no text is shuffled."""
-    evidence = evidence_of(fit(docs, table(spark, sf_dir, "labels")))
-    host, path = _keys(F.col("source"), F.col("lang"))
-    own = evidence(F.col("text"))
-    rates, prior = site_rates(docs.select(host, path, own.alias("evidence")).select("host", "path", (1 / (1 + F.exp(-F.col("evidence")))).alias("p")))
-    return _scored(with_rows(docs, host=host, path=path, evidence=own), rates, prior).filter(F.col("score") >= KEEP).select("__row.*")
+    weights = fit(docs, table(spark, sf_dir, "labels"))
+    rates, prior = site_rates(with_evidence(docs, weights, _keys(F.col("source"), F.col("lang"))).select("__row.*", _probability().alias("p")))
+    rows = with_evidence(docs, weights, [F.col(f"`{c}`") for c in docs.columns])
+    return _scored(rows.select("__row", "evidence", *_keys(F.col("__row.source"), F.col("__row.lang"))), rates, prior).filter(F.col("score") >= KEEP).select("__row.*")

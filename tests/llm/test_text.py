@@ -99,7 +99,7 @@ def test_tables_of_many_languages(spark, monkeypatch):
     whole = language_id.predict(ask, model["langs"], [language_id.Coder(model)])
     parts = language_id.predict(ask, model["langs"], [language_id.Coder({k: v[p] for k, v in model.items()}) for p in language_id.tables(model)])
     assert whole[0] == parts[0] == model["langs"] and np.allclose(whole[2], parts[2]) and np.allclose(whole[1], parts[1])
-    got = spark.createDataFrame([(w * 3,) for w in words], "text string").select(language_id.verdicts(spark, model)(F.col("text")).alias("v")).select("v.lang_pred").toPandas()
+    got = language_id.verdicts(spark.createDataFrame([(k, w * 3) for k, w in enumerate(words)], "k int, text string"), model, [F.col("k")]).orderBy("__row.k").toPandas()
     assert got.lang_pred.tolist() == model["langs"]
 
 
@@ -235,7 +235,7 @@ def test_components_with_hubs(spark):
 def test_quality_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     w = quality.fit(docs, labels.filter("doc_id % 4 <> 2"))
-    got = docs.select("doc_id", "text", quality.evidence_of(w)(F.col("text")).alias("__evidence")).join(labels.filter("doc_id % 4 = 2"), "doc_id").toPandas()
+    got = quality.with_evidence(docs, w, [F.col("doc_id"), F.col("text")]).select("__row.*", F.col("evidence").alias("__evidence")).join(labels.filter("doc_id % 4 = 2"), "doc_id").toPandas()
     good = got.quality == 1
     assert (got["__evidence"] > 0)[good].mean() > 0.98 and (got["__evidence"] <= 0)[~good].mean() > 0.6
 
@@ -254,7 +254,7 @@ def test_quality_by_kind(spark):
     """Held-out low-quality documents of every kind are rejected, those of repeated words too."""
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     w = quality.fit(docs, labels.filter("doc_id % 4 <> 2"))
-    got = docs.select("doc_id", "text", quality.evidence_of(w)(F.col("text")).alias("__evidence")).join(labels.filter("doc_id % 4 = 2"), "doc_id").toPandas()
+    got = quality.with_evidence(docs, w, [F.col("doc_id"), F.col("text")]).select("__row.*", F.col("evidence").alias("__evidence")).join(labels.filter("doc_id % 4 = 2"), "doc_id").toPandas()
     bad = got[got.quality == 0]
     rejected = (bad["__evidence"] <= 0).groupby(bad.text.map(kind_of_bad)).agg(["mean", "size"])
     print(rejected, (got["__evidence"] > 0)[got.quality == 1].mean())
