@@ -32,7 +32,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 #: Rows to a file of a small table that is cut.
-FILE_ROWS = 50_000
+FILE_ROWS = 10_000
 
 
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -45,6 +45,18 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).checkpoint(eager=True)
 
 
+#: What is broadcast after its size was measured is at most so large; beyond, rows meet it in so many parts of each key.
+BROADCAST_BYTES, SALTS = 16 << 20, 64
+
+
+def join_few(rows: DataFrame, few: DataFrame, on: list[str], width: Column, salt: Column) -> DataFrame:
+    """rows joined with few, a small number of rows for each key of rows, which may be hot. width: bytes of a row of few; few is evaluated more than once."""
+    if (few.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(few), on)
+    every = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(every, [*on, "__salt"]).drop("__salt")
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark remove shuffle files and checkpoints that no plan refers to any more; it does so when the driver collects garbage."""
     gc.collect()
@@ -83,7 +95,8 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
 
 
 def give_back() -> None:
-    """Returns the memory that a Python worker has freed to the system; idle workers stay."""
+    """Returns the memory that a Python worker and Arrow's pool have freed to the system; idle workers stay."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

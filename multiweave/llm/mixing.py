@@ -3,9 +3,12 @@
 Documents belong to one or more sources. They are aggregated by membership pattern (the set of their sources), so that
 the flow problem has a node for each pattern and source, not for each document: a pattern offers its words once for each
 time they may be repeated, at a cost that rises with every repetition; a source asks for its target. The cheapest
-maximal flow says how many words each pattern gives. A pattern that gives e times its words repeats all its documents
-floor(e) times, and once more those that come first in a seeded order of hashes, up to the document where the rest is
-met. That document is found through two levels of histograms over the hash, each of a bounded number of rows.
+maximal flow says how many words each pattern gives. Where a source has no document in common with another, its part of
+the network is one path, whose flow is the lesser of what is asked and offered; these parts are solved in a table, however
+many they are, and the driver solves the parts in which patterns overlap. A pattern that gives e times its words repeats
+all its documents floor(e) times, and once more those that come first in a seeded order of hashes, up to the document
+where the rest is met. That document is found through two levels of histograms over the hash, each of a bounded number of
+rows a pattern.
 
 Targets: sources ordered by code point, null last, weigh 5, 2, 1, 5, 2, 1, ...; they share all words by weight, at most
 3 times their own, and what is cut off is shared again by weight among those below their limit.
@@ -26,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import NOT_SPACE, cut, doc_hash, give_back, release, small_batches, table, text_buffer, with_rows, word_counts
+from .common import NOT_SPACE, cut, doc_hash, give_back, join_few, release, small_batches, table, text_buffer, with_rows, word_counts
 
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, 4
 #: Cost of a word taken for the first, second and third time; each over the one before.
 COSTS = (0, 1, 3)
-#: Patterns and sources that the flow may have; more is an error, as the plan is made on the driver.
+#: Patterns that share sources with others, of which the driver makes the flow; more is an error. Sources by themselves have no limit.
 MAX_PATTERNS = 200_000
 BITS = 12
 
@@ -153,83 +156,111 @@ def order_key(doc_id: str, seed: int) -> Column:
     return doc_hash(F.col(doc_id), seed=seed).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def plan(sized: DataFrame, *, weights: tuple = WEIGHTS, limit: int = REPEATS, costs: tuple = COSTS) -> tuple[list[tuple], dict, dict]:
-    """([(pattern, times, last place taken once more)], sizes by source, targets by source) of rows (sources: array of keys, place, size)."""
-    pattern = F.array_sort(F.array_distinct("sources"))
-    grouped = sized.select(pattern.alias("pattern"), "place", "size").filter(F.size("pattern") > 0)
-    totals = grouped.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(totals) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    offers = {tuple(r["pattern"]): int(r["size"]) for r in totals}
-    sizes: dict = defaultdict(int)
-    for p, n in offers.items():
-        for s in p:
-            sizes[s] += n
-    sizes = dict(sorted(sizes.items(), key=lambda x: x[0].encode("utf-8", "surrogatepass")))
-    shared = sum(offers.values())
-    asked = targets(sizes, weights, limit)
-    if (over := sum(asked.values())) > 0 and any(len(p) > 1 for p in offers):  # words of two sources are there once
-        asked = {s: x * shared / over for s, x in asked.items()}
-    flow = min_cost_flow(offers, {p: p for p in offers}, {s: round(x) for s, x in asked.items()}, costs[:limit])
-    gives: dict = defaultdict(int)
-    for (p, _), x in flow.items():
-        gives[p] += x
-    times = {p: gives[p] // n if n else 0 for p, n in offers.items()}
-    left = {p: gives[p] - times[p] * n for p, n in offers.items()}
-    last = _last_places(grouped, {p: x for p, x in left.items() if x > 0})
-    return [(list(p), times[p], last.get(p, -1)) for p in offers], sizes, asked
-
-
-def _last_places(rows: DataFrame, want: dict) -> dict:
-    """For each pattern, the place up to which documents sum to the words wanted as nearly as whole documents can."""
-    spark, at = rows.sparkSession, {p: (0, 0, x) for p, x in want.items()}  # (bits known, prefix of the place, words still wanted)
-    out: dict = {}
-    schema = "pattern array<string>, prefix long, want long"
-    for level in (1, 2, 3):
-        if not at:
+def target_table(sizes: DataFrame, weights: tuple = WEIGHTS, limit: int = REPEATS) -> tuple[DataFrame, float]:
+    """((key, source_size, target) of rows (key, size), as targets() has it, and the sum of the targets). Sources are numbered by a sort, not in one task."""
+    ordered = cut(sizes.orderBy("key").withColumn("at", F.monotonically_increasing_id()))
+    part, before, number = F.shiftright("at", 33), 0, []
+    for r in ordered.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each partition
+        number.append((r["part"], before))
+        before += r["count"]
+    offsets = F.broadcast(sizes.sparkSession.createDataFrame(number, "part long, before long"))
+    place = (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))) % len(weights)
+    weight = F.element_at(F.array(*map(F.lit, weights)), place.cast("int") + 1).cast("long")
+    table_ = cut(ordered.withColumn("part", part).join(offsets, "part").select("key", F.col("size").alias("source_size"), weight.alias("weight")))
+    total, all_weight = table_.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    over = lambda share: F.col("weight") * share > limit * F.col("source_size")
+    share, count, given, rest = (total / all_weight if all_weight else 0.0), 0, 0, all_weight
+    while True:  # what is cut off raises the share of the others, so those over their limit only grow in number
+        n, held, w = table_.filter(over(share)).agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if n == count:
             break
-        near = F.broadcast(spark.createDataFrame([(list(p), prefix, x) for p, (_, prefix, x) in at.items()], schema))
-        rows = rows.drop("prefix", "want").join(near, "pattern").filter(F.expr(f"shiftright(place, {63 - BITS * (level - 1)}) = prefix") if level > 1 else F.lit(True))
-        if level < 3:
-            step = rows.groupBy("pattern", "want", F.expr(f"shiftright(place, {63 - BITS * level})").alias("key")).agg(F.sum("size").alias("size"))
-        else:
-            step = rows.groupBy("pattern", "want", F.col("place").alias("key")).agg(F.sum("size").alias("size"))
-        order = Window.partitionBy("pattern").orderBy("key")
-        run = step.withColumn("upto", F.sum("size").over(order))
+        count, given, rest = n, limit * held, all_weight - w
+        share = max(0, total - given) / rest if rest else 0.0
+        if not rest:
+            break
+    full = F.lit(float(limit)) * F.col("source_size")
+    target = F.when(over(share), full).otherwise(F.col("weight") * share) if rest else full
+    return table_.select("key", "source_size", target.alias("target")), given + share * rest
+
+
+def plan(sized: DataFrame, *, weights: tuple = WEIGHTS, limit: int = REPEATS, costs: tuple = COSTS) -> tuple[DataFrame, DataFrame]:
+    """((pattern, times, last place taken once more), (key, source_size, target)) of rows (sources: array of keys, place, size)."""
+    spark = sized.sparkSession
+    rows = sized.select(F.array_sort(F.array_distinct("sources")).alias("pattern"), "place", "size").filter(F.size("pattern") > 0)
+    patterns = cut(rows.groupBy("pattern").agg(F.sum("size").alias("offer")))
+    by_key = patterns.select(F.explode("pattern").alias("key"), "offer", (F.size("pattern") > 1).alias("shared"))
+    asked, over = target_table(by_key.groupBy("key").agg(F.sum("offer").alias("size")), weights, limit)
+    several = patterns.filter(F.size("pattern") > 1)
+    alone = patterns.filter(F.size("pattern") == 1).withColumn("key", F.col("pattern")[0])
+    given = None
+    if not several.isEmpty():
+        words = patterns.agg(F.sum("offer")).first()[0]
+        asked = cut(asked.withColumn("target", F.col("target") * (words / over if over else 0.0)))  # words of two sources are there once
+        shared = cut(by_key.filter("shared").select("key").distinct())
+        near = several.unionByName(alone.join(shared, "key", "left_semi").select("pattern", "offer")).limit(MAX_PATTERNS + 1).collect()
+        if len(near) > MAX_PATTERNS:
+            raise ValueError(f"more than {MAX_PATTERNS} membership patterns share sources")
+        offers = {tuple(r["pattern"]): int(r["offer"]) for r in near}
+        asks = {r["key"]: round(r["target"]) for r in asked.join(shared, "key").collect()}  # their sources
+        gives: dict = defaultdict(int)
+        for (p, _), x in min_cost_flow(offers, {p: p for p in offers}, asks, costs[:limit]).items():
+            gives[p] += x
+        given = spark.createDataFrame([(list(p), n, gives[p]) for p, n in offers.items()], "pattern array<string>, offer long, gives long")
+        alone = alone.join(shared, "key", "left_anti")
+    gives_ = F.least(F.rint("target").cast("long"), F.col("offer") * limit)
+    solved = alone.join(asked, "key").select("pattern", "offer", gives_.alias("gives"))
+    solved = cut(solved if given is None else solved.unionByName(given))
+    times = F.when(F.col("offer") > 0, F.floor(F.col("gives") / F.col("offer"))).otherwise(0).cast("long")
+    solved = solved.select("pattern", times.alias("times"), F.when(F.col("offer") > 0, F.col("gives") - times * F.col("offer")).otherwise(0).cast("long").alias("want"))
+    last = _last_places(rows, solved.filter("want > 0").select("pattern", "want"))
+    return cut(solved.join(last, "pattern", "left").select("pattern", "times", F.coalesce("last", F.lit(-1).cast("long")).alias("last"))), asked
+
+
+def _width() -> Column:
+    """Bytes of a row of a pattern."""
+    return F.octet_length(F.array_join("pattern", "")) + F.lit(64)
+
+
+def _last_places(rows: DataFrame, want: DataFrame) -> DataFrame:
+    """(pattern, last): the place up to which a pattern's documents sum to the words wanted as nearly as whole documents can."""
+    at = cut(want.withColumn("prefix", F.lit(0).cast("long")))  # the place's bits known so far, and words still wanted
+    order = Window.partitionBy("pattern").orderBy("key")
+    for level in (1, 2, 3):
+        found = join_few(rows, at, ["pattern"], _width(), F.col("place"))
+        if level > 1:
+            found = found.filter(F.shiftright("place", 63 - BITS * (level - 1)) == F.col("prefix"))
+        key = F.shiftright("place", 63 - BITS * level) if level < 3 else F.col("place")
+        run = found.groupBy("pattern", "want", "prefix", key.alias("key")).agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(order))
         if level < 3:
-            edge = run.filter((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("size") < F.col("want")))
-            at = {tuple(r["pattern"]): (BITS * level, r["key"], r["want"] - (r["upto"] - r["size"])) for r in edge.collect()}
-        else:
-            taken = run.filter(F.col("upto") - F.col("size") / 2 <= F.col("want")).groupBy("pattern").agg(F.max("key").alias("key"))
-            got = {tuple(r["pattern"]): r["key"] for r in taken.collect()}
-            out |= {p: got.get(p, (prefix << (63 - bits)) - 1) for p, (bits, prefix, _) in at.items()}
-    return out
+            at = cut(run.filter((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("size") < F.col("want"))).select("pattern", (F.col("want") - (F.col("upto") - F.col("size"))).alias("want"), F.col("key").alias("prefix")))
+    taken = run.filter(F.col("upto") - F.col("size") / 2 <= F.col("want")).groupBy("pattern").agg(F.max("key").alias("key"))
+    none = F.shiftleft("prefix", 63 - 2 * BITS) - 1
+    return at.join(taken, "pattern", "left").select("pattern", F.coalesce("key", none).alias("last"))
 
 
-def _with_plan(rows: DataFrame, plan_: list[tuple], keys: Column, place: Column) -> DataFrame:
-    """rows with __times, how often the mix takes a document. The plan has at most MAX_PATTERNS rows."""
-    small = rows.sparkSession.createDataFrame(plan_, "__pattern array<string>, __base long, __last long")
-    joined = rows.withColumn("__key", F.array_sort(F.array_distinct(keys))).join(F.broadcast(small), F.col("__key") == F.col("__pattern"), "left")
-    return joined.withColumn("__times", F.coalesce(F.col("__base") + (place <= F.col("__last")).cast("long"), F.lit(0).cast("long"))).drop("__key", "__pattern", "__base", "__last")
+def _with_plan(rows: DataFrame, plan_: DataFrame) -> DataFrame:
+    """rows (pattern, place, ...) with __times, how often the mix takes a document."""
+    joined = join_few(rows, plan_, ["pattern"], _width(), F.col("place"))
+    return joined.withColumn("__times", F.col("times") + (F.col("place") <= F.col("last")).cast("long")).drop("times", "last")
 
 
-def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+def _planned(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sizes of docs, plan, targets)."""
     with small_batches(spark):
         sized = cut(sizes_of(docs, "text", [F.col("doc_id"), source_key("source").alias("key")]))
-    place = order_key("doc_id", SEED)
-    plan_, sizes, asked = plan(sized.select(F.array("key").alias("sources"), place.alias("place"), "size"))
-    by_source = spark.createDataFrame([(s, n, asked[s]) for s, n in sizes.items()], "key string, source_size long, target double")
-    out = _with_plan(sized, plan_, F.array("key"), place).join(F.broadcast(by_source), "key")
+    return sized, *plan(sized.select(F.array("key").alias("sources"), order_key("doc_id", SEED).alias("place"), "size"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized, plan_, asked = _planned(spark, table(spark, sf_dir, "documents"))
+    rows = sized.withColumn("pattern", F.array("key")).withColumn("place", order_key("doc_id", SEED))
+    out = join_few(_with_plan(rows, plan_), cut(asked), ["key"], F.octet_length("key") + 64, F.col("place"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("__times")).alias("taken"))
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs as the mix takes them: a document repeated as often as the plan says, or gone."""
-    with small_batches(spark):
-        sized = cut(sizes_of(docs, "text", [F.col("doc_id"), source_key("source").alias("key")]))
-    place = order_key("doc_id", SEED)
-    plan_, _, _ = plan(sized.select(F.array("key").alias("sources"), place.alias("place"), "size"))
+    _, plan_, _ = _planned(spark, docs)
     worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    taken = _with_plan(with_rows(docs, keys=F.array(source_key("source")), place=place, worded=worded), plan_, F.col("keys"), F.col("place"))
+    taken = _with_plan(with_rows(docs, pattern=F.array(source_key("source")), place=order_key("doc_id", SEED), worded=worded), plan_)
     return taken.filter(F.col("worded") & (F.col("__times") > 0)).select("__row", F.explode(F.array_repeat(F.lit(0), F.col("__times").cast("int")))).select("__row.*")

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, cut, doc_chunks, doc_hash, mix, over_texts, release, table, text_buffer, word_hashes, word_spans
+from .common import ALNUM, cut, doc_chunks, doc_hash, join_few, mix, over_texts, release, table, text_buffer, word_hashes, word_spans
 
-#: Labelled documents that the model is fitted on, about; bytes of site rates that are broadcast at most, and parts that documents of a site are dealt to in the shuffle join beyond.
-SAMPLE, BROADCAST_BYTES, SALTS = 20_000, 16 << 20, 64
+#: Labelled documents that the model is fitted on, about.
+SAMPLE = 20_000
 #: Least and greatest prior rows that a level above is worth; how near rates come to 0 and 1.
 STRENGTH, RATE = (1.0, 1e4), 1e-4
 #: A document stays if its score is no less.
@@ -177,12 +177,7 @@ def _keys(host: Column, path: Column) -> list[Column]:
 
 def _scored(rows: DataFrame, rates: DataFrame, prior: dict) -> DataFrame:
     """rows (host, path, evidence, ...) with host_rate, path_rate and score, each without the document's own part."""
-    size = rates.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(rates), ["host", "path"])
-    else:  # documents of a large site are dealt to many tasks
-        every = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("evidence"), F.lit(SALTS)).cast("int")).join(every, ["host", "path", "salt"]).drop("salt")
+    joined = join_few(rows, rates, ["host", "path"], F.octet_length("host") + F.octet_length("path") + 64, F.col("evidence"))
     mean, of_hosts, of_paths = prior["mean"], prior["of_hosts"], prior["of_paths"]
     p = _probability()
     near = lambda rate: F.least(F.lit(1 - RATE), F.greatest(F.lit(RATE), rate))

@@ -201,6 +201,44 @@ def test_mix_of_a_table(spark):
     assert sorted(zip(again.doc_id, again.taken)) == sorted(zip(got.doc_id, got.taken))
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_many_sources_need_no_limit(spark, monkeypatch, broadcast):
+    """Targets and takes of a thousand sources are those of the plain formula; only overlapping patterns count towards the limit."""
+    from multiweave.llm import common
+
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 5)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
+    rng = np.random.default_rng(1)
+    sizes = {f"0{k:04d}": int(rng.integers(1, 50) * (60 if k == 7 else 1)) for k in range(1000)}
+    rows = [([s], int(p), 1) for s, n in sizes.items() for p in rng.integers(0, 1 << 62, n)] + [(["1"], 5, 0)]
+    plan_, asked = mixing.plan(spark.createDataFrame(rows, "sources array<string>, place long, size long").repartition(7))
+    want = mixing.targets(dict(sorted(sizes.items())) | {"1": 0})
+    got = {r["key"]: r["target"] for r in asked.collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+    taken = collections.Counter()
+    by = {r["pattern"][0]: r for r in plan_.collect()}
+    for (s,), place, n in rows:
+        taken[s] += n * (by[s]["times"] + (place <= by[s]["last"]))
+    assert all(taken[s] == round(want[s]) for s in want)
+
+
+def test_overlapping_patterns_beside_lone_sources(spark):
+    """The driver's flow and the table's part give together what the whole network gives."""
+    rng = np.random.default_rng(2)
+    patterns = {("0a",): 40, ("0a", "0b"): 30, ("0b", "0c"): 50, ("0d",): 70, ("0e",): 10}
+    rows = [(list(p), int(x), 1) for p, n in patterns.items() for x in rng.integers(0, 1 << 62, n)]
+    plan_, asked = mixing.plan(spark.createDataFrame(rows, "sources array<string>, place long, size long"))
+    asks = {r["key"]: round(r["target"]) for r in asked.collect()}
+    flow = collections.Counter()
+    for (p, _), x in mixing.min_cost_flow(patterns, {p: p for p in patterns}, asks).items():
+        flow[p] += x
+    by = {tuple(r["pattern"]): r for r in plan_.collect()}
+    assert by.keys() == patterns.keys()
+    got = {p: sum(by[p]["times"] + (place <= by[p]["last"]) for q, place, _ in rows if tuple(q) == p) for p in patterns}
+    price = lambda x: sum(mixing.COSTS[k // patterns[p]] for p in patterns for k in range(x[p]))
+    assert sum(got.values()) == sum(flow.values()) and price(got) == price(flow) and (got["0d",], got["0e",]) == (flow["0d",], flow["0e",])
+
+
 def test_mix_stage_with_clashing_names(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"a b c {i}", "en", f"s{i % 2}") for i in range(40)], "doc_id long, text string, lang string, source string")
     for c in ("__key", "__times", "__copy", "__row", "keys", "place", "worded"):

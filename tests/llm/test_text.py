@@ -324,7 +324,7 @@ class SlowQuality:
 
 @pytest.mark.parametrize("broadcast", [1 << 20, 0])
 def test_quality_equals_brute_force(spark, tmp_path, monkeypatch, broadcast):
-    monkeypatch.setattr(quality, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     extra = [(900, None, None, "s", 1), (901, "", "en", None, 1), (902, "Ein Satz. Noch ein Satz.", "de", None, 1), (902, "Ein Satz. Noch ein Satz.", "de", None, 1)]
     docs.unionByName(docs_of(spark, extra)).write.parquet(f"{tmp_path}/documents.parquet")
