@@ -10,9 +10,9 @@ copies lie give it. In the cells visited all vectors are compared. A link can be
 
 Equal vectors are one class with a multiplicity, so copies are not expanded. Consecutive cells share a block, and large
 cells have several; a vector goes once to each block of the cells that it visits, and blocks with many visitors are dealt
-in turns. A task gives no pairs: of each vector there the number of its links, each link counted where its smaller end
-visits or else where only its larger end does, and the smallest vector that links reach within the task, which is all that
-connected components need. Cosines are taken in double precision.
+in turns. No pairs come out, but of each vector in a cell the number of its links there, each link counted where its
+smaller end visits or else where only its larger end does, and the smallest vector that links reach within the cell, which
+is all that connected components need. Cosines are taken in double precision.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing: n_links 0,
 component_id their own id, kept. Vectors link with those of as many components, an index for each. Rows with a null id
@@ -31,10 +31,10 @@ from .vectors import blocks_of, dimensions, distances, kmeans, list_column, matr
 
 COSINE, SEED = 0.9, 5
 #: Vectors that the codebooks are fitted on at most; share of links that a visit from one end alone shall find.
-SAMPLE, ONE_SIDED = 16_384, 0.99
+SAMPLE, ONE_SIDED = 16_384, 0.97
 MIN_CODES, MAX_CODES = 4, 512
 #: Stored vectors and visitors of a block, about.
-STORED, VISITORS = 1024, 2048
+STORED, VISITORS = 2048, 4096
 
 
 def traverse(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], slack: float) -> tuple[np.ndarray, np.ndarray]:
@@ -138,24 +138,31 @@ def links(classes: DataFrame, dim: int, *, cosine: float = COSINE) -> DataFrame:
     right = walked.mapInArrow(store, schema).join(turns, "block").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
 
     def compare(key, visitors: pa.Table, held: pa.Table) -> pa.Table:
-        names = ["cls", "others", "rep"]
-        if not len(visitors) or not len(held):
-            return pa.table([pa.array([], pa.int64())] * 3, names)
-        x, y = matrix(visitors["vec"], dim), matrix(held["vec"], dim)
+        x, y = (matrix(t["vec"], dim) for t in (visitors, held))
+        x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
         (cls_x, n_x), (cls_y, n_y) = ((t["cls"].to_numpy(), t["n"].to_numpy().astype(float)) for t in (visitors, held))
-        near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T >= cosine
-        near &= _visited(visitors["visits"], held["cell"].to_numpy()) & (cls_x[:, None] != cls_y[None, :])
-        again = near & (cls_x[:, None] > cls_y[None, :]) & _visited(held["visits"], visitors["cell"].to_numpy()).T  # counted from the other end
-        count = (near & ~again).astype(float)
-        some_x, some_y = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-        near = near[np.ix_(some_x, some_y)]
-        rep_x, rep_y = cls_x[some_x].copy(), cls_y[some_y].copy()
-        most, state = np.iinfo(np.int64).max, None
-        while len(some_x) and state != (state := (rep_x.tobytes(), rep_y.tobytes())):
-            rep_x = np.minimum(rep_x, np.where(near, rep_y[None, :], most).min(1))
-            rep_y = np.minimum(rep_y, np.where(near, rep_x[:, None], most).min(0))
-        others = np.concatenate([(count @ n_y)[some_x], (n_x @ count)[some_y]]).astype(np.int64)
-        return pa.table([np.concatenate([cls_x[some_x], cls_y[some_y]]), others, np.concatenate([rep_x, rep_y])], names)
+        ends, asked = list_column(visitors["visits"])
+        by_cell, row = np.argsort(asked, kind="stable"), np.repeat(np.arange(len(x)), np.diff(ends))
+        asked, row = asked[by_cell], row[by_cell]
+        lies, stored_order = held["cell"].to_numpy(), np.argsort(held["cell"].to_numpy(), kind="stable")
+        out = [[np.empty(0, np.int64)] for _ in range(3)]
+        for c, first, n in zip(*np.unique(lies[stored_order], return_index=True, return_counts=True), strict=True):
+            i, j = row[np.searchsorted(asked, c) : np.searchsorted(asked, c, "right")], stored_order[first : first + n]
+            near = (x[i] @ y[j].T >= cosine) & (cls_x[i][:, None] != cls_y[j][None, :])
+            some_i, some_j = near.any(1), near.any(0)
+            if not some_i.any():
+                continue
+            i, j, near = i[some_i], j[some_j], near[np.ix_(some_i, some_j)]
+            own = visitors["cell"].take(pa.array(i)).to_numpy()
+            again = (cls_x[i][:, None] > cls_y[j][None, :]) & _visited(held["visits"].take(pa.array(j)), own).T  # counted from the other end
+            count = (near & ~again).astype(float)
+            rep_x, rep_y, most, state = cls_x[i].copy(), cls_y[j].copy(), np.iinfo(np.int64).max, None
+            while state != (state := (rep_x.tobytes(), rep_y.tobytes())):
+                rep_x = np.minimum(rep_x, np.where(near, rep_y[None, :], most).min(1))
+                rep_y = np.minimum(rep_y, np.where(near, rep_x[:, None], most).min(0))
+            for to, parts in zip(out, ((cls_x[i], cls_y[j]), (count @ n_y[j], n_x[i] @ count), (rep_x, rep_y)), strict=True):
+                to += [part.astype(np.int64) for part in parts]
+        return pa.table([np.concatenate(parts) for parts in out], ["cls", "others", "rep"])
 
     on = ["block", "turn"]
     return left.groupBy(on).cogroup(right.groupBy(on)).applyInArrow(compare, "cls long, others long, rep long")
