@@ -69,7 +69,7 @@ class Table:
         kinds = T.StructType([T.StructField("lsn", T.LongType()), T.StructField("at", T.LongType()), T.StructField("op", T.StringType()), *self.schema.struct().fields])
         if not files.names(self.engine.spark, f"{self.path}/log"):
             return self.engine.spark.createDataFrame([], kinds)
-        return self.engine.spark.read.schema(kinds).parquet(f"{self.path}/log/*")
+        return self.engine.spark.read.schema(kinds).parquet(f"{self.path}/log/*").filter(F.col("lsn") <= self.head()["lsn"])  # what a writer left that died is no commit
 
     def frame(self, rows) -> DataFrame:
         """Rows as a DataFrame of just the schema: a DataFrame, or tuples in the order of the columns."""
@@ -223,11 +223,38 @@ class Engine:
         return knn.knn(rows, query, k, id_col=o["id_col"], vec_col=o["vec_col"], metric=o["metric"], where=where)
 
     def create_full_text_index(self, name: str, table: str, *, id_col: str, text_col: str, language: str = "any") -> None:
+        """An index of a table's texts. That of a stored table keeps postings and lengths, and reads changed texts alone when the table has moved on."""
         self._create(name, "full_text", table=table, id_col=id_col, text_col=text_col, language=language)
+        if self._object(table)["kind"] == "table":
+            self._text_index(name)
+
+    def _text_index(self, name: str) -> tuple[DataFrame, DataFrame]:
+        """(postings, stats) of an index as its table stands now; rewritten from the change log if that is newer."""
+        o = self._object(name, "full_text")
+        at, table, own = f"{self.root}/text/{name}", Table(self, o["table"]), {"id_col": o["id_col"], "text_col": o["text_col"]}
+        stored = json.loads(files.read_text(self.spark, f"{at}/current.json")) if files.exists(self.spark, f"{at}/current.json") else None
+        part = lambda lsn, kind: self.spark.read.parquet(f"{at}/{lsn}/{kind}")
+        lsn = table.head()["lsn"]
+        if stored != lsn:
+            if stored is None or stored < table.head()["min_lsn"] or o["id_col"] != table.schema.primary_key:
+                made = fulltext.postings(table.scan(), **own), fulltext.lengths(table.scan(), **own)
+            else:
+                last = table.log().filter((F.col("lsn") > stored) & (F.col("lsn") <= lsn)).groupBy(o["id_col"]).agg(F.max_by(F.when(F.col("op") == "upsert", F.col(o["text_col"])), "lsn").alias(o["text_col"]))
+                made = fulltext.refresh(part(stored, "postings"), part(stored, "lengths"), last, **own)
+            made[0].repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/{lsn}/postings")  # so that a search reads the row groups of its terms
+            made[1].write.mode("overwrite").parquet(f"{at}/{lsn}/lengths")
+            fulltext.stats_of(part(lsn, "lengths")).write.mode("overwrite").parquet(f"{at}/{lsn}/stats")
+            files.write_text(self.spark, f"{at}/current.json", json.dumps(lsn))
+        return part(lsn, "postings"), part(lsn, "stats")
 
     def search(self, name: str, query: str, limit: int = 10) -> DataFrame:
+        """(id, score, text) of the best documents."""
         o = self._object(name, "full_text")
-        return fulltext.bm25(self._frame(o["table"]), query, id_col=o["id_col"], text_col=o["text_col"], limit=limit)
+        if self._object(o["table"])["kind"] != "table":
+            return fulltext.bm25(self._frame(o["table"]), query, id_col=o["id_col"], text_col=o["text_col"], limit=limit)
+        best = fulltext.search(*self._text_index(name), query, limit=limit)
+        texts = self._frame(o["table"]).select(F.col(o["id_col"]).alias("id"), F.col(o["text_col"]).alias("text"))
+        return texts.join(F.broadcast(best), "id").select("id", "score", "text").orderBy(F.desc("score"), "id")  # at most `limit` rows
 
     def create_time_series(self, name: str, *, retention_ms: int | None = None, bucket_ms: int = 3_600_000) -> Table:
         t = self.create_table(f"{name}__points", TableSchema.of("key", key="str!", series="str!", timestamp_millis="int!", value="float!"))

@@ -19,16 +19,36 @@ def query_terms(query: str) -> list[str]:
     return [t for t in re.split(r"[\W_]+", query.lower()) if t]
 
 
+def blank(text: Column) -> Column:
+    """Whether a text is null or has white space alone; such documents are none of the corpus. Others count even if they hold no word."""
+    return ~F.coalesce(text.rlike(r"[^\s\x{85}\p{Z}]"), F.lit(False))
+
+
 def postings(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf, doc_len): one row for each term of a document that is not blank."""
-    words = docs.filter(F.trim(F.col(text_col)) != "").select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("terms"))
+    words = docs.filter(~blank(F.col(text_col))).select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("terms"))
     return words.select("id", F.size("terms").cast("long").alias("doc_len"), F.explode("terms").alias("term")).groupBy("id", "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
+def lengths(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """(id, doc_len) of each document of the corpus, of those without words too."""
+    return docs.filter(~blank(F.col(text_col))).select(F.col(id_col).alias("id"), F.size(tokenize(F.col(text_col))).cast("long").alias("doc_len"))
+
+
+def stats_of(lengths_: DataFrame) -> DataFrame:
+    """One row: documents of the corpus, and their average number of terms, 1 at least."""
+    return lengths_.agg(F.count("*").alias("n_docs"), F.greatest(F.lit(1.0), F.coalesce(F.avg("doc_len"), F.lit(1.0))).alias("avg_len"))
+
+
 def corpus_stats(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """One row: documents that are not blank, and their average number of terms, 1 at least."""
-    words = docs.filter(F.trim(F.col(text_col)) != "").select(F.size(tokenize(F.col(text_col))).alias("n"))
-    return words.agg(F.count("*").alias("n_docs"), F.greatest(F.lit(1.0), F.coalesce(F.avg("n"), F.lit(1.0))).alias("avg_len"))
+    return stats_of(lengths(docs, id_col=id_col, text_col=text_col))
+
+
+def refresh(index: DataFrame, lengths_: DataFrame, changed: DataFrame, *, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """An index (postings, lengths) after documents changed; a null or blank text is a document that is gone. Only changed texts are read."""
+    ids = changed.select(F.col(id_col).alias("id")).distinct()
+    own = {"id_col": id_col, "text_col": text_col}
+    return index.join(ids, "id", "left_anti").unionByName(postings(changed, **own)), lengths_.join(ids, "id", "left_anti").unionByName(lengths(changed, **own))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -48,7 +68,7 @@ def bm25(docs: DataFrame, query: str, *, id_col: str, text_col: str, limit: int
     if not terms or limit <= 0:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"), F.col(text_col).alias("text")).limit(0)
     asked = sorted(set(terms))
-    words = docs.filter(F.trim(F.col(text_col)) != "").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), tokenize(F.col(text_col)).alias("terms"))
+    words = docs.filter(~blank(F.col(text_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), tokenize(F.col(text_col)).alias("terms"))
     tf = [(F.size("terms") - F.size(F.array_remove("terms", t))).alias(f"tf{i}") for i, t in enumerate(asked)]
     counted = words.select("id", "text", F.size("terms").alias("doc_len"), *tf)
     stats = counted.agg(F.count("*").alias("n_docs"), F.greatest(F.lit(1.0), F.coalesce(F.avg("doc_len"), F.lit(1.0))).alias("avg_len"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(asked))])
@@ -57,15 +77,14 @@ def bm25(docs: DataFrame, query: str, *, id_col: str, text_col: str, limit: int
     return counted.filter(hit).join(F.broadcast(stats)).select("id", score.alias("score"), "text").orderBy(F.desc("score"), "id").limit(limit)
 
 
-def search(index: DataFrame, query: str, *, limit: int = 10) -> DataFrame:
-    """(id, score) of the best documents of a stored postings table, for many searches of one corpus."""
+def search(index: DataFrame, stats: DataFrame, query: str, *, limit: int = 10) -> DataFrame:
+    """(id, score) of the best documents of stored postings and their stored stats (n_docs, avg_len), for many searches of one corpus: only postings of the query's terms are read."""
     terms = query_terms(query)
     if not terms or limit <= 0:
         return index.select("id", F.lit(0.0).alias("score")).limit(0)
     asked = index.sparkSession.createDataFrame([(t, terms.count(t)) for t in sorted(set(terms))], "term string, times int")
-    lengths = index.select("id", "doc_len").distinct().agg(F.count("*").alias("n_docs"), F.greatest(F.lit(1.0), F.avg("doc_len")).alias("avg_len"))
-    hits = index.join(F.broadcast(asked), "term")
+    hits = index.filter(F.col("term").isin(sorted(set(terms)))).join(F.broadcast(asked), "term")
     dfs = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(dfs), "term").join(F.broadcast(lengths))
+    scored = hits.join(F.broadcast(dfs), "term").join(F.broadcast(stats))
     part = F.col("times") * idf(F.col("n_docs"), F.col("df")) * tf_part(F.col("tf"), F.col("doc_len"), F.col("avg_len"))
     return scored.groupBy("id").agg(F.sum(part).alias("score")).orderBy(F.desc("score"), "id").limit(limit)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..errors import LimitExceeded
 
 MAX_DEPTH, MAX_EXPANSION = 3, 10_000
+#: Nodes of a frontier that are broadcast at most; beyond, a shuffle join.
+BROADCAST = 100_000
 
 
 def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
@@ -50,11 +52,11 @@ def k_hop(edges: DataFrame, start, label: str | None = None, *, max_depth: int =
     spark = edges.sparkSession
     own = _labelled(edges, label).select("src", "dst").filter("src <> dst")
     seen = spark.createDataFrame([(start, 0)], "node " + dict(edges.dtypes)["src"] + ", depth int")
-    front, total = seen.select("node"), 0
+    front, total, n = seen.select("node"), 0, 1
     for depth in range(1, max_depth + 1):
-        step = own.join(F.broadcast(front), own.src == front.node).select(F.col("dst").alias("node")).distinct()  # at most max_expansion rows
+        step = own.join(F.broadcast(front) if n <= BROADCAST else front, own.src == front.node).select(F.col("dst").alias("node")).distinct()
         front = _cut(step.join(seen, "node", "left_anti"))
-        n = front.limit(max_expansion + 1 - total).count()
+        n = front.count()
         total += n
         if total > max_expansion:
             raise LimitExceeded(f"more than {max_expansion} nodes are reached")
@@ -72,13 +74,13 @@ def shortest_path(edges: DataFrame, start, end, label: str | None = None, *, max
     kind = dict(edges.dtypes)["src"]
     own = _labelled(edges, label).select("src", "dst").filter("src <> dst")
     front = seen = spark.createDataFrame([(start, [start])], f"node {kind}, path array<{kind}>")
-    total = 0
+    total, n = 0, 1
     for _ in range(max_depth):
-        step = own.join(F.broadcast(front), own.src == front.node).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        step = own.join(F.broadcast(front) if n <= BROADCAST else front, own.src == front.node).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         front = _cut(step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti"))
         if found := front.filter(F.col("node") == end).head():
             return list(found["path"])
-        n = front.limit(max_expansion + 1 - total).count()
+        n = front.count()
         total += n
         if total > max_expansion:
             raise LimitExceeded(f"more than {max_expansion} nodes are reached")

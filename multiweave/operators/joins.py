@@ -31,6 +31,12 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, *, salts: int = 16,
     return dealt.join(small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [key, "__salt"], how).drop("__salt")
 
 
+def distinct_count(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """How many values other than null each group has: groups of key and value first, combined before they are moved, so a hot key is dealt by its values."""
+    once = rows.groupBy(*keys, value).agg(F.lit(1).alias("__one"))
+    return once.groupBy(*keys).agg(F.count(value).alias(name))
+
+
 def two_step_agg(rows: DataFrame, keys: list[str], first: list[Column], last: list[Column], *, salts: int = 16) -> DataFrame:
     """Aggregation in two shuffles, for aggregates that Spark cannot combine before the first (distinct counts, collected lists)."""
     dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))

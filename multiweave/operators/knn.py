@@ -23,7 +23,7 @@ def check(vector: list[float], dim: int | None, metric: str) -> None:
         raise InvalidInput("a zero vector has no direction")
 
 
-def valid(v: Column, dim: int, metric: str = "cosine") -> Column:
+def valid(v: Column, dim: int | Column, metric: str = "cosine") -> Column:
     """Whether a stored vector can be searched: of the dimension, finite, and not zero for cosine."""
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
     ok = v.isNotNull() & (F.size(v) == dim) & finite
@@ -31,33 +31,37 @@ def valid(v: Column, dim: int, metric: str = "cosine") -> Column:
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, *, id_col: str = "id", vec_col: str = "embedding", metric: str = "cosine", where: Column | None = None) -> DataFrame:
-    """vectors with distance, the k nearest, ties by id. Each task keeps its own k, so k rows a task are moved."""
+    """vectors with distance, the k nearest, ties by id. Each task keeps its own k, so k rows a task are moved. Vectors that are null, of another dimension, not finite or (for cosine) zero are no candidates."""
     check(query, None, metric)
-    rows = vectors if where is None else vectors.filter(where)
+    rows = (vectors if where is None else vectors.filter(where)).filter(valid(F.col(vec_col), len(query), metric))
     q = F.array(*[F.lit(float(x)) for x in query])
     return rows.withColumn("distance", METRICS[metric](F.col(vec_col), q)).orderBy("distance", id_col).limit(max(0, k))
 
 
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int, *, query_id: str, id_col: str, vec_col: str = "embedding", metric: str = "cosine", most: int | None = None, block: int = 1_000) -> DataFrame:
     """(query_id, id, rank, distance): the k nearest of each query, exactly. Up to `block` queries are broadcast; more are dealt in blocks of about as many, each of which meets each partition of the vectors in a task of its own. A task keeps its own k of each query before anything is shuffled. More than `most` queries, if it is given, are an error."""
+    usable = lambda df: df.filter(valid(F.col(vec_col), F.size(vec_col), metric))  # noqa: E731  others are neither queries nor candidates
+    queries, vectors = usable(queries), usable(vectors)
     n = queries.count()
     if most is not None and n > most:
         raise InvalidInput(f"{n} queries; an exact join takes {most} at most")
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vec_col).alias("__q"))
     q = F.broadcast(q) if n <= block else q.repartition(-(-n // block)).hint("shuffle_replicate_nl")
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("__v")).join(q).filter(F.col("id") != F.col("query_id"))
+    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("__v")).join(q).filter((F.col("id") != F.col("query_id")) & (F.size("__v") == F.size("__q")))
     scored = pairs.select("query_id", "id", METRICS[metric](F.col("__q"), F.col("__v")).alias("distance"))
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return scored.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k)
 
 
 def lsh_knn(vectors: DataFrame, query: list[float], k: int, *, id_col: str = "id", vec_col: str = "embedding", candidates: int | None = None, tables: int = 8, bucket: float = 0.5, seed: int = 7) -> DataFrame:
-    """Near neighbours by distance: candidates of random projections, widened to all rows if they are too few, then ranked exactly."""
+    """Near neighbours by distance: candidates of random projections, then ranked exactly; all rows if those are fewer than k."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.linalg import Vectors
 
-    rows = vectors.withColumn("__v", array_to_vector(F.col(vec_col).cast("array<double>")))
+    check(query, None, "l2")
+    rows = vectors.filter(valid(F.col(vec_col), len(query), "l2")).withColumn("__v", array_to_vector(F.col(vec_col).cast("array<double>")))
     model = BucketedRandomProjectionLSH(inputCol="__v", outputCol="__h", numHashTables=tables, bucketLength=bucket, seed=seed).fit(rows)
     near = model.approxNearestNeighbors(rows, Vectors.dense([float(x) for x in query]), candidates or max(10 * k, 100), distCol="__d").drop("__v", "__h", "__d")
-    return knn(near, query, k, id_col=id_col, vec_col=vec_col, metric="l2")
+    few = near.limit(k).count() < k
+    return knn(vectors if few else near, query, k, id_col=id_col, vec_col=vec_col, metric="l2")

@@ -25,8 +25,10 @@ def ts_range(points: DataFrame, series: str, start: int, end: int) -> DataFrame:
     return points.filter((F.col("series") == series) & (F.col(TS) >= start) & (F.col(TS) < end)).orderBy(TS)
 
 
-def latest(points: DataFrame) -> DataFrame:
-    return points.groupBy("series").agg(F.max(TS).alias(TS), F.max_by("value", TS).alias("value"))
+def latest(points: DataFrame, *, order: str | None = None) -> DataFrame:
+    """The newest point of each series; of those of one time the one written last by `order`, or without it the greatest."""
+    last = F.struct(TS, order or "value")
+    return points.groupBy("series").agg(F.max(TS).alias(TS), F.max_by("value", last).alias("value"))
 
 
 def retain(points: DataFrame, retention_ms: int, bucket_ms: int) -> DataFrame:

@@ -71,8 +71,31 @@ def range_selectivity(buckets: list[tuple], low, high, n_rows: int) -> float:
     return min(1.0, rows / n_rows)
 
 
+def segments(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(file, segment, n, bytes, low, high) of each row group, from the footers alone; low and high are null without statistics."""
+    kind = spark.read.parquet(path).schema[column].dataType
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+
+    def footers(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(name if "://" in name else "file://" + name.removeprefix("file:"))
+                with system.open_input_file(at) as f:
+                    meta = pq.ParquetFile(f).metadata
+                groups = [meta.row_group(i) for i in range(meta.num_row_groups)]
+                held = [next(c for c in (g.column(j) for j in range(g.num_columns)) if c.path_in_schema == column).statistics for g in groups]
+                low, high = ([getattr(x, part) if x is not None and x.has_min_max else None for x in held] for part in ("min", "max"))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(groups)), pa.array(range(len(groups)), pa.int32()), pa.array([g.num_rows for g in groups], pa.int64()), pa.array([g.total_byte_size for g in groups], pa.int64()), pa.array(low), pa.array(high)], ["file", "segment", "n", "bytes", "low", "high"])
+
+    return files.mapInArrow(footers, f"file string, segment int, n long, bytes long, low {kind.simpleString()}, high {kind.simpleString()}")
+
+
 def segment_report(spark: SparkSession, path: str, column: str, value) -> DataFrame:
-    """(scanned_segments, skipped_segments) by files for `column = value`, from each file's least and greatest value."""
-    per = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).agg(F.min(column).alias("low"), F.max(column).alias("high"))
-    hit: Column = F.lit(value).between(F.col("low"), F.col("high"))
-    return per.agg(F.count(F.when(hit, 1)).alias("scanned_segments"), F.count(F.when(~hit, 1)).alias("skipped_segments"))
+    """(scanned_segments, skipped_segments, scanned_bytes, skipped_bytes) of row groups for `column = value`; one without statistics is scanned."""
+    hit: Column = F.coalesce(F.lit(value).between(F.col("low"), F.col("high")), F.lit(True))
+    sums = [f(F.when(c, F.col("bytes"))).alias(f"{name}_{unit}") for name, c in (("scanned", hit), ("skipped", ~hit)) for f, unit in ((F.count, "segments"), (F.sum, "bytes"))]
+    return segments(spark, path, column).agg(*sums).na.fill(0)

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geo, scalar
 from ..operators import documents, fulltext, geosearch, graph, joins, knn, policy, series, stats, temporal
@@ -125,8 +126,19 @@ def text_bm25_topk(spark, d):
 
 @query(_bm25(["license", "general"], 15))
 def text_index_search(spark, d):
-    index = fulltext.postings(read(spark, d, "documents"), id_col="doc_id", text_col="text")
-    return fulltext.search(index, "License; general", limit=15).select("id", F.round("score", 6).alias("score"))
+    docs = read(spark, d, "documents")
+    index, lengths = fulltext.postings(docs, id_col="doc_id", text_col="text"), fulltext.lengths(docs, id_col="doc_id", text_col="text")
+    return fulltext.search(index, fulltext.stats_of(lengths), "License; general", limit=15).select("id", F.round("score", 6).alias("score"))
+
+
+@query(_bm25(["license", "general"], 15).replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'the general license, and more' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)"))
+def text_index_incremental(spark, d):
+    """An index of old texts, brought up to date by the changed documents alone: a third have new texts, a fifth are gone."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    old = fulltext.postings(docs, id_col="doc_id", text_col="text"), fulltext.lengths(docs, id_col="doc_id", text_col="text")
+    changed = docs.filter("doc_id % 3 = 0 or doc_id % 5 = 0").select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.lit("the general license, and more")).alias("text"))
+    index, lengths = fulltext.refresh(*old, changed, id_col="doc_id", text_col="text")
+    return fulltext.search(index, fulltext.stats_of(lengths), "License; general", limit=15).select("id", F.round("score", 6).alias("score"))
 
 
 # ------------------------------------------------------------------ vectors
@@ -153,10 +165,10 @@ def vec_filtered_knn(spark, d):
     return knn.knn(read(spark, d, "embeddings"), _first(spark, d), 5, id_col="vec_id", metric="l2", where=F.col("label") == 3).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query(f"WITH e AS (SELECT vec_id, {_D} AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_distance(e.v, q.v) AS distance FROM e, e q WHERE q.vec_id < 8 AND e.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) SELECT query_id, id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5")
+@query(f"WITH e AS (SELECT vec_id, {_D} AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_distance(e.v, q.v) AS distance FROM e, e q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p) SELECT query_id, id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5")
 def vec_batch_knn(spark, d):
     e = read(spark, d, "embeddings")
-    return knn.knn_join(e.filter("vec_id < 8"), e, 5, query_id="vec_id", id_col="vec_id", metric="l2").withColumn("distance", F.round("distance", 6))
+    return knn.knn_join(e.filter("vec_id % 50 = 0"), e, 5, query_id="vec_id", id_col="vec_id", metric="l2").withColumn("distance", F.round("distance", 6))
 
 
 _AWAY = "CASE WHEN {0} < 0 THEN -floor(-({0}) + 0.5) ELSE floor(({0}) + 0.5) END"
@@ -184,6 +196,14 @@ def vec_bytes_codec(spark, d):
     return coded.select("vec_id", F.octet_length("b").cast("long").alias("bytes"), (scalar.vector_from_bytes("b") == F.col("embedding")).alias("same"))
 
 
+@query(ORACLE["vec_cosine_knn"])
+def vec_knn_invalid_rows(spark, d):
+    """Stored vectors that are null, zero, too short or not finite are no candidates, and raise nothing."""
+    e = read(spark, d, "embeddings").select("vec_id", "embedding")
+    bad = spark.createDataFrame([(-1, None), (-2, [0.0] * 64), (-3, [1.0] * 3), (-4, [float("nan")] + [1.0] * 63), (-5, [None] + [1.0] * 63), (-6, [float("inf")] * 64)], "vec_id long, embedding array<float>")
+    return knn.knn(e.unionByName(bad), _first(spark, d), 10, id_col="vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
 @query()
 def vec_lsh_knn(spark, d):
     return knn.lsh_knn(read(spark, d, "embeddings"), _first(spark, d), 10, id_col="vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
@@ -204,9 +224,9 @@ def geo_haversine(spark, d):
     return _places(spark, d).select("id", F.round(geo.haversine_m(F.lit(21.0122), F.lit(52.2297), F.col("lon"), F.col("lat")), 3).alias("m"))
 
 
-@query(f"SELECT id, round({_HAV.format(lon=21.0122, lat=52.2297)}, 3) AS distance_meters FROM {_PLACE} WHERE {_HAV.format(lon=21.0122, lat=52.2297)} <= 2000000")
+@query(f"SELECT id, round({_HAV.format(lon=21.0122, lat=52.2297)}, 3) AS distance_meters FROM {_PLACE} WHERE {_HAV.format(lon=21.0122, lat=52.2297)} <= 5000000")
 def geo_within_radius(spark, d):
-    return geosearch.within_radius(_places(spark, d), 21.0122, 52.2297, 2_000_000).select("id", F.round("distance_meters", 3).alias("distance_meters"))
+    return geosearch.within_radius(_places(spark, d), 21.0122, 52.2297, 5_000_000).select("id", F.round("distance_meters", 3).alias("distance_meters"))
 
 
 @query(f"SELECT id, round({_HAV.format(lon=0.0, lat=89.5)}, 3) AS distance_meters FROM {_PLACE} WHERE {_HAV.format(lon=0.0, lat=89.5)} <= 1500000")
@@ -232,13 +252,17 @@ def geo_cell(spark, d):
 
 # ------------------------------------------------------------------ graphs: customers' orders, and nations in regions
 
-_EDGES = "(SELECT DISTINCT 'c' || o_custkey AS src, 'bought' AS label, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION ALL SELECT DISTINCT 's' || l_suppkey, 'sold', 'c' || o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 50 = 1)"
+_EDGES = "(SELECT DISTINCT 'c' || o_custkey AS src, 'bought' AS label, 's' || l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey UNION ALL SELECT DISTINCT 's' || l_suppkey, 'sold', 'c' || o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+
+
+#: Nodes that a search may reach here: all.
+WHOLE = 1 << 62
 
 
 def _edges(spark, d) -> DataFrame:
     pairs = read(spark, d, "orders").join(read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     c, s = F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("s"), "l_suppkey")
-    return pairs.select(c.alias("src"), F.lit("bought").alias("label"), s.alias("dst")).distinct().unionByName(pairs.filter("o_custkey % 50 = 1").select(s.alias("src"), F.lit("sold").alias("label"), c.alias("dst")).distinct())
+    return pairs.select(c.alias("src"), F.lit("bought").alias("label"), s.alias("dst")).distinct().unionByName(pairs.select(s.alias("src"), F.lit("sold").alias("label"), c.alias("dst")).distinct())
 
 
 @query(f"SELECT DISTINCT dst AS node FROM {_EDGES} WHERE src = 'c1' AND label = 'bought'")
@@ -248,12 +272,12 @@ def graph_neighbors(spark, d):
 
 @query(f"WITH RECURSIVE e AS (SELECT src, dst FROM {_EDGES}), r(node, depth) AS (SELECT 'c1', 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 2) SELECT node, min(depth) AS depth FROM r GROUP BY node HAVING node <> 'c1'")
 def graph_k_hop(spark, d):
-    return graph.k_hop(_edges(spark, d), "c1", max_depth=2)
+    return graph.k_hop(_edges(spark, d), "c1", max_depth=2, max_expansion=WHOLE)
 
 
 @query(f"WITH RECURSIVE e AS (SELECT src, dst FROM {_EDGES}), r(node, depth) AS (SELECT 'c2', 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 3) SELECT CAST(min(depth) AS INT) AS steps FROM r WHERE node = 'c51'")
 def graph_shortest_path_len(spark, d):
-    path = graph.shortest_path(_edges(spark, d), "c2", "c51")
+    path = graph.shortest_path(_edges(spark, d), "c2", "c51", max_expansion=WHOLE)
     return spark.createDataFrame([(None if path is None else len(path) - 1,)], "steps int")
 
 
@@ -424,11 +448,11 @@ def window_sliding(spark, d):
 # ------------------------------------------------------------------ joins that need help
 
 
-@query("WITH r AS (SELECT p_partkey AS rid, p_retailprice AS low, p_retailprice + 25 AS high FROM part WHERE p_partkey <= 500) SELECT o_orderkey, rid FROM orders JOIN r ON o_totalprice / 100 >= low AND o_totalprice / 100 < high")
+@query("WITH r AS (SELECT p_partkey AS rid, p_retailprice AS low, p_retailprice + 0.5 AS high FROM part) SELECT o_orderkey, rid FROM orders JOIN r ON o_totalprice / 100 >= low AND o_totalprice / 100 < high")
 def join_range_bins(spark, d):
     points = read(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("at"))
-    ranges = read(spark, d, "part").filter("p_partkey <= 500").select(F.col("p_partkey").alias("rid"), F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 25).alias("high"))
-    return joins.range_join(points, ranges, at="at", low="low", high="high", width=25).select("o_orderkey", "rid")
+    ranges = read(spark, d, "part").select(F.col("p_partkey").alias("rid"), F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 0.5).alias("high"))
+    return joins.range_join(points, ranges, at="at", low="low", high="high", width=0.5).select("o_orderkey", "rid")
 
 
 @query("WITH p AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, ts, event_id AS click_id, value AS click_value FROM events WHERE event_type = 'click') SELECT p.user_id, p.event_id, p.value, c.click_id, c.click_value FROM p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts")
@@ -448,7 +472,7 @@ def join_salted(spark, d):
 @query("SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1")
 def agg_two_step(spark, d):
     rows = read(spark, d, "lineitem").select("l_returnflag", "l_suppkey")
-    return joins.two_step_agg(rows, ["l_returnflag"], [F.collect_set("l_suppkey").alias("s")], [F.size(F.array_distinct(F.flatten(F.collect_list("s")))).cast("long").alias("suppliers")])
+    return joins.distinct_count(rows, ["l_returnflag"], "l_suppkey", "suppliers")
 
 
 # ------------------------------------------------------------------ foreign tables and transfer
@@ -535,11 +559,18 @@ def stats_mcv(spark, d):
     return stats.common_values(read(spark, d, "lineitem"), "l_suppkey")
 
 
-@query("SELECT CAST(1 AS BIGINT) AS scanned_segments, CAST(0 AS BIGINT) AS skipped_segments")
+@query()
 def zone_map_skip(spark, d):
-    return stats.segment_report(spark, f"{d}/lineitem.parquet", "l_orderkey", 100)
+    """Row groups of a sorted copy that a point lookup reads and skips, by the least and greatest values in the footers."""
+    path = _folder(spark, "zones")
+    read(spark, d, "lineitem").select("l_orderkey", "l_partkey").repartitionByRange(4, "l_orderkey").sortWithinPartitions("l_orderkey").write.option("parquet.block.size", 64 << 10).option("parquet.block.size.row.check.min", 100).parquet(path)
+    return stats.segment_report(spark, path, "l_orderkey", 100)
 
 
-@query("SELECT p_partkey, lpad(CAST(p_size AS VARCHAR), 20, '0') AS k FROM part")
+@query("SELECT p_partkey, rank() OVER (ORDER BY p_size) AS place FROM part")
 def collation_natural(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.regexp_extract(scalar.natural_key(F.concat(F.lit("f"), F.col("p_size"))), r"^f00000000000000000\d{3}(\d+)$", 1).alias("digits"), "p_size").select("p_partkey", F.lpad("digits", 20, "0").alias("k"))
+    """Names ending in numbers in natural order: f9 before f10."""
+    named = read(spark, d, "part").select("p_partkey", scalar.natural_key(F.concat(F.lit("f"), F.col("p_size"))).alias("k"))
+    counts = named.groupBy("k").agg(F.count("*").alias("n"))
+    before = counts.select("k", (F.sum("n").over(Window.orderBy("k")) - F.col("n") + 1).alias("place"))  # as many rows as there are names
+    return named.join(before, "k").select("p_partkey", "place")

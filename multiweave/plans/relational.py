@@ -27,8 +27,8 @@ SQL: dict[str, str | tuple[str, str]] = {
     "join_right": "SELECT n.n_nationkey, count(s.s_suppkey) AS n_suppliers FROM supplier s RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_nationkey",
     "join_full": "SELECT coalesce(c.c_nationkey, s.s_nationkey) AS nationkey, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers FROM (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_nationkey < 15 GROUP BY c_nationkey) c FULL JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_nationkey >= 10 GROUP BY s_nationkey) s ON c.c_nationkey = s.s_nationkey",
     "join_semi": ("SELECT c_custkey, c_name FROM customer c LEFT SEMI JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000", "SELECT c_custkey, c_name FROM customer c SEMI JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c.c_custkey = o.o_custkey"),
-    "join_anti": ("SELECT c_custkey, c_name FROM customer c LEFT ANTI JOIN orders o ON c.c_custkey = o.o_custkey", "SELECT c_custkey, c_name FROM customer c ANTI JOIN orders o ON c.c_custkey = o.o_custkey"),
-    "join_not_in": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)",
+    "join_anti": ("SELECT c_custkey, c_name FROM customer c LEFT ANTI JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderpriority = '1-URGENT'", "SELECT c_custkey, c_name FROM customer c ANTI JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderpriority = '1-URGENT'"),
+    "join_not_in": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 6000)",
     "join_cross_small": "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n",
     "join_theta": "SELECT a.n_nationkey AS low, b.n_nationkey AS high FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey",
     "join_self": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey",
@@ -69,7 +69,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     "intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
-    "except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier",
+    "except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 6000",
     "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "cte": f"WITH t AS (SELECT o_custkey, CAST(sum({MONEY.format('o_totalprice')}) AS DOUBLE) AS total FROM orders GROUP BY o_custkey), m AS (SELECT max(total) AS top FROM t) SELECT o_custkey, total FROM t, m WHERE total > top / 2",
     "recursive_cte": "WITH RECURSIVE r(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM r WHERE n < 12) SELECT n, f FROM r",

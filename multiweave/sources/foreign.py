@@ -50,7 +50,9 @@ def jdbc_options(t: ForeignTable) -> dict:
     for k in ("user", "driver", "partitionColumn", "lowerBound", "upperBound", "numPartitions", "fetchsize"):
         if k in o:
             out[k] = str(o[k])
-    if "partitionColumn" in o:  # read in parallel, so the whole table
+    if "partitionColumn" in o:  # read in parallel, so the whole table; a limit that was asked for cannot hold then
+        if "limit" in o:
+            raise InvalidInput("a remote limit and partitionColumn exclude each other")
         out["dbtable"] = o["table"]
     if name := o.get("password_env"):
         if name not in os.environ:

@@ -193,3 +193,23 @@ def test_foreign_table(engine, tmp_path):
     assert rows(engine.sql("select name, age from ext where id = 2")) == [('Gr "ace"', None)]
     with pytest.raises(InvalidInput):
         engine.create_foreign_table("pg", foreign.ForeignTable(TableSchema.of("id", id="int"), "jdbc", options={"url": "jdbc:x", "table": "t", "password": "p"}))
+
+
+def test_text_index_follows_its_table(engine):
+    """A stored index is brought up to date from the change log, and gives what a scan of the texts gives."""
+    from multiweave.operators import fulltext
+
+    t = engine.create_table("notes", TableSchema.of("id", id="int!", body="str"))
+    t.insert([(1, "rust engine"), (2, "herbs and engine"), (3, "..."), (4, None)])
+    engine.create_full_text_index("nidx", "notes", id_col="id", text_col="body")
+    for step in (lambda: None, lambda: t.upsert([(2, "no more"), (5, "an engine, an engine")]), lambda: t.delete("id = 1"), lambda: t.upsert([(6, "engine rust")])):
+        step()
+        want = fulltext.bm25(t.scan(), "engine rust", id_col="id", text_col="body")
+        assert [tuple(r) for r in engine.search("nidx", "engine rust").collect()] == [tuple(r) for r in want.collect()]
+
+
+def test_what_a_dead_writer_left_is_no_commit(engine):
+    t = engine.create_table("dead", TableSchema.of("id", id="int!", v="int"))
+    lsn = t.insert([(1, 1)])
+    t.log().withColumn("lsn", F.lit(lsn + 5).cast("long")).write.parquet(f"{t.path}/log/{lsn + 5:020d}")
+    assert [r["lsn"] for r in t.log().collect()] == [lsn]

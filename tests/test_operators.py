@@ -44,7 +44,7 @@ def test_text(spark):
     assert twice == pytest.approx(2 * rows(fulltext.bm25(docs, "rust", id_col="id", text_col="t"))[0][1])
     assert fulltext.bm25(docs, "...", id_col="id", text_col="t").count() == 0 and fulltext.bm25(docs, "rust", id_col="id", text_col="t", limit=0).count() == 0
     index = fulltext.postings(docs, id_col="id", text_col="t")
-    assert [r[0] for r in rows(fulltext.search(index, "herbs"))] == [2]
+    assert [r[0] for r in rows(fulltext.search(index, fulltext.corpus_stats(docs, id_col="id", text_col="t"), "herbs"))] == [2]
 
 
 def test_knn_join_takes_any_number_of_queries(spark):
@@ -204,3 +204,50 @@ def test_windows(spark):
     assert sorted(r["n"] for r in windows.tumbling(e, at="ts", size="1 hour", keys=["k"], aggregates=n).collect()) == [1, 2]
     assert sorted(r["n"] for r in windows.sessions(e, at="ts", gap="30 minutes", keys=["k"], aggregates=n).collect()) == [1, 2]
     assert windows.distinct(e, at="ts", keys=["k"]).count() == 1
+
+
+def test_one_count_of_documents(spark):
+    """Texts of punctuation count, those of white space do not, whichever way a search goes."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "..."), (3, "\n\t"), (4, "b c"), (5, None), (6, "\u2003")], "id long, t string")
+    own = {"id_col": "id", "text_col": "t"}
+    one = rows(fulltext.bm25(docs, "a", **own).select("id", "score"))
+    index, lengths = fulltext.postings(docs, **own), fulltext.lengths(docs, **own)
+    assert one == rows(fulltext.search(index, fulltext.stats_of(lengths), "a")) and fulltext.stats_of(lengths).first()["n_docs"] == 3
+    changed = spark.createDataFrame([(1, None), (2, "a a"), (7, "a"), (4, "  ")], "id long, t string")
+    after = spark.createDataFrame([(2, "a a"), (3, "\n\t"), (5, None), (6, "\u2003"), (7, "a")], "id long, t string")
+    index, lengths = fulltext.refresh(index, lengths, changed, **own)
+    assert rows(fulltext.search(index, fulltext.stats_of(lengths), "a b")) == rows(fulltext.bm25(after, "a b", **own).select("id", "score"))
+
+
+def test_stored_vectors_that_cannot_be_searched(spark):
+    e = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0]), (5, [float("nan"), 1.0]), (6, [0.0, 2.0])], "id long, embedding array<double>")
+    for metric, want in (("cosine", [1, 6]), ("l2", [1, 3, 6])):
+        assert sorted(r["id"] for r in knn.knn(e, [1.0, 0.5], 10, metric=metric).collect()) == want
+        assert {r["query_id"] for r in knn.knn_join(e, e, 3, query_id="id", id_col="id", metric=metric).collect()} == set(want)
+    assert [r["id"] for r in knn.lsh_knn(e, [1.0, 0.5], 3).collect()] == [1, 3, 6]
+
+
+def test_approximate_stage_recalls(spark):
+    """Of the exact neighbours of twenty queries the approximate stage finds nine in ten."""
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").cache()
+    hit = 0
+    for r in e.orderBy("vec_id").limit(20).collect():
+        want = {x["vec_id"] for x in knn.knn(e, list(r["embedding"]), 5, id_col="vec_id", metric="l2").collect()}
+        hit += len(want & {x["vec_id"] for x in knn.lsh_knn(e, list(r["embedding"]), 5, id_col="vec_id", candidates=200).collect()})
+    assert hit >= 90
+
+
+def test_row_groups_are_skipped(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = f"{tmp_path}/zones"
+    spark.range(40_000).selectExpr("id * 7 % 40000 as k", "cast(id as string) as v").repartitionByRange(3, "k").sortWithinPartitions("k").write.option("parquet.block.size", 16 << 10).option("parquet.block.size.row.check.min", 100).parquet(path)
+    groups = [(f.row_group(i).column(0).statistics, f.row_group(i).total_byte_size) for f in (pq.ParquetFile(p).metadata for p in tmp_path.glob("zones/*.parquet")) for i in range(f.num_row_groups)]
+    hit = [b for s, b in groups if s.min <= 12_345 <= s.max]
+    got = stats.segment_report(spark, path, "k", 12_345).first()
+    assert len(groups) > 6 and (got["scanned_segments"], got["skipped_segments"]) == (len(hit), len(groups) - len(hit)) == (1, len(groups) - 1) and got["scanned_bytes"] == sum(hit)
+
+
+def test_latest_of_one_time(spark):
+    p = spark.createDataFrame([("a", 5, 1.0, 1), ("a", 5, 0.5, 2), ("a", 4, 9.0, 3)], "series string, timestamp_millis long, value double, at int")
+    assert series.latest(p, order="at").first()["value"] == 0.5 and series.latest(p.drop("at")).first()["value"] == 1.0
