@@ -203,6 +203,19 @@ def sketches(known: DataFrame) -> DataFrame:
     return known.select("node").join(counted, "node", "left").select("node", F.when(F.col("m").isNull(), small(F.array_repeat(F.lit(0), PARTS))).when(whole, small(sketch)).alias("sketch"), F.coalesce("common", F.lit(0)).alias("common"))
 
 
+#: Pairs of a node that meet its multiset in one task, at least; and the share of all pairs beyond which it is a hub.
+MEETS, HUBS = 1000, 1 / 256
+
+
+def _with_bags(pairs: DataFrame, known: DataFrame, side: str, plain: DataFrame, count: int) -> DataFrame:
+    """pairs with bag_<side>, the multiset of that side. The pairs of a hub are dealt to several copies of its multiset. plain: the `count` pairs alone."""
+    most = max(float(MEETS), HUBS * count)
+    hubs = F.broadcast(plain.groupBy(F.col(side).alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") > most).select("node", F.ceil(F.col("n") / most).cast("int").alias("parts")))  # at most 1 / HUBS
+    bags_ = known.select("node", "bag").join(hubs, "node", "left").select(F.col("node").alias(side), F.col("bag").alias(f"bag_{side}"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    dealt = pairs.join(hubs.withColumnRenamed("node", side), side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return dealt.join(bags_, [side, "part"]).drop("part")
+
+
 def near_components(docs: DataFrame, signed: DataFrame, *, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """(node, component) of the nodes that have a link to another; signed is what signatures() gave, already cut."""
     nodes = signed.filter((F.col("size") > 0) & F.col("doc_id").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -217,9 +230,9 @@ def near_components(docs: DataFrame, signed: DataFrame, *, text: str = "text", d
     tidy(docs.sparkSession)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose multisets are similar."""
-        first, second = (known.select(F.col("node").alias(c), F.col("bag").alias(f"bag_{c}")) for c in "ab")
-        both = pairs.join(first, "a").join(second, "b")
+        """Those of the pairs (a, b), which are cut, whose multisets are similar."""
+        n = pairs.count()
+        both = _with_bags(_with_bags(pairs, known, "a", pairs, n), known, "b", pairs, n)
         overlap = F.size(F.array_intersect("bag_a", "bag_b"))
         return both.filter(overlap >= F.lit(similarity) * (F.size("bag_a") + F.size("bag_b") - overlap)).select("a", "b")
 

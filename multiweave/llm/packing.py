@@ -203,15 +203,17 @@ def _pack_groups(items: DataFrame, groups: int, capacity: int, first_id: int, se
 
 
 def pack(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", tokenizer: str = TOKENIZER, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """Each piece with its sequence and its place there."""
+    """Each piece with its sequence and its place there, and least_sequences, the bound of all pieces together: no packing has fewer."""
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     with small_batches(docs.sparkSession):
         every = cut(pieces(docs, text=text, doc_id=doc_id, tokenizer=tokenizer, capacity=capacity, end_id=end_id))
     full = every.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).select(cols)
     rest = every.filter(F.col("length") < capacity)
-    sizes = rest.groupBy("length").agg(F.count("*").alias("n")).toPandas()  # at most a row for each length
+    sizes = every.groupBy("length").agg(F.count("*").alias("n")).toPandas()  # at most a row for each length
+    certified = lambda out: out.withColumn("least_sequences", F.lit(bin_bound(whole["length"].to_numpy(), whole["n"].to_numpy(), capacity)).cast("long"))
+    whole, sizes = sizes, sizes[sizes.length < capacity]
     if sizes.empty:
-        return full
+        return certified(full)
     bound = bin_bound(sizes["length"].to_numpy(), sizes["n"].to_numpy(), capacity)
     n, first_id, done = int(sizes["n"].sum()), 0, []
     for k in range(rounds + 1):
@@ -231,7 +233,7 @@ def pack(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", tokeniz
     out = full
     for d in done:
         out = out.unionByName(d.select(cols))
-    return out
+    return certified(out)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -329,6 +329,7 @@ def test_packing_round_trip(spark, tmp_path):
     got = got.sort_values(["sequence_id", "offset"])
     assert (got.offset == got.groupby("sequence_id").length.cumsum() - got.length).all() and got.groupby("sequence_id").length.sum().max() <= 2048
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) + 2
+    assert -(-got.length.sum() // 2048) <= got.least_sequences.iloc[0] <= got.sequence_id.nunique()
     assert packing.pack(frame.limit(0)).count() == 0
 
 

@@ -362,6 +362,15 @@ def test_quality_edges(spark, tmp_path):
     assert quality.stage_quality(spark, docs, f"{tmp_path}/e").count() == len(rows)
 
 
+def test_pairs_of_a_hub_meet_its_copies(spark, monkeypatch):
+    """A node that is in most pairs has its multiset in several tasks, and every pair meets it once."""
+    monkeypatch.setattr(near_dedup, "MEETS", 10)
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(i, 500) for i in range(1, 100)], "a long, b long")
+    known = spark.createDataFrame([(i, [i, -i]) for i in [*range(200), 500]], "node long, bag array<long>")
+    got = near_dedup._with_bags(near_dedup._with_bags(pairs, known, "a", pairs, 298), known, "b", pairs, 298).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted((r["a"], r["b"]) for r in pairs.collect()) and all(r["bag_a"][0] == r["a"] and r["bag_b"][0] == r["b"] for r in got)
+
+
 def test_rows_of_one_id_with_other_texts(spark, tmp_path):
     """Of an id's rows, a copy of another document goes and the text of its own stays."""
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
