@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, components, cut, doc_chunks, give_back, lower_bytes, mix, over_texts, release, small_batches, table, text_buffer, tidy, word_hashes, word_spans
+from .common import ALNUM, HUB, at_nodes, components, cut, doc_chunks, give_back, lower_bytes, mix, over_texts, release, small_batches, table, text_buffer, tidy, word_hashes, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Places of a signature are BANDS * ROWS: documents of similarity 0.8 share a band with a probability of 1 - 5e-8.
@@ -282,11 +282,15 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         signed = cut(signatures(docs, text=text, doc_id=doc_id, bands=bands, rows=rows).withColumn("row", F.monotonically_increasing_id()))
         labels = near_components(docs, signed, text=text, doc_id=doc_id, similarity=similarity)
     linked = F.col("size").isNotNull() & (F.col("size") > 0) & F.col("doc_id").isNotNull()
-    rows_ = signed.filter(linked).join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    classes = rows_.groupBy("node", "label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "row")).alias("first"))
-    firsts = classes.groupBy("label").agg(F.min("first").alias("stays"))
-    placed = cut(classes.join(firsts, "label").select("node", "class_id", "stays"), signed.count())
-    own = signed.filter(linked).select("doc_id", "node", "row").join(placed, "node").select("doc_id", "class_id", F.col("stays.doc_id").alias("component_id"), (F.col("row") == F.col("stays.row")).alias("kept"), "node")
+    rows_ = signed.filter(linked).select("doc_id", "node", "row")
+    every = signed.count()
+    hub = max(64.0, 2 * HUB * every)
+    classes = rows_.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n"))
+    classes = classes.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    firsts = classes.groupBy(F.col("label").alias("node")).agg(F.min("first").alias("m"), F.count("*").alias("degree"))
+    placed = at_nodes(classes.select("label", F.col("node").alias("own"), "class_id", "n"), "label", firsts, hub)
+    placed = cut(placed.select(F.col("own").alias("node"), F.struct("class_id", F.col("m").alias("stays")).alias("m"), F.col("n").alias("degree")), every)
+    own = at_nodes(rows_, "node", placed, hub).select("doc_id", "m.class_id", F.col("m.stays.doc_id").alias("component_id"), (F.col("row") == F.col("m.stays.row")).alias("kept"), "node")
     alone = signed.filter(~linked).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "node")
     return own.unionByName(alone)
 
