@@ -94,6 +94,13 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def lasting_small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lowers the session's Arrow batches to `rows`, for plans that run after the function that made them has returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def give_back() -> None:
     """Returns the memory that a Python worker and Arrow's pool have freed to the system; idle workers stay."""
     pa.default_memory_pool().release_unused()
@@ -131,8 +138,10 @@ def over_texts(docs: DataFrame, text: str, keep: list[Column], of_texts: Callabl
     """`__row`, a struct of the columns keep, beside what of_texts gives of the texts: arrays by schema, and which rows stay (None: all).
 
     Texts come from the struct if it has them, so that they are sent once; blocks of `rows` bound what a worker holds.
-    All steps of this subpackage run Python this way, as workers of one kind serve them all.
+    All steps of this subpackage run Python this way, as workers of one kind serve them all. As the plan runs later, the
+    session's Arrow batches are lowered for good.
     """
+    lasting_small_batches(docs.sparkSession)
     row = docs.select(F.struct(*keep).alias("__row"))
     inside = text in row.schema["__row"].dataType.names
     at = row.schema["__row"].dataType.names.index(text) if inside else None

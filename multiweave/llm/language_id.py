@@ -191,7 +191,7 @@ class Coder:
         """Code length in bits of each row in each language; off starts at 0."""
         n = len(off) - 1
         out = np.zeros((n, len(self.langs)))
-        for i, j in doc_chunks(off, 1 << 19):
+        for i, j in doc_chunks(off, 1 << 17):
             at = off[i : j + 1]
             if at[-1] == at[0]:
                 continue
