@@ -1,8 +1,9 @@
 """The facade: a catalog of objects, statements over them, and the calls that change them.
 
-Every table is a folder: `current.json` names the newest snapshot and commit; `snapshots/<lsn>` has rows as Parquet;
-`log/` has every change as Parquet, one folder a commit, append-only. A write makes a new snapshot beside the old one and
-then replaces `current.json` in one step, so readers see either. One writer at a time is assumed.
+Every table is a folder: `current.json` names the newest commit and snapshot; `snapshots/<lsn>` has rows as Parquet;
+`log/` has every change as Parquet, one folder a commit, append-only. A write adds its changes to the log and then
+replaces `current.json` in one step, so readers see all of it or nothing; they merge what came after the snapshot. A new
+snapshot is made when that is a large part of the table. One writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .streaming import changes, views
 
 KINDS = ("table", "collection", "vectors", "full_text", "series", "graph", "geo", "foreign", "view", "history")
 _SQL_KINDS = ("table", "collection", "foreign", "view", "history")
+#: Changes since the snapshot that are merged when a table is read are less than this part of it, as 1 / COMPACT.
+COMPACT = 4
 _NAME = re.compile(r"^[A-Za-z_]\w*$")
 
 
@@ -53,8 +56,14 @@ class Table:
         return json.loads(files.read_text(self.engine.spark, f"{self.path}/current.json"))
 
     def scan(self) -> DataFrame:
+        """The rows as they stand: the newest snapshot, with the last change of each key that was changed since."""
         head = self.head()
-        return self.engine.spark.read.schema(self.schema.struct()).parquet(f"{self.path}/snapshots/{head['lsn']}")
+        rows = self.engine.spark.read.schema(self.schema.struct()).parquet(f"{self.path}/snapshots/{head['base']}")
+        if head["base"] == head["lsn"]:
+            return rows
+        key = self.schema.primary_key
+        last = temporal.last_changes(self.log(after=head["base"]), key)
+        return rows.join(last.select(key), key, "left_anti").select(self.schema.names).unionByName(last.filter("op = 'upsert'").select(self.schema.names))
 
     def get(self, key) -> DataFrame:
         return self.scan().filter(F.col(self.schema.primary_key) == F.lit(key))
@@ -65,11 +74,20 @@ class Table:
     def query_eq(self, column: str, value) -> DataFrame:
         return self.scan().filter(F.col(column) == F.lit(value))
 
-    def log(self) -> DataFrame:
+    def log(self, *, after: int = 0) -> DataFrame:
+        """Changes of the commits after one, up to the newest; what a writer left that died is no commit."""
+        now = self.head()["lsn"]
+        return self._changes([n for n in files.names(self.engine.spark, f"{self.path}/log") if after < int(n) <= now])
+
+    def committed(self, lsn: int) -> DataFrame:
+        """The rows that a commit wrote."""
+        return self._changes([f"{lsn:020d}"]).filter("op = 'upsert'").select(self.schema.names)
+
+    def _changes(self, folders: list[str]) -> DataFrame:
         kinds = T.StructType([T.StructField("lsn", T.LongType()), T.StructField("at", T.LongType()), T.StructField("op", T.StringType()), *self.schema.struct().fields])
-        if not files.names(self.engine.spark, f"{self.path}/log"):
+        if not folders:
             return self.engine.spark.createDataFrame([], kinds)
-        return self.engine.spark.read.schema(kinds).parquet(f"{self.path}/log/*").filter(F.col("lsn") <= self.head()["lsn"])  # what a writer left that died is no commit
+        return self.engine.spark.read.schema(kinds).parquet(*[f"{self.path}/log/{n}" for n in folders])
 
     def frame(self, rows) -> DataFrame:
         """Rows as a DataFrame of just the schema: a DataFrame, or tuples in the order of the columns."""
@@ -79,12 +97,7 @@ class Table:
 
     def insert(self, rows) -> int:
         """Adds rows; a key that is there already, or twice among them, is an error and nothing is written."""
-        new = self.frame(rows)
-        key = self.schema.primary_key
-        twice = new.groupBy(key).count().filter("count > 1").select(key).unionByName(new.select(key).join(self.scan().select(key), key, "left_semi"))
-        if hit := twice.head():
-            raise DuplicateKey(f"{self.name} has {key} = {hit[0]} already")
-        return self._write(new, new.limit(0))
+        return self._write(self.frame(rows), None, unique=True)
 
     def upsert(self, rows) -> int:
         """Adds rows in place of those with their keys; of rows with one key the last wins, if they are tuples."""
@@ -96,38 +109,68 @@ class Table:
     def insert_new(self, rows) -> DataFrame:
         """Adds the rows whose keys are not there, and returns them."""
         key = self.schema.primary_key
-        new = self.engine._kept(self.frame(rows).join(self.scan().select(key), key, "left_anti").dropDuplicates([key]).select(self.schema.names))
-        self._write(new, new.limit(0))
-        return new
+        new = self.frame(rows).join(self.scan().select(key), key, "left_anti").dropDuplicates([key]).select(self.schema.names)
+        return self.committed(self._write(new, None))
 
     def delete(self, where) -> int:
         """Deletes the rows that a condition holds for."""
-        gone = self.engine._kept(self.scan().filter(where))
-        return self._write(None, gone)
-
-    def _write(self, new: DataFrame | None, gone: DataFrame | None) -> int:
-        """Commits: new rows replace those of their keys, gone ones leave. Returns the commit's number."""
-        e, key, head = self.engine, self.schema.primary_key, self.head()
-        new = e._kept(new) if new is not None else None
-        if new is not None and (bad := self.schema.violations(new).head()):
-            raise InvalidInput(f"{self.name} does not take {bad.asDict()}")
-        for t in e._before.get(self.name, []):
-            new = e._kept(t(new)) if new is not None else None
+        return self._write(None, self.scan().filter(where))
+
+    def _write(self, new: DataFrame | None, gone: DataFrame | None, *, unique: bool = False) -> int:
+        """Commits: new rows replace those of their keys (none may be there, if unique), gone ones leave. Returns the commit's number.
+
+        The changes are written to the log and checked there, so they are computed once; `current.json` then makes them a commit.
+        """
+        e, key, head, spark = self.engine, self.schema.primary_key, self.head(), self.engine.spark
+        for n in files.names(spark, f"{self.path}/log"):
+            if int(n) > head["lsn"]:  # a writer died; it was the only one
+                files.delete(spark, f"{self.path}/log/{n}")
+        staged = None
+        if new is not None and e._before.get(self.name):
+            staged = f"{self.path}/staged/{time.time_ns()}"
+            new.write.parquet(staged)
+            new = spark.read.schema(self.schema.struct()).parquet(staged)
+            for t in e._before[self.name]:
+                new = t(new)
         lsn, at = e._next_lsn(), int(time.time() * 1000)
-        old = self.scan()
-        keys = [x.select(key) for x in (new, gone) if x is not None]
-        kept = old.join(keys[0] if len(keys) == 1 else keys[0].unionByName(keys[1]), key, "left_anti")
-        out = kept if new is None else kept.select(self.schema.names).unionByName(new)
-        out.repartitionByRange(F.col(key)).sortWithinPartitions(key).write.parquet(f"{self.path}/snapshots/{lsn}") if head["sorted"] else out.write.parquet(f"{self.path}/snapshots/{lsn}")
+        folder = f"{self.path}/log/{lsn:020d}"
         change = [x.select(F.lit(lsn).alias("lsn"), F.lit(at).alias("at"), F.lit(op).alias("op"), *self.schema.names) for x, op in ((new, "upsert"), (gone, "delete")) if x is not None]
-        (change[0] if len(change) == 1 else change[0].unionByName(change[1])).write.parquet(f"{self.path}/log/{lsn:020d}")
-        files.write_text(e.spark, f"{self.path}/current.json", json.dumps(head | {"lsn": lsn}))
-        for x in (new, gone):
-            if x is not None:
-                x.unpersist()
+        (change[0] if len(change) == 1 else change[0].unionByName(change[1])).write.parquet(folder)
+        try:
+            if new is not None:
+                self._check(self.committed(lsn), unique)
+        except EngineError:
+            files.delete(spark, folder)
+            raise
+        finally:
+            if staged is not None:
+                files.delete(spark, staged)
+        files.write_text(spark, f"{self.path}/current.json", json.dumps(head | {"lsn": lsn}))
+        self._compact()
         e._commit(self.name, lsn)
         return lsn
 
+    def _check(self, rows: DataFrame, unique: bool) -> None:
+        key = self.schema.primary_key
+        if bad := self.schema.violations(rows).head():
+            raise InvalidInput(f"{self.name} does not take {bad.asDict()}")
+        if hit := rows.groupBy(key).count().filter("count > 1").head():
+            raise (DuplicateKey if unique else InvalidInput)(f"{key} = {hit[0]} comes twice for {self.name}")
+        if unique and (hit := rows.select(key).join(self.scan().select(key), key, "left_semi").head()):
+            raise DuplicateKey(f"{self.name} has {key} = {hit[0]} already")
+
+    def _compact(self) -> None:
+        """Writes a new snapshot once the changes since the last one are a large part of it in bytes, so a row is rewritten a few times at most however many commits there are."""
+        spark, head, key = self.engine.spark, self.head(), self.schema.primary_key
+        since = sum(files.size(spark, f"{self.path}/log/{n}") for n in files.names(spark, f"{self.path}/log") if head["base"] < int(n) <= head["lsn"])
+        if since * COMPACT < files.size(spark, f"{self.path}/snapshots/{head['base']}"):
+            return
+        rows, path = self.scan(), f"{self.path}/snapshots/{head['lsn']}"
+        if head["sorted"]:
+            rows = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key)
+        rows.write.mode("overwrite").parquet(path)
+        files.write_text(spark, f"{self.path}/current.json", json.dumps(head | {"base": head["lsn"]}))
+
 
 class Engine:
     """A database in a folder of any file system that Spark reaches."""
@@ -177,18 +220,13 @@ class Engine:
         path = f"{self.root}/lsn.json"
         return json.loads(files.read_text(self.spark, path)) if files.exists(self.spark, path) else 0
 
-    @staticmethod
-    def _kept(df: DataFrame) -> DataFrame:
-        """df kept for the several reads of one write; recomputed from its source where an executor is lost."""
-        return df.persist()
-
     def create_table(self, name: str, schema: TableSchema | None, *, clustered: bool = False) -> Table:
         """A table of a schema, or without one a table of a single string column `value` under a generated key."""
         schema = schema or TableSchema((Column("id", "int", False), Column("value", "str")), "id")
         self._create(name, "table", schema=schema.json())
         t = Table(self, name)
         self.spark.createDataFrame([], schema.struct()).write.parquet(f"{t.path}/snapshots/0")
-        files.write_text(self.spark, f"{t.path}/current.json", json.dumps({"lsn": 0, "sorted": clustered, "min_lsn": 0}))
+        files.write_text(self.spark, f"{t.path}/current.json", json.dumps({"lsn": 0, "base": 0, "sorted": clustered, "min_lsn": 0}))
         return t
 
     def table(self, name: str) -> Table:
@@ -239,7 +277,7 @@ class Engine:
             if stored is None or stored < table.head()["min_lsn"] or o["id_col"] != table.schema.primary_key:
                 made = fulltext.postings(table.scan(), **own), fulltext.lengths(table.scan(), **own)
             else:
-                last = table.log().filter((F.col("lsn") > stored) & (F.col("lsn") <= lsn)).groupBy(o["id_col"]).agg(F.max_by(F.when(F.col("op") == "upsert", F.col(o["text_col"])), "lsn").alias(o["text_col"]))
+                last = table.log(after=stored).filter(F.col("lsn") <= lsn).groupBy(o["id_col"]).agg(F.max_by(F.when(F.col("op") == "upsert", F.col(o["text_col"])), "lsn").alias(o["text_col"]))
                 made = fulltext.refresh(part(stored, "postings"), part(stored, "lengths"), last, **own)
             made[0].repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/{lsn}/postings")  # so that a search reads the row groups of its terms
             made[1].write.mode("overwrite").parquet(f"{at}/{lsn}/lengths")
@@ -268,7 +306,7 @@ class Engine:
         lsn = t.upsert([(f"{s}\0{at}", s, at, v) for s, at, v in points])
         if o["retention_ms"] is not None:
             kept = series.retain(t.scan(), o["retention_ms"], o["bucket_ms"])
-            gone = self._kept(t.scan().join(kept.select("key"), "key", "left_anti").select(t.schema.names))
+            gone = t.scan().join(kept.select("key"), "key", "left_anti").select(t.schema.names)
             if not gone.isEmpty():
                 lsn = t._write(None, gone)
         return lsn
@@ -350,7 +388,7 @@ class Engine:
         now = t.head()["lsn"]
         if now > head["lsn"]:
             state = [self.spark.read.parquet(f"{head['at']}/{x}") for x in ("rows", "groups")]
-            later = t.log().filter((F.col("lsn") > head["lsn"]) & (F.col("lsn") <= now))
+            later = t.log(after=head["lsn"]).filter(F.col("lsn") <= now)
             self._store_view(view, *views.apply(*state, later, view), now)
         return now
 
@@ -495,7 +533,7 @@ class Engine:
         for o in self.objects():
             if o["kind"] == "table":
                 t = Table(self, o["name"])
-                logs.append(t.log().select("lsn", "at", "op", F.col(t.schema.primary_key).cast("string").alias("key"), F.lit(t.name).alias("target")))
+                logs.append(t.log(after=token).select("lsn", "at", "op", F.col(t.schema.primary_key).cast("string").alias("key"), F.lit(t.name).alias("target")))
         if not logs:
             raise NotFound("no tables")
         every = logs[0]

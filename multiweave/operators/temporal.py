@@ -37,9 +37,14 @@ def as_of(log: DataFrame, key: str, lsn: int, *, min_lsn: int | None = None) ->
     A grouped maximum, so each task reduces its keys before the shuffle.
     """
     check_kept(log, lsn, min_lsn=min_lsn)
+    return last_changes(log.filter(F.col("lsn") <= lsn), key).filter("op <> 'delete'").select(columns_of(log))
+
+
+def last_changes(log: DataFrame, key: str) -> DataFrame:
+    """(op and the log's own columns) of the newest change of each key."""
     cols = columns_of(log)
-    newest = log.filter(F.col("lsn") <= lsn).groupBy(key).agg(F.max_by(F.struct("op", *[c for c in cols if c != key]), "lsn").alias("v"))
-    return newest.filter("v.op <> 'delete'").select(*[F.col(key) if c == key else F.col(f"v.{c}").alias(c) for c in cols])
+    newest = log.groupBy(key).agg(F.max_by(F.struct("op", *[c for c in cols if c != key]), "lsn").alias("v"))
+    return newest.select(F.col("v.op").alias("op"), *[F.col(key) if c == key else F.col(f"v.{c}").alias(c) for c in cols])
 
 
 def history(log: DataFrame, key: str) -> DataFrame:
