@@ -28,6 +28,8 @@ from .streaming import changes, views
 
 KINDS = ("table", "collection", "vectors", "full_text", "series", "graph", "geo", "foreign", "view", "history")
 _SQL_KINDS = ("table", "collection", "foreign", "view", "history")
+#: A query of one table, with at most a filter of one column by a literal.
+_SIMPLE = re.compile(r"(?is)^\s*select\s+(?!distinct\b)[\w\s,*.]+\s+from\s+(\w+)(?:\s+where\s+(\w+)\s*=\s*('(?:[^']|'')*'|[+-]?[\d.]+))?\s*$")
 #: Changes since the snapshot that are merged when a table is read are less than this part of it, as 1 / COMPACT.
 COMPACT = 4
 _NAME = re.compile(r"^[A-Za-z_]\w*$")
@@ -185,6 +187,7 @@ class Engine:
         self._grants: dict[str, set[tuple[str, str]]] | None = None
         self.policies = policy.Policies()
         self._samples: list[tuple] = []
+        self._tuning: list[tuple] = []
         scalar.register(spark)
 
     # -------------------------------------------------------------- catalog
@@ -495,7 +498,10 @@ class Engine:
         return self.spark.sql(text)
 
     def explain(self, text: str, *, analyze: bool = False, principal: str | None = None) -> DataFrame:
-        """(item, value): the plan, and with analyze the rows and time that it took."""
+        """(item, value): the plan, and with analyze the rows and time that it took, for a filter on one column of one table also the rows estimated and examined.
+
+        Those go to the workload, and an estimate that was far off to the tuning log.
+        """
         if not re.match(r"\s*(select|with)\b", text, re.I):
             raise Unsupported("only queries are explained")
         self._register(text, principal)
@@ -504,9 +510,33 @@ class Engine:
         if analyze:
             began = time.time()
             n = df.count()
-            rows += [("rows", str(n)), ("milliseconds", str(round((time.time() - began) * 1000, 3)))]
+            took = (time.time() - began) * 1000
+            rows += [("rows", str(n)), ("milliseconds", str(round(took, 3)))]
+            if one := _SIMPLE.match(text):
+                rows += self._compared(text, one, n, took)
         return self.spark.createDataFrame(rows, "item string, value string")
 
+    def _compared(self, text: str, one: re.Match, n: int, took: float) -> list[tuple[str, str]]:
+        table, column, value = one[1], one[2], statements.literals(one[3])[0] if one[3] else None
+        examined = self._frame(table).count()
+        self.record_workload(fingerprint=scalar.fingerprint(text), table=table, column=column, latency_ms=took, returned=n, examined=examined)
+        out, known = [("rows_examined", str(examined))], self.statistics().get((table, column) if column else (table, None))
+        if known is not None:
+            guess = round(known["n_rows"] * (stats.eq_selectivity(known, {}, value) if column else 1.0))
+            out.append(("rows_estimated", str(guess)))
+            if workload.feedback(guess, n):
+                self._tuning.append((int(time.time() * 1000), table, column, float(guess), n))
+        return out
+
+    def statistics(self) -> dict[tuple[str, str | None], dict]:
+        """What ANALYZE kept, by (table, column); by (table, None) that of any column."""
+        path = f"{self.root}/statistics.json"
+        rows = json.loads(files.read_text(self.spark, path)) if files.exists(self.spark, path) else []
+        out = {}
+        for table, column, n, nulls, low, high, ndv in rows:
+            out[table, column] = out[table, None] = {"n_rows": n, "null_fraction": nulls, "low": low, "high": high, "ndv": ndv}
+        return out
+
     def analyze(self, name: str | None = None, *, full: bool = False) -> DataFrame:
         """Statistics of the columns of one table or of all, over all rows or a sample of 30,000; kept in the catalog folder."""
         names = [name] if name else [o["name"] for o in self.objects() if o["kind"] == "table"]
@@ -522,7 +552,8 @@ class Engine:
         if out is None:
             raise NotFound("no tables")
         rows = out.select("table_name", "column_name", "n_rows", "null_fraction", "low", "high", "ndv").collect()  # a row for each column
-        files.write_text(self.spark, f"{self.root}/statistics.json", json.dumps([list(r) for r in rows]))
+        kept = [[t, c, *x.values()] for (t, c), x in self.statistics().items() if c is not None and t not in names]
+        files.write_text(self.spark, f"{self.root}/statistics.json", json.dumps(kept + [list(r) for r in rows]))
         return self.spark.createDataFrame(rows, "table_name string, column_name string, n_rows long, null_fraction double, low string, high string, ndv long")
 
     # -------------------------------------------------------------- change streams

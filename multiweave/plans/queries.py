@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import views
-from . import domain
+from . import domain, facade  # noqa: F401  the facade's queries are registered with the domain's
 from .relational import SQL
 
 

@@ -89,4 +89,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "fn_conditional": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS seg, CASE c_nationkey WHEN 1 THEN 'one' ELSE 'other' END AS one FROM customer",
     "fn_cast": ("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(12, 1)) AS d, try_cast(o_orderpriority AS INT) AS i, CAST(o_orderkey AS STRING) AS s FROM orders", "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(12, 1)) AS d, try_cast(o_orderpriority AS INT) AS i, CAST(o_orderkey AS VARCHAR) AS s FROM orders"),
     "fn_hash": "SELECT c_custkey, md5(c_name) AS m FROM customer",
+    "fn_map": ("SELECT o_custkey, CAST(size(m) AS BIGINT) AS n, m['F'] AS f, array_join(array_sort(map_keys(m)), ',') AS keys, CAST(aggregate(map_values(m), 0L, (s, x) -> s + x) AS BIGINT) AS total FROM (SELECT o_custkey, map_from_entries(collect_list(struct(o_orderstatus, n))) AS m FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1)", "SELECT o_custkey, count(*) AS n, CAST(sum(n) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS f, string_agg(o_orderstatus, ',' ORDER BY o_orderstatus) AS keys, CAST(sum(n) AS BIGINT) AS total FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1"),
+    "agg_approximate": ("SELECT l_returnflag, abs(approx_count_distinct(l_orderkey, 0.01) / count(DISTINCT l_orderkey) - 1) < 0.05 AS near_distinct, abs(approx_percentile(l_quantity, 0.5, 10000) - percentile_cont(0.5) WITHIN GROUP (ORDER BY l_quantity)) <= 1 AS near_median, count(*) AS n FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, true AS near_distinct, true AS near_median, count(*) AS n FROM lineitem GROUP BY l_returnflag"),
 }

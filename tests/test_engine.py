@@ -213,3 +213,43 @@ def test_what_a_dead_writer_left_is_no_commit(engine):
     lsn = t.insert([(1, 1)])
     t.log().withColumn("lsn", F.lit(lsn + 5).cast("long")).write.parquet(f"{t.path}/log/{lsn + 5:020d}")
     assert [r["lsn"] for r in t.log().collect()] == [lsn]
+
+
+def test_small_writes_leave_the_snapshot(engine):
+    """A write adds its changes alone; a new snapshot comes once they are a large part of the table. Rows and pasts are the same throughout."""
+    t = engine.create_table("big", TableSchema.of("id", id="int!", v="str"), clustered=True)
+    first = t.insert(engine.spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v")))
+    base, want = t.head()["base"], {r["id"]: r["v"] for r in t.scan().collect()}
+    assert base == first
+    for k in range(3):
+        t.upsert([(k, "new"), (30_000 + k, "more")])
+        t.delete(F.col("id") == 100 + k)
+        want |= {k: "new", 30_000 + k: "more"}
+        want.pop(100 + k)
+    assert t.head()["base"] == base and dict(map(tuple, t.scan().collect())) == want
+    assert [r["v"] for r in t.get(1).collect()] == ["new"] and t.get(101).isEmpty()
+    lsn = t.upsert(t.scan().withColumn("v", F.upper("v")))
+    assert t.head()["base"] == lsn and dict(map(tuple, t.scan().collect())) == {k: v.upper() for k, v in want.items()}
+    assert engine.sql_as_of("select count(*) from big", lsn=first).first()[0] == 20_000
+    with pytest.raises(InvalidInput):
+        t.upsert(engine.spark.createDataFrame([(1, "a"), (1, "b")], "id long, v string"))
+    assert t.head()["lsn"] == lsn
+
+
+def test_a_later_commit_does_not_revive_what_a_dead_writer_left(engine):
+    t = engine.create_table("dead2", TableSchema.of("id", id="int!", v="int"))
+    lsn = t.insert([(1, 1)])
+    left = f"{t.path}/log/{lsn + 1:020d}"
+    t.log().withColumn("id", F.lit(9).cast("long")).withColumn("lsn", F.lit(lsn + 1).cast("long")).write.parquet(left)
+    engine._next_lsn()
+    t.insert([(2, 2)])
+    assert rows(t.scan()) == [(1, 1), (2, 2)] and {r["id"] for r in t.log().collect()} == {1, 2}
+
+
+def test_far_estimates_are_logged(engine):
+    engine.sql("analyze full table orders")
+    engine.table("orders").upsert(engine.spark.range(100, 300).select("id", F.lit(1).cast("long").alias("user_id"), F.lit(1.0).alias("amount")))
+    got = dict(map(tuple, engine.sql("explain analyze select id from orders where user_id = 1").collect()))
+    assert (got["rows_estimated"], got["rows"], got["rows_examined"]) == ("2", "202", "203")
+    assert [(r["table_name"], r["misses"]) for r in engine.sql("select * from system.reprofile_jobs").collect()] == [("orders", 1)]
+    assert engine.sql("select * from system.tuning_log").first()["rows_returned"] == 202
