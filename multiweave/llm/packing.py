@@ -29,8 +29,8 @@ from .common import cut, doc_hash, give_back, held, small_batches, table
 CAPACITY, END_ID, TOKENIZER = 2048, 0, "word_bpe_49k.json"
 #: Pieces dealt to a group; rounds of exchange.
 GROUP, ROUNDS = 4096, 2
-#: Bytes, about, of the words, and as many of the parts of words, whose ids a worker remembers; longer words than this are encoded each time.
-REMEMBERED, LONG = 40 << 20, 256
+#: Bytes, about, of the words and parts of words whose ids a worker remembers; longer words than this are encoded each time.
+REMEMBERED, LONG = 80 << 20, 256
 #: What an entry takes beside its word and ids.
 ENTRY = 180
 #: str.split() parts words here, the tokenizer does not.
@@ -42,20 +42,26 @@ BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u024f0-9]+").findall
 
 
-class Memory(dict):
-    """Ids by word, of a bounded number of bytes: beyond it the newer half goes, as frequent words come early."""
+class Memory:
+    """Ids by word or part, of a bounded number of bytes: beyond it the newer half goes, as frequent words come early."""
 
-    held = 0
+    def __init__(self):
+        self.of: dict[str, bytes] = {}
+        self.held = 0
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.of)
 
     def add(self, key: str, ids: bytes) -> bytes:
-        self[key] = ids
+        """Remembers a word that is not there yet."""
+        self.of[key] = ids
         self.held += ENTRY + len(key) + len(ids)
         return ids
 
     def shrink(self) -> None:
         if self.held > REMEMBERED:
-            for _ in range(len(self) // 2):
-                x, ids = self.popitem()
+            for _ in range(len(self.of) // 2):
+                x, ids = self.of.popitem()
                 self.held -= ENTRY + len(x) + len(ids)
 
 
@@ -63,14 +69,15 @@ class Encoder:
     """Ids of whole texts.
 
     The tokenizer drops white space and never looks across it, so each word is encoded once and remembered. Words of
-    plain Latin characters are taken apart further, by the tokenizer's own pattern, and the parts remembered too.
+    plain Latin characters are taken apart further, by the tokenizer's own pattern, and the parts remembered too: a part
+    is a word with the same ids, as the pattern takes it whole wherever it stands.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), Memory(), Memory()
+        self.tokenizer, self.known = Tokenizer.from_file(path), Memory()
         self.merge = self.tokenizer.model.tokenize  # what is left to do for a part that is normal already
 
     def _encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
@@ -79,33 +86,42 @@ class Encoder:
             for x, e in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
                 yield x, array("I", e.ids).tobytes()
 
+    def _part(self, x: str) -> bytes:
+        return array("I", [t.id for t in self.merge(x if x.isascii() else x.encode().decode("latin-1").translate(BYTES))]).tobytes()
+
     def _learn(self, words: list[str]) -> None:
-        known, parts = self.known, self.parts
-        split = {w: PARTS(w.lower()) for w in words if SIMPLE(w) and "<|" not in w}
-        for w, ids in self._encode([w for w in words if w not in split]):
+        known, of, others = self.known, self.known.of, []
+        for w in words:
+            if w in of:  # as a part of one before
+                continue
+            if not SIMPLE(w) or "<|" in w:
+                others.append(w)
+                continue
+            own = PARTS(w.lower())
+            if len(own) == 1:
+                known.add(w, of.get(own[0]) or self._part(own[0]))
+            else:
+                known.add(w, b"".join([of.get(x) or known.add(x, self._part(x)) for x in own]))
+        for w, ids in self._encode(others):
             known.add(w, ids)
-        for x in {x for own in split.values() for x in own if x not in parts}:
-            parts.add(x, array("I", [t.id for t in self.merge(x if x.isascii() else x.encode().decode("latin-1").translate(BYTES))]).tobytes())
-        for w, own in split.items():
-            known.add(w, parts[own[0]] if len(own) == 1 else b"".join([parts[x] for x in own]))
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if any(c in text for c in SEPARATORS):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        words, known = text.split(), self.known
-        return b"".join([self._some(words[i : i + 50_000], known) for i in range(0, len(words), 50_000)]) if len(words) > 50_000 else self._some(words, known)
+        words = text.split()
+        return b"".join([self._some(words[i : i + 50_000]) for i in range(0, len(words), 50_000)]) if len(words) > 50_000 else self._some(words)
 
-    def _some(self, words: list[str], known: Memory) -> bytes:
+    def _some(self, words: list[str]) -> bytes:
         """Ids of words that the memory surely holds together."""
-        for kept in (known, self.parts):
-            kept.shrink()
-        if new := {w for w in words if w not in known}:
+        of = self.known.of
+        self.known.shrink()
+        if new := set(words).difference(of):
             long = {w: ids for w, ids in self._encode([w for w in new if len(w) > LONG])}
-            self._learn([w for w in new if w not in long])
+            self._learn([w for w in new if w not in long] if long else new)
             if long:
-                return b"".join([known[w] if w in known else long[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+                return b"".join([of[w] if w in of else long[w] for w in words])
+        return b"".join(map(of.__getitem__, words))
 
 
 def tokenizer_path(name: str) -> str:
