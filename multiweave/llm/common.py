@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,9 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     removes the files when no plan refers to them (spark.cleaner.referenceTracking.cleanCheckpoints).
     """
     checkpoint_dir(df.sparkSession)
-    return (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).checkpoint(eager=True)
+    out = (df if rows is None else df.coalesce(rows // FILE_ROWS + 1)).checkpoint(eager=True)
+    trim(df.sparkSession)
+    return out
 
 
 #: What is broadcast after its size was measured is at most so large; beyond, rows meet it in so many parts of each key.
@@ -61,6 +64,32 @@ def tidy(spark: SparkSession) -> None:
     """Lets Spark remove shuffle files and checkpoints that no plan refers to any more; it does so when the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Returns the native memory that the driver's JVM and Python have freed to the system; whether the JVM can.
+
+    Compilers and the threads of Spark's pools, some hundreds, each leave free memory in the C library's arenas, which
+    keep it else. The JVM's diagnostic command for it is reached by reflection, as the server's class is not public.
+    """
+    give_back()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+
+    def array(kind, *items):
+        out = gateway.new_array(kind, len(items))
+        for k, item in enumerate(items):
+            out[k] = item
+        return out
+
+    of = jvm.java.lang.Class.forName
+    kinds = array(jvm.java.lang.Class, of("javax.management.ObjectName"), of("java.lang.String"), of("[Ljava.lang.Object;"), of("[Ljava.lang.String;"))
+    asked = array(jvm.java.lang.Object, jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", None, None)
+    try:
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), asked)
+    except Py4JJavaError:  # another JVM, or another C library
+        return False
+    return True
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:

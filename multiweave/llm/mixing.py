@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import NOT_SPACE, cut, doc_hash, give_back, join_few, release, small_batches, table, text_buffer, with_rows, word_counts
+from .common import NOT_SPACE, cut, doc_hash, give_back, join_few, release, small_batches, table, text_buffer, tidy, with_rows, word_counts
 
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, 4
 #: Cost of a word taken for the first, second and third time; each over the one before.
@@ -260,6 +260,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs as the mix takes them: a document repeated as often as the plan says, or gone."""
+    tidy(spark)
     _, plan_, _ = _planned(spark, docs)
     worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     taken = _with_plan(with_rows(docs, pattern=F.array(source_key("source")), place=order_key("doc_id", SEED), worded=worded), plan_)

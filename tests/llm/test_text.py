@@ -1,8 +1,11 @@
 """Operators on texts: language ID, near-duplicates, quality, licences."""
 
 import collections
+import gc
 import math
 import re
+import time
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -20,6 +23,26 @@ def docs_of(spark, rows, schema=SCHEMA):
     return spark.createDataFrame(rows, schema)
 
 
+def test_tidy_returns_native_memory_of_the_driver(spark):
+    """Buffers are freed between others that stay, so that the C library keeps what they took until it is asked."""
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    rss = lambda: int(re.search(r"RssAnon:\s+(\d+)", open(f"/proc/{pid}/status").read())[1]) // 1024
+    stay, go = jvm.java.util.ArrayList(), jvm.java.util.ArrayList()
+    for _ in range(1000):
+        for to in (stay, go):
+            to.add(jvm.java.nio.ByteBuffer.allocateDirect(96 << 10))
+    go = to = None
+    gc.collect()  # Python's references
+    time.sleep(1)
+    for _ in range(2):
+        jvm.System.gc()
+        time.sleep(1)  # the JVM's cleaner frees them
+    before = rss()
+    common.tidy(spark)
+    assert before - rss() > 40 and stay.size() == 1000
+
+
 # ------------------------------------------------------------------ bytes
 
 def test_words_and_hashes():
@@ -250,6 +273,21 @@ def kind_of_bad(text):
     return "bars" if text.count(" | ") > 0.1 * len(words) else "capitals" if sum(c.isupper() for c in text) > 0.2 * len(text) else "other"
 
 
+def test_the_fit_holds_few_doubles():
+    """The sample stays as it is given, in single precision; steps make doubles of a part of it."""
+    random = np.random.default_rng(5)
+    x = random.random((8000, quality.FEATURES), np.float32)
+    x[:, -1] = 1
+    y = (x[:, 0] + 0.3 * random.standard_normal(8000) > 0.5).astype(float)
+    tracemalloc.start()
+    w = quality.fit_logistic(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes
+    p, penalty = 1 / (1 + np.exp(-x.astype(float) @ w)), np.array([0.02] * (x.shape[1] - 1) + [1e-6]) / 100
+    assert np.abs(x.astype(float).T @ (p - y) / len(y) + penalty * w).max() < 1e-6
+
+
 def test_quality_by_kind(spark):
     """Held-out low-quality documents of every kind are rejected, those of repeated words too."""
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
