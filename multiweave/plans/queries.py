@@ -19,5 +19,6 @@ def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+#: A query of relational.SQL that domain.py has too is built there, by operators; its SQL stays what checks it.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _sql(s if isinstance(s, str) else s[0]) for name, s in SQL.items()} | domain.QUERIES
 ORACLE: dict[str, str] = {name: s if isinstance(s, str) else s[1] for name, s in SQL.items()} | domain.ORACLE

@@ -32,6 +32,12 @@ def test_aggregates_are_summed_before_the_shuffle(spark):
         assert "partial_" in plan(core.QUERIES[name](spark, D)), name
 
 
+def test_sketches_are_not_carried_with_distinct_keys(spark):
+    p = plan(core.QUERIES["agg_approximate"](spark, D))
+    assert "approx_count_distinct" in p
+    assert not [x for x in p.splitlines() if re.search(r"keys=\[l_returnflag#\d+, l_orderkey#\d+\w*\]", x) and "approx_" in x]
+
+
 def test_no_pairs_of_all_rows(spark):
     for name in ("join_range_bins", "join_asof", "join_salted", "join_inner", "join_multi_star"):
         p = plan(core.QUERIES[name](spark, D))
