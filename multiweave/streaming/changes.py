@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from ..errors import Expired
 
+#: Numbers of commits that are gathered on the driver at once; of larger pages the end is looked for by counts.
+GATHERED = 10_000
+
 
 def page(log: DataFrame, token: int, *, max_commits: int, target: str | None = None, earliest: int | None = None, markers: bool = True) -> tuple[DataFrame, int, bool]:
     """(events, next token, whether more follow): the commits after a token, at most max_commits of them.
@@ -18,14 +21,38 @@ def page(log: DataFrame, token: int, *, max_commits: int, target: str | None = N
     if earliest is not None and token + 1 < earliest:
         raise Expired(f"commits before {earliest} are not kept")
     later = log.filter(F.col("lsn") > token)
-    ends = later.select("lsn").distinct().orderBy("lsn").limit(max_commits + 1).collect()  # max_commits + 1 numbers
-    if not ends:
+    last, more = _end(later, max_commits)
+    if last is None:
         return _events(later.limit(0), markers), token, False
-    last = ends[min(len(ends), max_commits) - 1]["lsn"]
     own = later.filter(F.col("lsn") <= last)
     if target is not None:
         own = own.filter(F.col("target") == target)
-    return _events(own, markers), last, len(ends) > max_commits
+    return _events(own, markers), last, more
+
+
+def _end(later: DataFrame, most: int) -> tuple[int | None, bool]:
+    """(the number of the commit that ends a page of `most` commits, whether more follow); the driver holds GATHERED numbers at most."""
+    if most > GATHERED:
+        whole = later.agg(F.count("*").alias("n"), F.max("lsn").alias("last")).first()
+        if whole["n"] <= most:  # no more commits than changes
+            return whole["last"], False
+    commits, after = later.select("lsn").distinct(), lambda lsn: not later.filter(F.col("lsn") > lsn).isEmpty()
+    while most > GATHERED:  # into the 1,024th part of the numbers that holds the end
+        span = commits.agg(F.count("*").alias("n"), F.min("lsn").alias("low"), F.max("lsn").alias("high")).first()
+        if span["n"] <= most:
+            return span["high"], after(span["high"])
+        low, width = span["low"], (span["high"] - span["low"]) // 1024 + 1
+        for part in commits.groupBy(F.expr(f"(lsn - {low}L) div {width}L").alias("at")).agg(F.count("*").alias("n")).orderBy("at").collect():  # 1,024 rows
+            if part["n"] >= most:
+                break
+            most -= part["n"]
+        low += part["at"] * width
+        commits = commits.filter((F.col("lsn") >= low) & (F.col("lsn") < low + width))
+    ends = commits.orderBy("lsn").limit(most + 1).collect()  # most + 1 numbers
+    if not ends:
+        return None, False
+    last = ends[min(len(ends), most) - 1]["lsn"]
+    return last, len(ends) > most or after(last)
 
 
 def _events(rows: DataFrame, markers: bool) -> DataFrame:

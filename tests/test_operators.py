@@ -115,6 +115,30 @@ def test_changes(spark):
     assert rows(changes.on_timeline(spark.createDataFrame([("a", 9)], "timeline string, lsn long"), forks)) == [("b", 2)]
 
 
+def test_pages_of_many_commits_are_not_gathered(spark, monkeypatch):
+    log = spark.range(3000).selectExpr("id * id div 7 as lsn", "id as at", "'upsert' as op", "id as key", "'t' as target")
+    commits, most, collect = sorted({i * i // 7 for i in range(3000)}), [], type(log).collect
+
+    def counted(df):
+        most.append(len(out := collect(df)))
+        return out
+
+    monkeypatch.setattr(type(log), "collect", counted)
+    for n in (1, 5, 700, len(commits) - 1, len(commits), 1 << 30):
+        events, token, more = changes.page(log, -1, max_commits=n)
+        assert (token, more) == (commits[min(n, len(commits)) - 1], n < len(commits))
+    assert most[-1] <= 1
+    monkeypatch.setattr(changes, "GATHERED", 4)
+    most.clear()
+    for n in (5, 700, len(commits) - 1):
+        events, token, more = changes.page(log, 2, max_commits=n)
+        later = [c for c in commits if c > 2]
+        assert (token, more) == (later[min(n, len(later)) - 1], n < len(later))
+        assert events.filter("kind = 'begin'").count() == min(n, len(later))
+    assert max(most) <= 1024
+    assert changes.page(log.limit(0), 2, max_commits=700)[1:] == (2, False)
+
+
 def test_view_retracts(spark):
     view = views.View("v", "t", "id", "g", (("count", None), ("sum", "x")), ("on", True))
     source = spark.createDataFrame([(1, "a", 10.0, True), (2, "b", 20.0, True), (4, "b", 1.0, False)], "id long, g string, x double, on boolean")
