@@ -1,6 +1,7 @@
 """Domain operators on small inputs made by hand."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,25 @@ def test_knn_join_takes_any_number_of_queries(spark):
     assert got == want
 
 
+def test_knn_join_by_blocks_is_exact(spark):
+    """Against all pairs by column expressions: other dimensions, copies, ties, numbers too large for squares, and no pairs in the plan."""
+    e = F.transform(F.sequence(F.lit(1), F.when(F.col("id") % 7 == 0, 3).otherwise(5)), lambda i: (F.xxhash64(F.col("id") % 150, i) % 4).cast("double") / 3)
+    v = spark.range(400).select("id", e.alias("embedding")).filter("exists(embedding, x -> x <> 0)")
+    v = v.unionByName(spark.createDataFrame([(900, [1e200] * 5), (901, [2e200] * 5), (902, None), (903, [math.nan] * 5), (None, [1.0] * 5)], "id long, embedding array<double>"))
+    for metric, cost in scalar.METRICS.items():
+        u = v.filter("id < 900" if metric == "cosine" else "true")
+        got = knn.knn_join(u.filter("id % 3 = 0"), u, 4, query_id="id", id_col="id", metric=metric, block=16)
+        assert not re.search("CartesianProduct|NestedLoop", got._jdf.queryExecution().executedPlan().toString())
+        fine = u.filter(knn.valid(F.col("embedding"), F.size("embedding"), metric) & F.col("id").isNotNull())
+        a, b = fine.filter("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), fine.select("id", F.col("embedding").alias("w"))
+        pairs = a.crossJoin(b).filter("id <> query_id and size(q) = size(w)").select("query_id", "id", cost(F.col("q"), F.col("w")).alias("distance"))
+        want = {}
+        for r in pairs.collect():
+            want.setdefault(r["query_id"], []).append((r["distance"], r["id"]))
+        want = sorted((x, i, n + 1, d) for x, near in want.items() for n, (d, i) in enumerate(sorted(near)[:4]))
+        assert sorted((r["query_id"], r["id"], r["rank"], r["distance"]) for r in got.collect()) == want
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [10.0, 0.0]), (2, [1.0, 1.0]), (3, [3.0, 4.0])], "id long, embedding array<float>")
     assert knn.knn(v, [1.0, 0.0], 1).first()["id"] == 1 and knn.knn(v, [1.0, 0.0], 1, metric="l2").first()["id"] == 2
