@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+#: Ids that come more than once are broadcast up to so many.
+BROADCAST_IDS = 100_000
 
 
 def tokenize(text: Column) -> Column:
@@ -24,10 +26,31 @@ def blank(text: Column) -> Column:
     return ~F.coalesce(text.rlike(r"[^\s\x{85}\p{Z}]"), F.lit(False))
 
 
-def postings(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, doc_len): one row for each term of a document that is not blank."""
-    words = docs.filter(~blank(F.col(text_col))).select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("terms"))
-    return words.select("id", F.size("terms").cast("long").alias("doc_len"), F.explode("terms").alias("term")).groupBy("id", "term", "doc_len").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, *, id_col: str, text_col: str, unique: bool = False) -> DataFrame:
+    """(id, term, tf, doc_len): one row for each term of a document that is not blank.
+
+    The terms of a text are counted in its row, from their sorted list, so nothing is shuffled. Only texts whose id comes
+    more than once are counted together; those ids are looked for first, unless ids are known to be unique.
+    """
+    words = docs.filter(~blank(F.col(text_col))).select(F.col(id_col).alias("id"), F.sort_array(tokenize(F.col(text_col))).alias("terms"))
+    if unique:
+        return _counted(words)
+    again = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    n = again.count()
+    if n == 0:
+        return _counted(words)
+    again = F.broadcast(again) if n <= BROADCAST_IDS else again
+    match = words["id"].eqNullSafe(again["id"])
+    both = _counted(words.join(again, match, "left_semi")).groupBy("id", "term", "doc_len").agg(F.sum("tf").alias("tf"))
+    return _counted(words.join(again, match, "left_anti")).unionByName(both)
+
+
+def _counted(words: DataFrame) -> DataFrame:
+    """Postings of rows (id, terms), the terms sorted: a term's count is the way from its first place to that of the next one."""
+    starts = F.filter(F.sequence(F.lit(1), F.size("terms")), lambda i: (i == 1) | (F.get("terms", i - 1) != F.get("terms", i - 2)))
+    firsts = words.filter(F.size("terms") > 0).select("id", "terms", F.size("terms").alias("n"), starts.alias("at"))
+    found = F.transform("at", lambda i, j: F.struct(F.get("terms", i - 1).alias("term"), (F.coalesce(F.get("at", j + 1), F.col("n") + 1) - i).cast("long").alias("tf")))
+    return firsts.select("id", F.col("n").cast("long").alias("doc_len"), F.explode(found).alias("p")).select("id", "p.term", "doc_len", "p.tf")
 
 
 def lengths(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:

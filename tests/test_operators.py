@@ -48,6 +48,21 @@ def test_text(spark):
     assert [r[0] for r in rows(fulltext.search(index, fulltext.corpus_stats(docs, id_col="id", text_col="t"), "herbs"))] == [2]
 
 
+def test_postings_are_counted_without_a_shuffle(spark, monkeypatch):
+    texts = [(1, "b a b, C a b"), (2, "..."), (3, None), (4, " "), (5, "one"), (6, "e\u0301 \U0001f600 \ufb01 z\u00e9 Z\u00c9"), (None, "x x"), (None, "x y")]
+    twice = [(7, "u v u"), (7, "v u w"), (7, "u")]
+    for docs in (texts, texts[:6], texts + twice):
+        df = spark.createDataFrame(docs, "id long, t string")
+        got = fulltext.postings(df, id_col="id", text_col="t")
+        words = df.filter(~fulltext.blank(F.col("t"))).select("id", fulltext.tokenize(F.col("t")).alias("w"))
+        want = words.select("id", F.size("w").cast("long").alias("doc_len"), F.explode("w").alias("term")).groupBy("id", "term", "doc_len").agg(F.count("*").alias("tf"))
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert sorted(rows(got), key=str) == sorted(rows(want), key=str)
+        if docs == texts[:6]:
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(fulltext, "BROADCAST_IDS", 0)
+
+
 def test_knn_join_takes_any_number_of_queries(spark):
     v = spark.range(1001).select("id", F.array((F.col("id") * 37 % 1001).cast("double"), F.lit(1.0)).alias("embedding"))
     got = {(r["query_id"], r["rank"]): (r["id"], r["distance"]) for r in knn.knn_join(v, v, 2, query_id="id", id_col="id", metric="l2").collect()}
