@@ -32,6 +32,8 @@ _SQL_KINDS = ("table", "collection", "foreign", "view", "history")
 _SIMPLE = re.compile(r"(?is)^\s*select\s+(?!distinct\b)[\w\s,*.]+\s+from\s+(\w+)(?:\s+where\s+(\w+)\s*=\s*('(?:[^']|'')*'|[+-]?[\d.]+))?\s*$")
 #: Changes since the snapshot that are merged when a table is read are less than this part of it, as 1 / COMPACT.
 COMPACT = 4
+#: Words of texts whose postings one task sorts, about.
+POSTINGS = 2_000_000
 _NAME = re.compile(r"^[A-Za-z_]\w*$")
 
 
@@ -278,12 +280,15 @@ class Engine:
         lsn = table.head()["lsn"]
         if stored != lsn:
             if stored is None or stored < table.head()["min_lsn"] or o["id_col"] != table.schema.primary_key:
-                made = fulltext.postings(table.scan(), **own), fulltext.lengths(table.scan(), **own)
+                made = fulltext.postings(table.scan(), **own, unique=o["id_col"] == table.schema.primary_key), fulltext.lengths(table.scan(), **own)
             else:
                 last = table.log(after=stored).filter(F.col("lsn") <= lsn).groupBy(o["id_col"]).agg(F.max_by(F.when(F.col("op") == "upsert", F.col(o["text_col"])), "lsn").alias(o["text_col"]))
-                made = fulltext.refresh(part(stored, "postings"), part(stored, "lengths"), last, **own)
-            made[0].repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/{lsn}/postings")  # so that a search reads the row groups of its terms
+                made = fulltext.refresh(part(stored, "postings"), part(stored, "lengths"), last, **own, unique=True)
             made[1].write.mode("overwrite").parquet(f"{at}/{lsn}/lengths")
+            words = part(lsn, "lengths").agg(F.sum("doc_len")).first()[0] or 0  # as many postings at most
+            # by term, so that a search reads the row groups of its terms, and by id, so that those of a frequent term are many tasks'
+            ranged = made[0].repartitionByRange(words // POSTINGS + 1, "term", "id").sortWithinPartitions("term", "id")
+            ranged.write.mode("overwrite").parquet(f"{at}/{lsn}/postings")
             fulltext.stats_of(part(lsn, "lengths")).write.mode("overwrite").parquet(f"{at}/{lsn}/stats")
             files.write_text(self.spark, f"{at}/current.json", json.dumps(lsn))
         return part(lsn, "postings"), part(lsn, "stats")

@@ -67,11 +67,11 @@ def corpus_stats(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     return stats_of(lengths(docs, id_col=id_col, text_col=text_col))
 
 
-def refresh(index: DataFrame, lengths_: DataFrame, changed: DataFrame, *, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def refresh(index: DataFrame, lengths_: DataFrame, changed: DataFrame, *, id_col: str, text_col: str, unique: bool = False) -> tuple[DataFrame, DataFrame]:
     """An index (postings, lengths) after documents changed; a null or blank text is a document that is gone. Only changed texts are read."""
     ids = changed.select(F.col(id_col).alias("id")).distinct()
     own = {"id_col": id_col, "text_col": text_col}
-    return index.join(ids, "id", "left_anti").unionByName(postings(changed, **own)), lengths_.join(ids, "id", "left_anti").unionByName(lengths(changed, **own))
+    return index.join(ids, "id", "left_anti").unionByName(postings(changed, **own, unique=unique)), lengths_.join(ids, "id", "left_anti").unionByName(lengths(changed, **own))
 
 
 def idf(n_docs: Column, df: Column) -> Column:

@@ -253,3 +253,14 @@ def test_far_estimates_are_logged(engine):
     assert (got["rows_estimated"], got["rows"], got["rows_examined"]) == ("2", "202", "203")
     assert [(r["table_name"], r["misses"]) for r in engine.sql("select * from system.reprofile_jobs").collect()] == [("orders", 1)]
     assert engine.sql("select * from system.tuning_log").first()["rows_returned"] == 202
+
+
+def test_postings_of_a_frequent_term_are_many_tasks(engine, spark, monkeypatch):
+    monkeypatch.setattr("multiweave.engine.POSTINGS", 100, raising=False)
+    t = engine.create_table("texts", TableSchema.of("id", id="int!", body="str"))
+    t.insert([(i, "same") for i in range(1000)])
+    engine.create_full_text_index("texts_idx", "texts", id_col="id", text_col="body")
+    stored = spark.read.parquet(f"{engine.root}/text/texts_idx/{t.head()['lsn']}/postings")
+    held = [r["n"] for r in stored.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == 1000 and len(held) > 5 and max(held) < 400
+    assert [r[0] for r in engine.search("texts_idx", "same", 3).select("id").collect()] == [0, 1, 2]
