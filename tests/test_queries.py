@@ -55,3 +55,15 @@ def test_entry_works_without_the_llm_part():
     code = "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['multiweave.llm'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') and n[2].isdigit() for n in q), 'pipeline' in q)"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(__spark_entry__.__file__)).stdout.split()
     assert int(out[0]) > 100 and out[1:] == ["False", "False"]
+
+
+def test_zones_of_a_larger_table_are_more_tasks(spark, tmp_path, monkeypatch):
+    from multiweave.plans import domain
+
+    monkeypatch.setattr(domain, "_folder", lambda spark, name: f"{tmp_path}/{name}")
+    monkeypatch.setattr(domain, "ZONE_ROWS", 500, raising=False)
+    n = duckdb.sql(f"select count(*) from '{D}/lineitem.parquet'").fetchall()[0][0]
+    got = core.QUERIES["zone_map_skip"](spark, D).first()
+    held = [duckdb.sql(f"select count(*) from '{p}'").fetchall()[0][0] for p in glob.glob(f"{tmp_path}/zones/*.parquet")]
+    assert sum(held) == n and len(held) >= n // 500 and max(held) < 1500
+    assert got["scanned_segments"] == 1 and got["skipped_segments"] >= len(held) - 1
