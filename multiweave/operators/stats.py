@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Distinct values whose ranks are broadcast, at most.
+RANKED = 100_000
 SAMPLE, BUCKETS, COMMON, RANGE_DEFAULT = 30_000, 10, 32, 0.30
 
 
@@ -45,6 +47,16 @@ def histogram(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
     return upto.groupBy(bucket.alias("bucket")).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("n"))
 
 
+def ranks(df: DataFrame, keys: list[str], by: str, *, rank: str = "rank", dense: str = "dense") -> DataFrame:
+    """df with the rank and the dense rank of each row among those of its keys, smallest first: counted over distinct values, so no task holds the rows of a group. Few of those are broadcast."""
+    w = Window.partitionBy(*keys).orderBy(by)
+    counts = df.groupBy(*keys, by).agg(F.count("*").alias("__n"))
+    few = counts.count() <= RANKED
+    places = counts.select(*[F.col(c).alias(f"__{c}") for c in (*keys, by)], (F.sum("__n").over(w) - F.col("__n") + 1).alias(rank), F.row_number().over(w).cast("long").alias(dense))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, by)]
+    return df.join(F.broadcast(places) if few else places, same).select(*df.columns, rank, dense)
+
+
 def common_values(df: DataFrame, column: str, n: int = COMMON) -> DataFrame:
     return value_counts(df, column).orderBy(F.desc("n"), "value").limit(n)
 

@@ -218,6 +218,16 @@ def test_stats(spark):
     assert scalar.fingerprint("SELECT a FROM t WHERE b = 'x''y' AND c > 1.5") == "select|t|select a from t where b = ? and c > ?"
 
 
+def test_ranks_without_a_sort_of_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(i, None if i % 11 == 0 else "ab"[i % 2], None if i % 13 == 0 else -0.0 if i % 5 == 0 else math.nan if i % 7 == 0 else float(i % 4)) for i in range(300)], "id int, k string, v double")
+    df.createOrReplaceTempView("ranked")
+    want = spark.sql("select *, cast(rank() over (partition by k order by v) as bigint) as rank, cast(dense_rank() over (partition by k order by v) as bigint) as dense from ranked")
+    for few in (100_000, 0):
+        monkeypatch.setattr(stats, "RANKED", few)
+        got = stats.ranks(df, ["k"], "v")
+        assert got.dtypes == want.dtypes and sorted(map(str, rows(got))) == sorted(map(str, rows(want)))  # nan equals nan
+
+
 def test_collations(spark):
     names = spark.createDataFrame([("file10",), ("file2",), ("File1",)], "n string")
     assert [r["n"] for r in names.orderBy(scalar.collate(F.col("n"), "case_insensitive")).collect()] == ["File1", "file10", "file2"]

@@ -38,6 +38,11 @@ def test_sketches_are_not_carried_with_distinct_keys(spark):
     assert not [x for x in p.splitlines() if re.search(r"keys=\[l_returnflag#\d+, l_orderkey#\d+\w*\]", x) and "approx_" in x]
 
 
+def test_ranks_come_from_counts(spark):
+    p = plan(core.QUERIES["win_rank_dense"](spark, D))
+    assert "partial_count" in p and "BroadcastHashJoin" in p and "dense_rank" not in p
+
+
 def test_no_pairs_of_all_rows(spark):
     for name in ("join_range_bins", "join_asof", "join_salted", "join_inner", "join_multi_star"):
         p = plan(core.QUERIES[name](spark, D))
